@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Beyond 2^52 scaled units a double has no digits left to round.
+_EXACT = 4_503_599_627_370_496.0
+# Multiplier that splits a double into two halves of at most 27 bits.
+_SPLIT = 134_217_729.0
+
 
 def rnd(x: Column, digits: int) -> Column:
-    """Round to ``digits`` decimals, ties to even.
+    """Round a double to ``digits`` decimals as Python's ``round`` does: by its exact binary value, ties to even.
 
-    ``rint(x * 10^d) / 10^d`` follows Python's ``round`` on floats; Spark's own ``round`` breaks ties on the
-    printed decimal and gives 1.01 for 1.005. Adding 0.0 turns a negative zero into zero.
+    Spark's ``round`` works on the printed decimal and gives 1.01 for 1.005, which is really a little less. Here the
+    distance from the midpoint between the two candidates is computed without error, by splitting ``x`` in two halves
+    whose products with the scale are exact. Adding 0.0 turns a negative zero into zero.
     """
-    scale = F.lit(float(10**digits))
-    return F.rint(x.cast("double") * scale) / scale + F.lit(0.0)
+    x = x.cast("double")
+    scale = float(10**digits)
+    below = F.floor(x * scale).cast("double")
+    stretched = x * _SPLIT
+    high = stretched - (stretched - x)
+    past = (high * (2.0 * scale) - (below * 2.0 + 1.0)) + (x - high) * (2.0 * scale)
+    odd = F.pmod(below, F.lit(2.0)) == 1.0
+    up = (past > 0) | ((past == 0) & odd)
+    rounded = (below + F.when(up, 1.0).otherwise(0.0)) / scale + F.lit(0.0)
+    return F.when(F.abs(x) * scale < _EXACT, rounded).otherwise(x)
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -12,7 +12,7 @@ from plumbline.functions.types import quoted
 from plumbline.operators.association import rank_pairs
 from plumbline.operators.cardinality import top_categories
 from plumbline.operators.missing import complete_cases
-from plumbline.operators.numeric import skewness_kurtosis
+from plumbline.operators.numeric import adjusted_skewness
 from plumbline.operators.temporal import detect_datetime, records_per
 from plumbline.plans.small import pinned
 from plumbline.profile import Profile, as_profile
@@ -109,9 +109,9 @@ def box_stats(table: DataFrame | Profile) -> DataFrame:
 def skewness_bars(table: DataFrame | Profile) -> DataFrame:
     """Skewness per numeric column to three decimals."""
     p = as_profile(table)
-    return skewness_kurtosis(p).where("skewness IS NOT NULL").select(
-        "column_name", rnd(F.col("skewness"), 3).alias("skewness")
-    )
+    skew = adjusted_skewness(F.col("non_null"), F.col("skew_pop"))
+    shown = p.moments.where("mean IS NOT NULL").select("column_name", rnd(skew, 3).alias("skewness"))
+    return shown.where("skewness IS NOT NULL")
 
 
 def _first_category(p: Profile) -> str | None:

@@ -34,11 +34,12 @@ def drop_constants(table: DataFrame | Profile) -> DataFrame:
 
 
 def impute_median(table: DataFrame | Profile, columns: list[str] | None = None) -> DataFrame:
-    """Missing numbers replaced by the column's exact median; filled columns become doubles."""
+    """Missing numbers replaced by the column's exact median; columns with gaps become doubles."""
     p = as_profile(table)
     filled = {}
     for c in p.numeric:
-        if (columns is None or c.name in columns) and c.name in p.quartiles:
+        gaps = p.count_rows[c.name]["null_count"] > 0
+        if gaps and (columns is None or c.name in columns) and c.name in p.quartiles:
             filled[c.name] = F.coalesce(c.number(), F.lit(p.quartiles[c.name][1]))
     return p.df.withColumns(filled)
 
