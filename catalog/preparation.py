@@ -30,7 +30,7 @@ def drop_constants(spark, sf_dir):
     " nothing FROM g",
 )
 def impute_median(spark, sf_dir):
-    return prepare.impute_median(GAPS.frame(spark, sf_dir)).withColumn("value", rnd(F.col("value"), 4))
+    return prepare.impute_median(GAPS.frame(spark, sf_dir)).withColumn("value", rnd("value", 4))
 
 
 @query(
@@ -61,7 +61,7 @@ def one_hot(spark, sf_dir):
 )
 def frequency_encode(spark, sf_dir):
     encoded = prepare.frequency_encode(ORDERS.frame(spark, sf_dir).select("o_orderkey", "o_custkey"), "o_custkey")
-    return encoded.withColumn("o_custkey_freq", rnd(F.col("o_custkey_freq"), 8))
+    return encoded.withColumn("o_custkey_freq", rnd("o_custkey_freq", 8))
 
 
 @query(
@@ -75,28 +75,32 @@ def frequency_encode_hot(spark, sf_dir):
     return lookup(df, ["event_type"], facts, broadcast_values=2, hot_share=5).withColumnRenamed("eighth", "n")
 
 
-@query("target_encode", f"SELECT o_orderkey, {r('avg(o_totalprice) OVER (PARTITION BY o_custkey)', 2)} AS o_custkey_target FROM orders")
+# Whole prices, whose sums are exact in any order of addition.
+WHOLE = Source("orders", "o_orderkey", "o_custkey", "CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) AS price")
+
+
+@query("target_encode", f"SELECT o_orderkey, avg(price) OVER (PARTITION BY o_custkey) AS o_custkey_target FROM {WHOLE.sql}")
 def target_encode(spark, sf_dir):
-    encoded = prepare.target_encode(ORDERS.frame(spark, sf_dir), "o_custkey", "o_totalprice")
-    return encoded.select("o_orderkey", rnd(F.col("o_custkey_target"), 2).alias("o_custkey_target"))
+    encoded = prepare.target_encode(WHOLE.frame(spark, sf_dir), "o_custkey", "price")
+    return encoded.select("o_orderkey", "o_custkey_target")
 
 
 @query(
     "target_encode_folds",
-    "WITH f AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 5 AS fold FROM orders), s AS (SELECT o_custkey, fold,"
-    " sum(o_totalprice) AS s, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT o_custkey, sum(s) AS s, sum(n) AS n FROM s GROUP BY ALL)"
-    f" SELECT o_orderkey, {r('CASE WHEN t.n > s.n THEN (t.s - s.s) / (t.n - s.n) ELSE (SELECT avg(o_totalprice) FROM f) END', 2)}"
+    f"WITH f AS (SELECT o_orderkey, o_custkey, price, o_orderkey % 5 AS fold FROM {WHOLE.sql}), s AS (SELECT o_custkey, fold,"
+    " sum(price) AS s, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT o_custkey, sum(s) AS s, sum(n) AS n FROM s GROUP BY ALL)"
+    " SELECT o_orderkey, CASE WHEN t.n > s.n THEN (t.s - s.s) / (t.n - s.n) ELSE (SELECT avg(price) FROM f) END"
     " AS o_custkey_target FROM f JOIN s USING (o_custkey, fold) JOIN t USING (o_custkey)",
 )
 def target_encode_folds(spark, sf_dir):
-    encoded = prepare.target_encode(ORDERS.frame(spark, sf_dir), "o_custkey", "o_totalprice", F.expr("o_orderkey % 5"))
-    return encoded.select("o_orderkey", rnd(F.col("o_custkey_target"), 2).alias("o_custkey_target"))
+    encoded = prepare.target_encode(WHOLE.frame(spark, sf_dir), "o_custkey", "price", F.expr("o_orderkey % 5"))
+    return encoded.select("o_orderkey", "o_custkey_target")
 
 
 @query("log1p_skewed", f"SELECT event_id, {r('ln(1 + value)', 6)} AS value FROM events")
 def log1p_skewed(spark, sf_dir):
     logged = prepare.log1p_skewed(EVENTS.frame(spark, sf_dir).select("event_id", "value"))
-    return logged.withColumn("value", rnd(F.col("value"), 6))
+    return logged.withColumn("value", rnd("value", 6))
 
 
 _Z = "({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
@@ -110,7 +114,7 @@ _Z = "({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
 def standard_scale(spark, sf_dir):
     df = LINEITEM.frame(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     scaled = prepare.standard_scale(df, ["l_quantity", "l_extendedprice"])
-    return scaled.withColumns({c: rnd(F.col(c), 6) for c in ("l_quantity", "l_extendedprice")})
+    return scaled.withColumns({c: rnd(c, 6) for c in ("l_quantity", "l_extendedprice")})
 
 
 @query(
@@ -130,7 +134,7 @@ def date_parts(spark, sf_dir):
 )
 def pair_ratio(spark, sf_dir):
     added = prepare.pair_ratio(PRICES.frame(spark, sf_dir))
-    return added.select("o", "n", *[rnd(F.col(c), 6).alias(c) for c in added.columns if c.endswith("_ratio")])
+    return added.select("o", "n", *[rnd(c, 6).alias(c) for c in added.columns if c.endswith("_ratio")])
 
 
 @query(

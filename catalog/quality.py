@@ -180,7 +180,7 @@ def _rules(facts: str, rules: list[tuple[str, str, str, str, str, str]]) -> str:
 def _fired(source: Source, rule_set: str):
     def run(spark, sf_dir) -> DataFrame:
         found = findings.findings(source.profile(spark, sf_dir), rule_set)
-        return found.select("rule_id", "column_name", "severity", rnd(F.col("value"), 2).alias("value"))
+        return found.select("rule_id", "column_name", "severity", rnd("value", 2).alias("value"))
 
     return run
 

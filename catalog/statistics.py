@@ -21,7 +21,7 @@ _EVENTS_FACTS = f"WITH {column_facts(EVENTS.sql, _EVENTS_NUMERIC)}"
 
 def _coarse_variance(df):
     """Variances of prices have no four stable decimals: the order of additions shows in the last ones."""
-    return df.withColumn("variance", rnd(F.col("variance"), 0))
+    return df.withColumn("variance", rnd("variance", 0))
 
 
 _VARIANCE = r(r("variance"), 0)
@@ -161,7 +161,7 @@ def outlier_samples(spark, sf_dir):
 )
 def cap_outliers(spark, sf_dir):
     capped = outliers.cap_outliers(GAPS.profile(spark, sf_dir), ["value"])
-    return capped.select("event_id", rnd(F.col("value"), 4).alias("value"))
+    return capped.select("event_id", rnd("value", 4).alias("value"))
 
 
 @query(
@@ -215,7 +215,7 @@ def histogram_bins(spark, sf_dir):
 def density_curve(spark, sf_dir):
     """Density in millionths, so that four decimals say something about prices."""
     curve = charts.density_curve(HISTOGRAM.frame(spark, sf_dir))
-    return curve.withColumn("density", rnd(F.col("density") * 1e6, 4))
+    return curve.withColumn("density", rnd("density * 1e6", 4))
 
 
 @query("skewness_bars", f"{_EVENTS_FACTS} SELECT column_name, {r('skew', 3)} AS skewness FROM cols")
@@ -245,7 +245,7 @@ def scatter3d_sample(spark, sf_dir):
 @query(
     "numeric_profile_infinite",
     f"WITH src AS {INFINITE.sql}, b AS (SELECT CASE WHEN isinf(value) THEN NULL ELSE value END AS v, value FROM src)"
-    " SELECT 'value' AS column_name, count(value) AS count, quantile_cont(value, 0.5) AS median, count(DISTINCT value) AS unique_count,"
+    " SELECT 'value' AS column_name, count(value) AS count, {r('quantile_cont(value, 0.5)')} AS median, count(DISTINCT value) AS unique_count,"
     " count(*) FILTER (WHERE value < 0) AS negative_count FROM b",
 )
 def numeric_profile_infinite(spark, sf_dir):

@@ -35,7 +35,7 @@ _COLUMNS = {
     "detect_native_datetime",
     union(
         f"SELECT '{c}' AS column_name, {c == 'ts'} AS detected, {chr(39) + 'native' + chr(39) if c == 'ts' else 'NULL'} AS format,"
-        f" {pct(f'count({c})', 'count(*)') if c == 'ts' else '0.0::DOUBLE'} AS parse_success FROM events"
+        f" {pct(f'count({c})', 'count(*)') if c == 'ts' else '0.0::DOUBLE'} AS parse_success FROM events HAVING count(*) > 0"
         for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
     ),
 )
@@ -47,7 +47,7 @@ def detect_native_datetime(spark, sf_dir):
     "detect_string_datetime",
     union(
         f"SELECT '{c}' AS column_name, {c == 'seen'} AS detected, {chr(39) + 'YYYY-MM-DD' + chr(39) if c == 'seen' else 'NULL'} AS format,"
-        f" {pct(f'count({c})', 'count(*)') if c == 'seen' else '0.0::DOUBLE'} AS parse_success FROM {src}"
+        f" {pct(f'count({c})', 'count(*)') if c == 'seen' else '0.0::DOUBLE'} AS parse_success FROM {src} HAVING count(*) > 0"
         for c, src in (("event_id", DIRTY_SQL), ("seen", _PARSED), ("event_type", DIRTY_SQL))
     ),
 )
@@ -172,7 +172,7 @@ def _seasonal(source: str, c: str) -> str:
     return (
         f"SELECT '{c}' AS column_name, {pick('year', 'DESC')} AS most_active_year, {pick('month', 'DESC')} AS most_active_month,"
         f" {pick('month', 'ASC')} AS least_active_month, {pick('quarter', 'DESC')} AS most_active_quarter, {pick('weekday', 'DESC')}"
-        f" AS most_active_weekday FROM {source} GROUP BY ALL"
+        f" AS most_active_weekday FROM (SELECT count(*) FROM {source})"
     )
 
 

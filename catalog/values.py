@@ -321,7 +321,7 @@ _DOCUMENT_GATE = f"WITH g AS (SELECT *, NOT (avg_length < 20 AND avg_words < 3)
 )
 def text_gate(spark, sf_dir):
     gate = text.text_gate(DOCUMENTS.frame(spark, sf_dir))
-    return gate.withColumns({c: rnd(F.col(c), 4) for c in ("avg_length", "avg_words")})
+    return gate.withColumns({c: rnd(c, 4) for c in ("avg_length", "avg_words")})
 
 
 @query(
@@ -331,7 +331,7 @@ def text_gate(spark, sf_dir):
 )
 def text_gate_customer(spark, sf_dir):
     gate = text.text_gate(CUSTOMER.frame(spark, sf_dir))
-    return gate.withColumns({c: rnd(F.col(c), 4) for c in ("avg_length", "avg_words")})
+    return gate.withColumns({c: rnd(c, 4) for c in ("avg_length", "avg_words")})
 
 
 @query(

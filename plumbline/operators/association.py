@@ -51,7 +51,7 @@ def pearson_matrix(table: DataFrame | Profile, *, include_identifiers: bool = Fa
     return (
         pairs.unionByName(mirrored)
         .unionByName(own)
-        .select("column_a", "column_b", rnd(F.col("r"), 4).alias("correlation"))
+        .select("column_a", "column_b", rnd("r", 4).alias("correlation"))
     )
 
 
@@ -63,7 +63,7 @@ def correlation_heatmap(table: DataFrame | Profile) -> DataFrame:
 def correlation_buckets(table: DataFrame | Profile) -> DataFrame:
     """Pairs whose rounded r is at least weak, in buckets, with the strength in words and the direction."""
     p = as_profile(table)
-    found = _pearson_pairs(p, False).select("column_a", "column_b", rnd(F.col("r"), 4).alias("correlation"))
+    found = _pearson_pairs(p, False).select("column_a", "column_b", rnd("r", 4).alias("correlation"))
     r = F.col("correlation")
     size = F.abs(r)
     bucket = (
@@ -98,7 +98,7 @@ def direction(r: Column) -> Column:
 def correlation_reading(table: DataFrame | Profile) -> DataFrame:
     """Strength, direction and a sentence for every defined pair."""
     found = _pearson_pairs(as_profile(table), False).where("r IS NOT NULL")
-    r = rnd(F.col("r"), 4)
+    r = rnd("r", 4)
     tendency = F.when(r > 0, "rises").otherwise("falls")
     return found.select(
         "column_a", "column_b", r.alias("correlation"), reading(r).alias("strength"), direction(r).alias("direction"),
@@ -130,7 +130,7 @@ def pair_pearson(table: DataFrame | Profile) -> DataFrame:
     p = as_profile(table)
     found = _pearson_pairs(p, False).where("n > 2 AND varies AND r IS NOT NULL")
     return found.select(
-        "column_a", "column_b", "n", rnd(F.col("r"), 4).alias("score"), strength(F.col("r"), PEARSON_STRENGTH).alias("strength")
+        "column_a", "column_b", "n", rnd("r", 4).alias("score"), strength(F.col("r"), PEARSON_STRENGTH).alias("strength")
     )
 
 
@@ -159,7 +159,7 @@ def cramers_v(table: DataFrame | Profile, pairs: list[tuple[str, str]]) -> DataF
     p = as_profile(table)
     found = plan.cramers_v(p, [(p.column(a), p.column(b)) for a, b in pairs])
     return found.select(
-        "column_a", "column_b", "n", rnd(F.col("v"), 4).alias("score"), strength(F.col("v"), OTHER_STRENGTH).alias("strength")
+        "column_a", "column_b", "n", rnd("v", 4).alias("score"), strength(F.col("v"), OTHER_STRENGTH).alias("strength")
     )
 
 
@@ -168,7 +168,7 @@ def correlation_ratio(table: DataFrame | Profile, categories: list[str], numbers
     p = as_profile(table)
     found = plan.correlation_ratio(p, [p.column(c) for c in categories], [p.column(c) for c in numbers])
     return found.select(
-        "category", "number", "n", rnd(F.col("eta"), 4).alias("score"), strength(F.col("eta"), OTHER_STRENGTH).alias("strength")
+        "category", "number", "n", rnd("eta", 4).alias("score"), strength(F.col("eta"), OTHER_STRENGTH).alias("strength")
     )
 
 
@@ -234,13 +234,13 @@ def _relationships(p: Profile) -> DataFrame:
         F.lit("Identifier").alias("strength"),
     )
     place = p.counts.select(F.col("column_name").alias("column_b"), F.col("ordinal").alias("_b"))
-    order = Window.partitionBy("column_a").orderBy(F.abs(rnd(F.col("score"), 4)).desc_nulls_last(), "_b")
+    order = Window.partitionBy("column_a").orderBy(F.abs(rnd("score", 4)).desc_nulls_last(), "_b")
     return (
         both.unionByName(left_out)
         .join(place, "column_b")
         .select(
             F.col("column_a").alias("column_name"), F.col("column_b").alias("feature"), "metric",
-            rnd(F.col("score"), 4).alias("score"), "strength", F.row_number().over(order).alias("rank"),
+            rnd("score", 4).alias("score"), "strength", F.row_number().over(order).alias("rank"),
         )
     )
 

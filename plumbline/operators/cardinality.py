@@ -26,7 +26,7 @@ def distinct_profile(table: DataFrame | Profile) -> DataFrame:
     return _joined(p).select(
         "column_name",
         F.col("ndv").alias("unique_count"),
-        rnd(ratio(F.col("ndv"), F.col("n_rows")), 4).alias("unique_ratio"),
+        rnd(ratio("ndv", "n_rows"), 4).alias("unique_ratio"),
         ((F.col("ndv") == F.col("n_rows")) & (F.col("n_rows") > 0)).alias("is_unique"),
     )
 
@@ -38,16 +38,17 @@ def most_frequent(table: DataFrame | Profile) -> DataFrame:
         "column_name",
         F.col("mode_text").alias("most_frequent_value"),
         F.col("mode_n").alias("most_frequent_count"),
-        percent(F.col("mode_n"), F.col("n_rows")).alias("most_frequent_percentage"),
+        percent("mode_n", "n_rows").alias("most_frequent_percentage"),
     )
 
 
-def cardinality_label(identifier: Column, ndv: Column, n_rows: Column) -> Column:
-    """Cardinality class; the first that applies."""
+def cardinality_label(identifier: Column) -> Column:
+    """Cardinality class from ``unique_count`` and ``n_rows``; the first that applies."""
+    ndv, n_rows = F.col("unique_count"), F.col("n_rows")
     unique = (ndv == n_rows) & (n_rows > 0)
     return (
         F.when(unique | identifier, "Unique Identifier")
-        .when(rnd(ratio(ndv, n_rows), 4) > HIGH_CARDINALITY_RATIO, "High Cardinality")
+        .when(rnd(ratio("unique_count", "n_rows"), 4) > HIGH_CARDINALITY_RATIO, "High Cardinality")
         .when(ndv <= 1, "Zero Variance / Constant")
         .when(ndv <= 10, "Low Cardinality")
         .otherwise("Moderate Cardinality")
@@ -67,7 +68,7 @@ def unique_values(table: DataFrame | Profile) -> DataFrame:
         .crossJoin(F.broadcast(p.counts.agg(F.max("n_rows").alias("n_rows"))))
         .withColumn(
             "cardinality_status",
-            cardinality_label(F.col("semantic_type") == "Identifier", F.col("unique_count"), F.col("n_rows")),
+            cardinality_label(F.col("semantic_type") == "Identifier"),
         )
         .withColumnRenamed("ignored", "is_identifier")
         .drop("n_rows")
@@ -77,7 +78,7 @@ def unique_values(table: DataFrame | Profile) -> DataFrame:
 def categorical_profile(table: DataFrame | Profile) -> DataFrame:
     """Distinct count, cardinality ratio and the high-cardinality flag of string and boolean columns."""
     p = as_profile(table)
-    share = rnd(ratio(F.col("ndv"), F.col("n_rows")), 4)
+    share = rnd(ratio("ndv", "n_rows"), 4)
     return (
         _joined(p)
         .where(F.col("ordinal").isin([c.ordinal for c in p.categorical]))
@@ -121,7 +122,7 @@ def top_categories(table: DataFrame | Profile, top: int = TOP_CATEGORIES) -> Dat
     ranked = category_counts(p).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return _with_texts(p, ranked).select(
         "column_name", "rank", F.col("key").alias("value"), F.col("n").alias("count"),
-        percent(F.col("n"), F.lit(p.n_rows)).alias("percentage"),
+        percent("n", str(p.n_rows)).alias("percentage"),
     )
 
 
@@ -166,7 +167,7 @@ def pareto(table: DataFrame | Profile, column: str) -> DataFrame:
         "column_name",
         F.col("key").alias("value"),
         F.col("n").alias("count"),
-        rnd(ratio(F.col("running"), F.col("total")) * 100.0, 4).alias("cumulative_percentage"),
+        percent("running", "total", 4).alias("cumulative_percentage"),
     )
 
 
@@ -179,5 +180,5 @@ def class_distribution(table: DataFrame | Profile, column: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).select(
         F.col("class").cast("string").alias("class"),
         "count",
-        percent(F.col("count"), F.col("total")).alias("percentage"),
+        percent("count", "total").alias("percentage"),
     )

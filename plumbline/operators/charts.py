@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent, rnd
@@ -64,9 +64,9 @@ def _bins(p: Profile) -> DataFrame:
 def histogram_bins(table: DataFrame | Profile) -> DataFrame:
     """Equal-width bins of each numeric column; the maximum belongs to the last bin."""
     p = as_profile(table)
-    start = F.col("low") + F.col("bin") * F.col("width")
+    start = "low + bin * width"
     return _bins(p).select(
-        "column_name", "bin", rnd(start, 4).alias("bin_start"), rnd(start + F.col("width"), 4).alias("bin_end"),
+        "column_name", "bin", rnd(start, 4).alias("bin_start"), rnd(f"({start}) + width", 4).alias("bin_end"),
         F.col("n").alias("count"),
     )
 
@@ -85,7 +85,7 @@ def density_curve(table: DataFrame | Profile) -> DataFrame:
         .join(masses, "column_name")  # at most 200 x 200 rows per column
         .groupBy("column_name", "bin", "centre")
         .agg((F.sum(F.col("n") * kernel) / F.first("total")).alias("density"))
-        .select("column_name", "bin", rnd(F.col("centre"), 4).alias("x"), "density")
+        .select("column_name", "bin", rnd("centre", 4).alias("x"), "density")
     )
 
 
@@ -96,7 +96,7 @@ def box_stats(table: DataFrame | Profile) -> DataFrame:
     return p.fences.where("non_null > 0").join(means, "column_name").select(
         "column_name",
         *[
-            rnd(F.col(c), 4).alias(n)
+            rnd(c, 4).alias(n)
             for c, n in (
                 ("min_num", "min"), ("whisker_low", "whisker_low"), ("q1", "q1"), ("median", "median"), ("q3", "q3"),
                 ("whisker_high", "whisker_high"), ("max_num", "max"), ("mean", "mean"),
@@ -110,7 +110,8 @@ def skewness_bars(table: DataFrame | Profile) -> DataFrame:
     """Skewness per numeric column to three decimals."""
     p = as_profile(table)
     skew = adjusted_skewness(F.col("non_null"), F.col("skew_pop"))
-    shown = p.moments.where("mean IS NOT NULL").select("column_name", rnd(skew, 3).alias("skewness"))
+    shown = p.moments.where("mean IS NOT NULL").withColumn("skew_adj", skew)
+    shown = shown.select("column_name", rnd("skew_adj", 3).alias("skewness"))
     return shown.where("skewness IS NOT NULL")
 
 
@@ -128,8 +129,8 @@ def category_counts_chart(table: DataFrame | Profile) -> DataFrame:
 def category_shares(table: DataFrame | Profile, slices: int = 8) -> DataFrame:
     """Top eight values of the first categorical column, as shares of those eight."""
     top = category_counts_chart(table).where(F.col("rank") <= slices)
-    total = F.sum("count").over(Window.partitionBy("column_name"))  # at most ``slices`` rows
-    return top.withColumn("share", percent(F.col("count"), total))
+    shown = top.agg(F.sum("count").alias("shown"))
+    return top.crossJoin(F.broadcast(shown)).withColumn("share", percent("count", "shown")).drop("shown")
 
 
 def scatter_fit(table: DataFrame | Profile) -> DataFrame:
@@ -142,8 +143,8 @@ def scatter_fit(table: DataFrame | Profile) -> DataFrame:
     line = p.df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
     return line.select(
         F.lit(top["column_a"]).alias("column_a"), F.lit(top["column_b"]).alias("column_b"),
-        F.lit(top["correlation"]).alias("correlation"), rnd(F.col("slope"), 4).alias("slope"),
-        rnd(F.col("intercept"), 4).alias("intercept"),
+        F.lit(top["correlation"]).alias("correlation"), rnd("slope", 4).alias("slope"),
+        rnd("intercept", 4).alias("intercept"),
     )
 
 

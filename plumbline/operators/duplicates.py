@@ -18,7 +18,7 @@ def duplicate_summary(table: DataFrame | Profile) -> DataFrame:
     """
     p = as_profile(table)
     counted = p.spark.createDataFrame([(p.n_rows, p.n_rows - p.distinct_rows)], "n_rows bigint, duplicate_rows bigint")
-    share = percent(F.col("duplicate_rows"), F.col("n_rows"))
+    share = percent("duplicate_rows", "n_rows")
     return counted.select(
         "n_rows",
         "duplicate_rows",

@@ -110,7 +110,7 @@ def _column_rules(p: Profile) -> DataFrame:
     category = c("is_high_cardinality").isNotNull()
     high = c("is_high_cardinality")
     constant = c("unique_count") <= 1
-    top_pct = percent(c("mode_n"), c("n_rows"))
+    top_pct = percent("mode_n", "n_rows")
     top = fmt("most frequent: %s (%.2f %%)", c("mode_text"), top_pct)
     many_outliers = (outliers > 0) & (outlier_pct >= 1.0)
     money = reduce(Column.__or__, [lower.contains(w) for w in ("salary", "income", "price", "amount")])

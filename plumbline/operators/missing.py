@@ -16,7 +16,7 @@ def missing_by_column(table: DataFrame | Profile) -> DataFrame:
         "ordinal",
         "column_name",
         F.col("null_count").alias("missing_count"),
-        percent(F.col("null_count"), F.col("n_rows")).alias("missing_percentage"),
+        percent("null_count", "n_rows").alias("missing_percentage"),
     )
 
 
@@ -27,7 +27,7 @@ def missing_totals(table: DataFrame | Profile) -> DataFrame:
         F.coalesce(F.sum("null_count"), F.lit(0)).alias("total_missing_cells"),
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_cells"),
         F.count_if(F.col("null_count") > 0).alias("columns_with_missing"),
-    ).withColumn("overall_missing_percentage", percent(F.col("total_missing_cells"), F.col("total_cells")))
+    ).withColumn("overall_missing_percentage", percent("total_missing_cells", "total_cells"))
 
 
 def missing_flags(table: DataFrame | Profile) -> DataFrame:

@@ -54,8 +54,9 @@ def distribution_class(skewness: Column) -> Column:
     )
 
 
-def _or_zero(x: Column) -> Column:
-    return F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))
+def _or_zero(x: str) -> str:
+    """Zero for a missing value or NaN."""
+    return f"if(isnan({x}), 0D, coalesce({x}, 0D))"
 
 
 def _numeric_rows(p: Profile) -> DataFrame:
@@ -70,12 +71,12 @@ def numeric_describe(table: DataFrame | Profile) -> DataFrame:
     return _numeric_rows(p).where("non_null > 0").select(
         "column_name",
         F.col("non_null").alias("count"),
-        rnd(F.col("mean"), 4).alias("mean"),
-        rnd(_or_zero(F.col("std")), 4).alias("std"),
-        rnd(_or_zero(F.col("variance")), 4).alias("variance"),
-        rnd(F.col("min_num"), 4).alias("min"),
-        rnd(F.col("max_num"), 4).alias("max"),
-        rnd(F.col("max_num") - F.col("min_num"), 4).alias("range"),
+        rnd("mean", 4).alias("mean"),
+        rnd(_or_zero("std"), 4).alias("std"),
+        rnd(_or_zero("variance"), 4).alias("variance"),
+        rnd("min_num", 4).alias("min"),
+        rnd("max_num", 4).alias("max"),
+        rnd("max_num - min_num", 4).alias("range"),
     )
 
 
@@ -86,8 +87,8 @@ def numeric_quantiles(table: DataFrame | Profile) -> DataFrame:
     df = p.spark.createDataFrame(rows, "column_name string, q1 double, median double, q3 double")
     return df.select(
         "column_name",
-        *[rnd(F.col(c), 4).alias(c) for c in ("q1", "median", "q3")],
-        rnd(F.col("q3") - F.col("q1"), 4).alias("iqr"),
+        *[rnd(c, 4).alias(c) for c in ("q1", "median", "q3")],
+        rnd("q3 - q1", 4).alias("iqr"),
     )
 
 
@@ -95,7 +96,7 @@ def numeric_mode(table: DataFrame | Profile) -> DataFrame:
     """The most frequent value, the smallest one on ties."""
     p = as_profile(table)
     return _of_numeric(p, p.distinct).where("ndv > 0").select(
-        "column_name", rnd(F.col("mode_number"), 4).alias("mode"), F.col("mode_n").alias("mode_count")
+        "column_name", rnd("mode_number", 4).alias("mode"), F.col("mode_n").alias("mode_count")
     )
 
 
@@ -108,8 +109,8 @@ def skewness_kurtosis(table: DataFrame | Profile) -> DataFrame:
     p = as_profile(table)
     return _numeric_rows(p).where("non_null > 0").select(
         "column_name",
-        rnd(F.col("skew_adj"), 4).alias("skewness"),
-        rnd(F.col("kurt_adj"), 4).alias("kurtosis"),
+        rnd("skew_adj", 4).alias("skewness"),
+        rnd("kurt_adj", 4).alias("kurtosis"),
         distribution_class(F.col("skew_adj")).alias("distribution"),
     )
 
@@ -135,6 +136,7 @@ def invalid_values(table: DataFrame | Profile) -> DataFrame:
 def numeric_profile(table: DataFrame | Profile) -> DataFrame:
     """All statistics per numeric column, or a note for a column without values."""
     p = as_profile(table)
+    p.warm("moments", "distinct", "fences")
     stats = (
         _numeric_rows(p)
         .join(p.fences.drop("column_name", "non_null"), "ordinal")
@@ -148,19 +150,19 @@ def numeric_profile(table: DataFrame | Profile) -> DataFrame:
     return stats.select(
         "column_name",
         shown(F.col("non_null"), "count"),
-        shown(rnd(F.col("mean"), 4), "mean"),
-        shown(rnd(F.col("median"), 4), "median"),
-        shown(rnd(F.col("mode_number"), 4), "mode"),
-        shown(rnd(_or_zero(F.col("std")), 4), "std"),
-        shown(rnd(_or_zero(F.col("variance")), 4), "variance"),
-        shown(rnd(F.col("min_num"), 4), "min"),
-        shown(rnd(F.col("max_num"), 4), "max"),
-        shown(rnd(F.col("max_num") - F.col("min_num"), 4), "range"),
-        shown(rnd(F.col("q1"), 4), "q1"),
-        shown(rnd(F.col("q3"), 4), "q3"),
-        shown(rnd(F.col("iqr"), 4), "iqr"),
-        shown(rnd(F.col("skew_adj"), 4), "skewness"),
-        shown(rnd(F.col("kurt_adj"), 4), "kurtosis"),
+        shown(rnd("mean", 4), "mean"),
+        shown(rnd("median", 4), "median"),
+        shown(rnd("mode_number", 4), "mode"),
+        shown(rnd(_or_zero("std"), 4), "std"),
+        shown(rnd(_or_zero("variance"), 4), "variance"),
+        shown(rnd("min_num", 4), "min"),
+        shown(rnd("max_num", 4), "max"),
+        shown(rnd("max_num - min_num", 4), "range"),
+        shown(rnd("q1", 4), "q1"),
+        shown(rnd("q3", 4), "q3"),
+        shown(rnd("iqr", 4), "iqr"),
+        shown(rnd("skew_adj", 4), "skewness"),
+        shown(rnd("kurt_adj", 4), "kurtosis"),
         shown(distribution_class(F.col("skew_adj")), "distribution"),
         shown(F.col("ndv"), "unique_count"),
         shown(F.col("zeros"), "zero_count"),
@@ -178,6 +180,7 @@ def distribution_summary(table: DataFrame | Profile) -> DataFrame:
 def numeric_feature_summary(table: DataFrame | Profile) -> DataFrame:
     """Shape, skewness, kurtosis and outlier count per numeric column."""
     p = as_profile(table)
+    p.warm("moments", "fences")
     outliers = p.fences.select("column_name", "outlier_count")
     return skewness_kurtosis(p).join(outliers, "column_name").select(
         "column_name", "distribution", "skewness", "kurtosis", "outlier_count",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent, rnd
@@ -17,16 +17,18 @@ def iqr_outliers(table: DataFrame | Profile) -> DataFrame:
 
     A column with fewer than two distinct values has a zero IQR, no fences and no outliers.
     """
-    p = as_profile(table)
-    has = F.col("lower").isNotNull()
-    return p.fences.select(
-        "column_name",
-        F.when(has, rnd(F.col("iqr"), 4)).otherwise(0.0).alias("iqr"),
-        rnd(F.col("lower"), 4).alias("lower_bound"),
-        rnd(F.col("upper"), 4).alias("upper_bound"),
-        "outlier_count",
-        percent(F.col("outlier_count"), F.col("non_null")).alias("outlier_percentage"),
-    )
+    return as_profile(table).fences.select("column_name", *[c.alias(n) for n, c in outlier_columns().items()])
+
+
+def outlier_columns() -> dict[str, Column]:
+    """The reported columns, from the fences."""
+    return {
+        "iqr": F.when(F.col("lower").isNotNull(), rnd("iqr", 4)).otherwise(0.0),
+        "lower_bound": rnd("lower", 4),
+        "upper_bound": rnd("upper", 4),
+        "outlier_count": F.col("outlier_count"),
+        "outlier_percentage": percent("outlier_count", "non_null"),
+    }
 
 
 def outlier_rows(table: DataFrame | Profile, column: str) -> DataFrame:
@@ -66,7 +68,7 @@ def outlier_samples(table: DataFrame | Profile, per_column: int = 10) -> DataFra
     return (
         long.withColumn("position", F.row_number().over(w))
         .where(F.col("position") <= per_column)
-        .select("column_name", "position", *[quoted(f"row_{n}") for n in p.order_by], rnd(F.col("value"), 4).alias("value"))
+        .select("column_name", "position", *[quoted(f"row_{n}") for n in p.order_by], rnd("value", 4).alias("value"))
     )
 
 

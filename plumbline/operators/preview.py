@@ -33,7 +33,7 @@ def column_info(table: DataFrame | Profile) -> DataFrame:
     p = as_profile(table)
     return p.counts.select(
         "ordinal", "column_name", "data_type", F.col("non_null").alias("non_null_count"), "null_count",
-        percent(F.col("null_count"), F.col("n_rows")).alias("null_percentage"), "bytes",
+        percent("null_count", "n_rows").alias("null_percentage"), "bytes",
     )
 
 
@@ -42,7 +42,7 @@ def logical_bytes(table: DataFrame | Profile) -> DataFrame:
     p = as_profile(table)
     total = p.counts.agg(F.sum("bytes").alias("total_bytes"))
     return p.counts.select("column_name", "bytes").crossJoin(F.broadcast(total)).select(
-        "column_name", "bytes", "total_bytes", rnd(F.col("total_bytes") / MEGABYTE, 4).alias("total_mb")
+        "column_name", "bytes", "total_bytes", rnd(f"total_bytes / {MEGABYTE}D", 4).alias("total_mb")
     )
 
 

@@ -170,10 +170,10 @@ def target_stats(table: DataFrame | Profile, column: str) -> DataFrame:
     p = as_profile(table)
     return p.moments.where(F.col("column_name") == column).select(
         F.col("column_name").alias("target_column"),
-        rnd(F.col("mean"), 4).alias("mean"),
-        rnd(F.col("std"), 4).alias("std"),
-        rnd(F.col("min_num"), 4).alias("min"),
-        rnd(F.col("max_num"), 4).alias("max"),
+        rnd("mean", 4).alias("mean"),
+        rnd("std", 4).alias("std"),
+        rnd("min_num", 4).alias("min"),
+        rnd("max_num", 4).alias("max"),
     )
 
 
@@ -184,7 +184,7 @@ def target_correlations(table: DataFrame | Profile, column: str) -> DataFrame:
     p = as_profile(table)
     pairs = [(c, p.column(column)) for c in p.numeric if c.name != column]
     return pearson(p, pairs).where("r IS NOT NULL").select(
-        F.col("column_a").alias("column_name"), rnd(F.col("r"), 4).alias("correlation")
+        F.col("column_a").alias("column_name"), rnd("r", 4).alias("correlation")
     )
 
 

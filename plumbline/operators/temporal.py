@@ -118,7 +118,7 @@ def detect_datetime(table: DataFrame | Profile) -> DataFrame:
         for c in p.columns
     ]
     df = p.spark.createDataFrame(rows, "ordinal int, column_name string, detected boolean, format string, good bigint")
-    share = F.when(F.col("detected"), percent(F.col("good"), F.lit(p.n_rows))).otherwise(0.0)
+    share = F.when(F.col("detected"), percent("good", str(p.n_rows))).otherwise(0.0)
     return df.select("column_name", "detected", "format", share.alias("parse_success"))
 
 
@@ -223,26 +223,23 @@ def time_span(table: DataFrame | Profile) -> DataFrame:
 def missing_timestamps(table: DataFrame | Profile) -> DataFrame:
     """Rows without a readable datetime, and their share."""
     p = as_profile(table)
-    lost = F.col("n_rows") - F.col("readable")
     return _ranges(p).select(
-        "column_name", lost.alias("missing_dates"), percent(lost, F.col("n_rows")).alias("missing_percentage")
+        "column_name", F.expr("n_rows - readable").alias("missing_dates"), percent("n_rows - readable", "n_rows").alias("missing_percentage")
     )
 
 
 def duplicate_timestamps(table: DataFrame | Profile) -> DataFrame:
     """Rows that repeat an earlier instant, and their share. Missing instants equal each other."""
     p = as_profile(table)
-    repeated = _repeated()
     return _ranges(p).select(
         "column_name",
-        repeated.alias("duplicate_timestamps"),
-        percent(repeated, F.col("n_rows")).alias("duplicate_percentage"),
+        F.expr(_REPEATED).alias("duplicate_timestamps"),
+        percent(_REPEATED, "n_rows").alias("duplicate_percentage"),
     )
 
 
-def _repeated() -> Column:
-    some_missing = (F.col("n_rows") > F.col("readable")).cast("bigint")
-    return F.col("n_rows") - F.col("ndv") - some_missing
+# Every row beyond the first of its instant; the missing ones are one more group.
+_REPEATED = "n_rows - ndv - if(n_rows > readable, 1L, 0L)"
 
 
 def _named(names: tuple[str, ...], position: Column) -> Column:

@@ -47,7 +47,7 @@ def text_gate(table: DataFrame | Profile) -> DataFrame:
 def text_lengths(table: DataFrame | Profile) -> DataFrame:
     """Mean, shortest and longest length in characters of each text column."""
     return text_gate(table).where("is_text").select(
-        "column_name", rnd(F.col("avg_length"), 2).alias("avg_length"), "min_length", "max_length"
+        "column_name", rnd("avg_length", 2).alias("avg_length"), "min_length", "max_length"
     )
 
 
