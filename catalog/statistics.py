@@ -245,7 +245,7 @@ def scatter3d_sample(spark, sf_dir):
 @query(
     "numeric_profile_infinite",
     f"WITH src AS {INFINITE.sql}, b AS (SELECT CASE WHEN isinf(value) THEN NULL ELSE value END AS v, value FROM src)"
-    " SELECT 'value' AS column_name, count(value) AS count, {r('quantile_cont(value, 0.5)')} AS median, count(DISTINCT value) AS unique_count,"
+    f" SELECT 'value' AS column_name, count(value) AS count, {r('quantile_cont(value, 0.5)')} AS median, count(DISTINCT value) AS unique_count,"
     " count(*) FILTER (WHERE value < 0) AS negative_count FROM b",
 )
 def numeric_profile_infinite(spark, sf_dir):

@@ -11,7 +11,7 @@ from plumbline.functions.fixed import MODERATE, OTHER_STRENGTH, PEARSON_STRENGTH
 from plumbline.functions.rounding import rnd
 from plumbline.operators.semantics import ignored_columns
 from plumbline.plans import pairs as plan
-from plumbline.plans.small import pinned
+from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile, as_profile
 
 
@@ -207,7 +207,7 @@ def _relationships(p: Profile) -> DataFrame:
         )
     if others and numbers:
         eta = plan.correlation_ratio(p, others, numbers)
-        everything = p.spark.createDataFrame(
+        everything = local(p.spark, 
             [(a.name, b.name) for a in others for b in numbers], "category string, number string"
         )
         # a pair without a complete row has no group to report, and scores zero
@@ -227,7 +227,7 @@ def _relationships(p: Profile) -> DataFrame:
         F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "metric", "score", "strength"
     )
     both = once.unionByName(mirror)
-    left_out = p.spark.createDataFrame(
+    left_out = local(p.spark, 
         [(c.name, i) for c in used for i in sorted(ignored)], "column_a string, column_b string"
     ).select(
         "column_a", "column_b", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("score"),

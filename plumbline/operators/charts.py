@@ -14,7 +14,7 @@ from plumbline.operators.cardinality import top_categories
 from plumbline.operators.missing import complete_cases
 from plumbline.operators.numeric import adjusted_skewness
 from plumbline.operators.temporal import detect_datetime, records_per
-from plumbline.plans.small import pinned
+from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile, as_profile
 
 MOST_BINS = 200
@@ -48,14 +48,14 @@ def _bins(p: Profile) -> DataFrame:
         cells += [F.lit(c.ordinal), at]
         shape.append((c.ordinal, c.name, bins, low, width, facts["non_null"]))
     schema = "ordinal int, column_name string, bins int, low double, width double, non_null bigint"
-    grid = p.spark.createDataFrame(shape, schema).withColumn(
+    grid = local(p.spark, shape, schema).withColumn(
         "bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))
     )
     if cells:
         long = p.df.select(F.stack(F.lit(len(shape)), *cells).alias("ordinal", "bin")).where("bin IS NOT NULL")
         counted = long.groupBy("ordinal", "bin").agg(F.count(F.lit(1)).alias("n"))
     else:
-        counted = p.spark.createDataFrame([], "ordinal int, bin int, n bigint")
+        counted = local(p.spark, [], "ordinal int, bin int, n bigint")
     filled = grid.join(counted, ["ordinal", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     p.__dict__["bins"] = pinned(filled)
     return p.__dict__["bins"]
@@ -138,7 +138,7 @@ def scatter_fit(table: DataFrame | Profile) -> DataFrame:
     p = as_profile(table)
     top = rank_pairs(p).where("strong_rank = 1").first()
     if top is None:
-        return p.spark.createDataFrame([], "column_a string, column_b string, correlation double, slope double, intercept double")
+        return local(p.spark, [], "column_a string, column_b string, correlation double, slope double, intercept double")
     x, y = p.column(top["column_a"]).number(), p.column(top["column_b"]).number()
     line = p.df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
     return line.select(

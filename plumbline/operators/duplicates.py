@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent
 from plumbline.functions.types import quoted
+from plumbline.plans.small import local
 from plumbline.profile import Profile, as_profile, row_keys
 
 
@@ -17,7 +18,7 @@ def duplicate_summary(table: DataFrame | Profile) -> DataFrame:
     is one key per task.
     """
     p = as_profile(table)
-    counted = p.spark.createDataFrame([(p.n_rows, p.n_rows - p.distinct_rows)], "n_rows bigint, duplicate_rows bigint")
+    counted = local(p.spark, [(p.n_rows, p.n_rows - p.distinct_rows)], "n_rows bigint, duplicate_rows bigint")
     share = percent("duplicate_rows", "n_rows")
     return counted.select(
         "n_rows",

@@ -1,14 +1,16 @@
 """Rules over the profile, as rows instead of prose.
 
-Every rule is a condition on one row of the table facts, the column facts or the ranked pairs. Result columns:
-``rule_set, rule_id, column_name, severity, metric, value, message``.
+A rule is a condition on one row of the table facts, the column facts, the ranked pairs, the detected datetime columns
+or the detected target, written in SQL over their columns. Result columns: ``rule_set, rule_id, column_name, severity,
+metric, value, message``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent
@@ -19,229 +21,245 @@ from plumbline.operators.temporal import datetime_findings, detect_datetime
 from plumbline.plans.small import pinned
 from plumbline.profile import Profile, as_profile
 
-RULE_SETS = (
-    "observations", "summary_findings", "summary_problems", "summary_cleaning", "recommendations", "insights",
-    "feature_suggestions",
+SCHEMA = "rule_set string, rule_id string, column_name string, severity string, metric string, value double, message string"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``when``, ``value`` and ``message`` are SQL; ``metric`` names the value; ``severity`` is SQL too."""
+
+    rule_set: str
+    rule_id: str
+    when: str
+    metric: str
+    value: str
+    message: str
+    severity: str = "'info'"
+
+    def sql(self, column: str) -> str:
+        fields = {
+            "rule_set": f"'{self.rule_set}'", "rule_id": f"'{self.rule_id}'", "column_name": f"string({column})",
+            "severity": self.severity, "metric": f"'{self.metric}'", "value": f"double({self.value})",
+            "message": self.message,
+        }
+        listed = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+        return f"if({self.when}, named_struct({listed}), NULL)"
+
+
+_PROBLEM, _ACTION, _HIGH, _MEDIUM = "'problem'", "'action'", "'High'", "'Medium'"
+_SCALE = "format_string('%d rows, %d columns', n_rows, n_columns)"
+_MISSING = "format_string('%.2f %% of cells are missing (%d)', overall_missing_percentage, total_missing_cells)"
+_REPEATED = "format_string('%d duplicate rows (%.2f %%)', duplicate_rows, duplicate_percentage)"
+_REDUNDANT = "format_string('%d strongly correlated pairs', strong_pairs)"
+_NO_GAPS, _NO_COPIES = "'no missing values'", "'no duplicate rows'"
+
+TABLE_RULES = (
+    Rule("observations", "scale", "true", "n_rows", "n_rows", _SCALE),
+    Rule("observations", "complete", "total_missing_cells = 0", "missing_cells", "total_missing_cells", _NO_GAPS),
+    Rule("observations", "missing", "total_missing_cells > 0", "missing_percentage", "overall_missing_percentage", _MISSING),
+    Rule("observations", "no_duplicates", "duplicate_rows = 0", "duplicate_rows", "duplicate_rows", _NO_COPIES),
+    Rule("observations", "duplicates", "duplicate_rows > 0", "duplicate_rows", "duplicate_rows", _REPEATED),
+    Rule(
+        "summary_findings", "overview", "true", "numeric_columns", "numeric_columns",
+        "format_string('%d rows, %d columns: %d numeric, %d categorical', n_rows, n_columns, numeric_columns, object_columns)",
+    ),
+    Rule("summary_findings", "complete", "total_missing_cells = 0", "missing_cells", "total_missing_cells", _NO_GAPS),
+    Rule(
+        "summary_findings", "missing", "total_missing_cells > 0", "missing_percentage", "overall_missing_percentage",
+        "format_string('%.2f %% of cells are missing in %d columns', overall_missing_percentage, columns_with_missing)",
+    ),
+    Rule("summary_findings", "duplicates", "duplicate_rows > 0", "duplicate_rows", "duplicate_rows", _REPEATED),
+    Rule("summary_problems", "duplicates", "duplicate_rows > 0", "duplicate_rows", "duplicate_rows", _REPEATED, _PROBLEM),
+    Rule("summary_problems", "redundant_features", "strong_pairs > 2", "strong_pairs", "strong_pairs", _REDUNDANT, _PROBLEM),
+    Rule(
+        "summary_problems", "none",
+        "duplicate_rows = 0 AND constant_columns = 0 AND strong_pairs <= 2 AND empty_columns = 0",
+        "problems", "0", "'no structural problems'",
+    ),
+    Rule("summary_cleaning", "dedupe", "duplicate_rows > 0", "duplicate_rows", "duplicate_rows", "'remove duplicate rows'", _ACTION),
+    Rule(
+        "summary_cleaning", "impute", "columns_with_missing > 0", "columns_with_missing", "columns_with_missing",
+        "'fill numbers with the median and categories with the mode'", _ACTION,
+    ),
+    Rule(
+        "summary_cleaning", "health", "true", "quality_score", "quality_score",
+        "format_string('quality score %.1f of 100', quality_score)",
+    ),
+    Rule(
+        "recommendations", "dedupe", "duplicate_rows > 0", "duplicate_percentage", "duplicate_percentage", _REPEATED,
+        "if(duplicate_percentage > 5, 'High', 'Medium')",
+    ),
+    Rule("insights", "scale", "true", "n_rows", "n_rows", _SCALE),
+    Rule(
+        "insights", "quality_excellent", "quality_score >= 90", "quality_score", "quality_score",
+        "format_string('quality is excellent (%.1f)', quality_score)",
+    ),
+    Rule(
+        "insights", "quality_moderate", "quality_score >= 70 AND quality_score < 90", "quality_score", "quality_score",
+        "format_string('quality is moderate (%.1f)', quality_score)",
+    ),
+    Rule(
+        "insights", "quality_low", "quality_score < 70", "quality_score", "quality_score",
+        "format_string('quality is low (%.1f)', quality_score)",
+    ),
+    Rule("insights", "complete", "total_missing_cells = 0", "missing_cells", "total_missing_cells", _NO_GAPS),
+    Rule("insights", "missing", "total_missing_cells > 0", "missing_percentage", "overall_missing_percentage", _MISSING),
+    Rule("insights", "no_duplicates", "duplicate_rows = 0", "duplicate_rows", "duplicate_rows", _NO_COPIES),
+    Rule("insights", "duplicates", "duplicate_rows > 0", "duplicate_percentage", "duplicate_percentage", _REPEATED),
+    Rule("insights", "no_outliers", "notable_outliers = 0", "outliers", "notable_outliers", "'no notable outliers'"),
+    Rule("insights", "multicollinearity", "strong_pairs > 3", "strong_pairs", "strong_pairs", _REDUNDANT),
 )
 
+_IS_NUMBER = "family IN ('int', 'float')"
+_IS_CATEGORY = "is_high_cardinality IS NOT NULL"
+_UPPER = "format_string('long upper tail (skewness %.2f)', skewness)"
+_LOWER = "format_string('long lower tail (skewness %.2f)', skewness)"
+_AROUND = "format_string('roughly symmetric around %.2f', mean)"
+_TOP = "format_string('most frequent: %s (%.2f %%)', mode_text, top_percentage)"
+_MONEY = " OR ".join(f"lower(column_name) LIKE '%{w}%'" for w in ("salary", "income", "price", "amount"))
 
-def _rule(rule_set: str, rule_id: str, when: Column, metric: str, value: Column, message: Column,
-          severity: Column | str = "info", column: Column | None = None) -> Column:
-    row = F.struct(
-        F.lit(rule_set).alias("rule_set"),
-        F.lit(rule_id).alias("rule_id"),
-        (F.lit(None) if column is None else column).cast("string").alias("column_name"),
-        (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"),
-        F.lit(metric).alias("metric"),
-        value.cast("double").alias("value"),
-        message.alias("message"),
-    )
-    return F.when(when, row)
-
-
-def _fired(facts: DataFrame, rules: list[Column]) -> DataFrame:
-    return facts.select(F.inline(F.filter(F.array(*rules), lambda r: r.isNotNull())))
-
-
-def _table_rules(p: Profile) -> DataFrame:
-    c, fmt = F.col, F.format_string
-    missing, cells = c("overall_missing_percentage"), c("total_missing_cells")
-    duplicates, dup_pct, strong = c("duplicate_rows"), c("duplicate_percentage"), c("strong_pairs")
-    always = F.lit(True)
-    score = c("quality_score")
-    scale = fmt("%d rows, %d columns", c("n_rows"), c("n_columns"))
-    share_missing = fmt("%.2f %% of cells are missing (%d)", missing, cells)
-    repeated = fmt("%d duplicate rows (%.2f %%)", duplicates, dup_pct)
-    redundant = fmt("%d strongly correlated pairs", strong)
-    rules = [
-        _rule("observations", "scale", always, "n_rows", c("n_rows"), scale),
-        _rule("observations", "complete", cells == 0, "missing_cells", cells, F.lit("no missing values")),
-        _rule("observations", "missing", cells > 0, "missing_percentage", missing, share_missing),
-        _rule("observations", "no_duplicates", duplicates == 0, "duplicate_rows", duplicates, F.lit("no duplicate rows")),
-        _rule("observations", "duplicates", duplicates > 0, "duplicate_rows", duplicates, repeated),
-        _rule(
-            "summary_findings", "overview", always, "numeric_columns", c("numeric_columns"),
-            fmt("%d rows, %d columns: %d numeric, %d categorical", c("n_rows"), c("n_columns"), c("numeric_columns"), c("object_columns")),
-        ),
-        _rule("summary_findings", "complete", cells == 0, "missing_cells", cells, F.lit("no missing values")),
-        _rule(
-            "summary_findings", "missing", cells > 0, "missing_percentage", missing,
-            fmt("%.2f %% of cells are missing in %d columns", missing, c("columns_with_missing")),
-        ),
-        _rule("summary_findings", "duplicates", duplicates > 0, "duplicate_rows", duplicates, repeated),
-        _rule("summary_problems", "duplicates", duplicates > 0, "duplicate_rows", duplicates, repeated, "problem"),
-        _rule("summary_problems", "redundant_features", strong > 2, "strong_pairs", strong, redundant, "problem"),
-        _rule(
-            "summary_problems", "none",
-            (duplicates == 0) & (c("constant_columns") == 0) & (strong <= 2) & (c("empty_columns") == 0),
-            "problems", F.lit(0), F.lit("no structural problems"),
-        ),
-        _rule("summary_cleaning", "dedupe", duplicates > 0, "duplicate_rows", duplicates, F.lit("remove duplicate rows"), "action"),
-        _rule(
-            "summary_cleaning", "impute", c("columns_with_missing") > 0, "columns_with_missing", c("columns_with_missing"),
-            F.lit("fill numbers with the median and categories with the mode"), "action",
-        ),
-        _rule("summary_cleaning", "health", always, "quality_score", score, fmt("quality score %.1f of 100", score)),
-        _rule(
-            "recommendations", "dedupe", duplicates > 0, "duplicate_percentage", dup_pct, repeated,
-            F.when(dup_pct > 5, "High").otherwise("Medium"),
-        ),
-        _rule("insights", "scale", always, "n_rows", c("n_rows"), scale),
-        _rule("insights", "quality_excellent", score >= 90, "quality_score", score, fmt("quality is excellent (%.1f)", score)),
-        _rule("insights", "quality_moderate", (score >= 70) & (score < 90), "quality_score", score, fmt("quality is moderate (%.1f)", score)),
-        _rule("insights", "quality_low", score < 70, "quality_score", score, fmt("quality is low (%.1f)", score)),
-        _rule("insights", "complete", cells == 0, "missing_cells", cells, F.lit("no missing values")),
-        _rule("insights", "missing", cells > 0, "missing_percentage", missing, share_missing),
-        _rule("insights", "no_duplicates", duplicates == 0, "duplicate_rows", duplicates, F.lit("no duplicate rows")),
-        _rule("insights", "duplicates", duplicates > 0, "duplicate_percentage", dup_pct, repeated),
-        _rule("insights", "no_outliers", c("notable_outliers") == 0, "outliers", c("notable_outliers"), F.lit("no notable outliers")),
-        _rule("insights", "multicollinearity", strong > 3, "strong_pairs", strong, redundant),
-    ]
-    return _fired(table_facts(p).crossJoin(F.broadcast(quality_score(p))), rules)
-
-
-def _column_rules(p: Profile) -> DataFrame:
-    c, fmt, name = F.col, F.format_string, F.col("column_name")
-    lower = F.lower(name)
-    skew, kurt, dist = c("skewness"), c("kurtosis"), c("distribution")
-    outliers, outlier_pct = c("outlier_count"), c("outlier_percentage")
-    missing = c("missing_percentage")
-    numeric = c("family").isin("int", "float")
-    category = c("is_high_cardinality").isNotNull()
-    high = c("is_high_cardinality")
-    constant = c("unique_count") <= 1
-    top_pct = percent("mode_n", "n_rows")
-    top = fmt("most frequent: %s (%.2f %%)", c("mode_text"), top_pct)
-    many_outliers = (outliers > 0) & (outlier_pct >= 1.0)
-    money = reduce(Column.__or__, [lower.contains(w) for w in ("salary", "income", "price", "amount")])
-    worst = F.row_number().over(Window.orderBy(F.desc(missing), "ordinal")) == 1  # over one row per column
-    facts = column_facts(p).withColumn("is_worst", worst)
-
-    def rule(rule_set, rule_id, when, metric, value, message, severity="info"):
-        return _rule(rule_set, rule_id, when, metric, value, message, severity, name)
-
-    rules = [
-        rule("observations", "identifier", c("ignored"), "unique_count", c("unique_count"), F.lit("identifier, left out of analyses")),
-        rule("observations", "symmetric", dist == "Normal", "skewness", skew, fmt("roughly symmetric around %.2f", c("mean"))),
-        rule("observations", "right_skewed", dist.contains("Right"), "skewness", skew, fmt("long upper tail (skewness %.2f)", skew)),
-        rule("observations", "left_skewed", dist.contains("Left"), "skewness", skew, fmt("long lower tail (skewness %.2f)", skew)),
-        rule("observations", "outliers", outliers > 0, "outlier_percentage", outlier_pct, fmt("%d outliers (%.2f %%)", outliers, outlier_pct)),
-        rule("observations", "top_category", category & (c("unique_count") > 0), "top_percentage", top_pct, top),
-        rule("summary_problems", "constant", constant, "unique_count", c("unique_count"), F.lit("constant column"), "problem"),
-        rule("summary_problems", "empty", missing == 100.0, "missing_percentage", missing, F.lit("empty column"), "problem"),
-        rule("summary_cleaning", "drop_constant", constant, "unique_count", c("unique_count"), F.lit("drop the constant column"), "action"),
-        rule("recommendations", "drop_empty", missing == 100.0, "missing_percentage", missing, F.lit("drop the empty column"), "High"),
-        rule("recommendations", "impute_numeric", numeric & (missing > 0) & (missing < 100), "missing_percentage", missing, F.lit("fill missing numbers with the median"), "Medium"),
-        rule("recommendations", "drop_constant", constant, "unique_count", c("unique_count"), F.lit("drop the constant column"), "High"),
-        rule("recommendations", "one_hot", category & ~high, "cardinality_ratio", c("cardinality_ratio"), F.lit("encode as indicators"), "Medium"),
-        rule("recommendations", "encode_high_cardinality", high, "cardinality_ratio", c("cardinality_ratio"), F.lit("encode by target or frequency"), "High"),
-        rule("recommendations", "log_transform", F.abs(skew) > 1.0, "skewness", skew, F.lit("take logarithms"), "Medium"),
-        rule("recommendations", "standardize", numeric, "non_null", c("non_null"), F.lit("scale to zero mean and unit variance"), "Medium"),
-        rule("recommendations", "cap_outliers", many_outliers, "outlier_percentage", outlier_pct, F.lit("cap at the fences"), "Medium"),
-        rule("insights", "worst_missing", c("is_worst") & (missing > 0), "missing_percentage", missing, fmt("most missing values (%.2f %%)", missing)),
-        rule("insights", "right_skewed", skew > 1.0, "skewness", skew, fmt("long upper tail (skewness %.2f)", skew)),
-        rule("insights", "left_skewed", skew < -1.0, "skewness", skew, fmt("long lower tail (skewness %.2f)", skew)),
-        rule("insights", "symmetric", (dist == "Normal") & (F.abs(skew) <= 1.0), "skewness", skew, fmt("roughly symmetric around %.2f", c("mean"))),
-        rule("insights", "heavy_tails", kurt > 3.0, "kurtosis", kurt, fmt("heavy tails (kurtosis %.2f)", kurt)),
-        rule("insights", "outliers", (outliers > 0) & (outlier_pct >= 0.5), "outlier_percentage", outlier_pct, fmt("%d outliers outside [%.4f, %.4f]", outliers, c("lower_bound"), c("upper_bound"))),
-        rule("insights", "dominant_category", category & (c("unique_count") > 0), "top_percentage", top_pct, top),
-        rule("insights", "high_cardinality", high, "cardinality_ratio", c("cardinality_ratio"), fmt("%d distinct values", c("unique_count"))),
-        rule("insights", "constant", constant, "unique_count", c("unique_count"), F.lit("constant column")),
-        rule("feature_suggestions", "bin_age", numeric & lower.contains("age"), "skewness", skew, F.lit("age bands")),
-        rule("feature_suggestions", "log", dist.isNotNull() & (money | (skew > 1.0)), "skewness", skew, F.lit("logarithm")),
-        rule("feature_suggestions", "bin_bmi", dist.isNotNull() & lower.contains("bmi"), "skewness", skew, F.lit("BMI bands")),
-    ]
-    return _fired(facts, rules)
-
-
-def _pair_rules(p: Profile) -> DataFrame:
-    c = F.col
-    pair = F.concat_ws(" / ", "column_a", "column_b")
-    r = c("correlation")
-    first_positive = (c("bucket") == "strong_positive") & (c("bucket_rank") == 1)
-    first_negative = (c("bucket") == "strong_negative") & (c("bucket_rank") == 1)
-    text = F.format_string("%s (r = %.4f)", pair, r)
-    # positives first, each sign by strength
-    in_turn = F.row_number().over(Window.orderBy(F.desc("bucket"), "bucket_rank"))
-    pairs = rank_pairs(p).where(c("bucket").startswith("strong")).withColumn("turn", in_turn)
-
-    def rule(rule_set, rule_id, when, message):
-        return _rule(rule_set, rule_id, when, "correlation", r, message, "info", pair)
-
-    rules = [
-        rule("observations", "strong_positive", first_positive, text),
-        rule("observations", "strong_negative", first_negative, text),
-        rule("summary_findings", "strongest_pair", c("strong_rank") == 1, text),
-        rule("insights", "strong_positive", first_positive, text),
-        rule("insights", "strong_negative", first_negative, text),
-        rule("feature_suggestions", "ratio", c("turn") <= 3, F.concat(F.lit("ratio "), pair)),
-    ]
-    return _fired(pairs, rules)
-
-
-def _datetime_rules(p: Profile) -> DataFrame:
-    found = detect_datetime(p).where("detected")
-
-    def rule(rule_set, rule_id, message):
-        share = F.col("parse_success")
-        return _rule(rule_set, rule_id, F.lit(True), "parse_success", share, F.lit(message), "info", F.col("column_name"))
-
-    rules = [
-        rule("insights", "datetime", "datetime column"),
-        rule("feature_suggestions", "date_parts", "year, month, weekday and weekend flag"),
-    ]
-    return _fired(found, rules)
-
-
-def _target_rules(p: Profile) -> DataFrame:
-    rule = _rule(
-        "insights", "target", F.lit(True), "target", F.lit(1), F.concat(F.lit("likely target: "), "task_type"), "info",
-        F.col("target_column"),
-    )
-    return _fired(detect_target(p), [rule])
+COLUMN_RULES = (
+    Rule("observations", "identifier", "ignored", "unique_count", "unique_count", "'identifier, left out of analyses'"),
+    Rule("observations", "symmetric", "distribution = 'Normal'", "skewness", "skewness", _AROUND),
+    Rule("observations", "right_skewed", "distribution LIKE '%Right%'", "skewness", "skewness", _UPPER),
+    Rule("observations", "left_skewed", "distribution LIKE '%Left%'", "skewness", "skewness", _LOWER),
+    Rule(
+        "observations", "outliers", "outlier_count > 0", "outlier_percentage", "outlier_percentage",
+        "format_string('%d outliers (%.2f %%)', outlier_count, outlier_percentage)",
+    ),
+    Rule("observations", "top_category", f"{_IS_CATEGORY} AND unique_count > 0", "top_percentage", "top_percentage", _TOP),
+    Rule("summary_problems", "constant", "unique_count <= 1", "unique_count", "unique_count", "'constant column'", _PROBLEM),
+    Rule("summary_problems", "empty", "missing_percentage = 100", "missing_percentage", "missing_percentage", "'empty column'", _PROBLEM),
+    Rule("summary_cleaning", "drop_constant", "unique_count <= 1", "unique_count", "unique_count", "'drop the constant column'", _ACTION),
+    Rule("recommendations", "drop_empty", "missing_percentage = 100", "missing_percentage", "missing_percentage", "'drop the empty column'", _HIGH),
+    Rule(
+        "recommendations", "impute_numeric", f"{_IS_NUMBER} AND missing_percentage > 0 AND missing_percentage < 100",
+        "missing_percentage", "missing_percentage", "'fill missing numbers with the median'", _MEDIUM,
+    ),
+    Rule("recommendations", "drop_constant", "unique_count <= 1", "unique_count", "unique_count", "'drop the constant column'", _HIGH),
+    Rule("recommendations", "one_hot", "NOT is_high_cardinality", "cardinality_ratio", "cardinality_ratio", "'encode as indicators'", _MEDIUM),
+    Rule(
+        "recommendations", "encode_high_cardinality", "is_high_cardinality", "cardinality_ratio", "cardinality_ratio",
+        "'encode by target or frequency'", _HIGH,
+    ),
+    Rule("recommendations", "log_transform", "abs(skewness) > 1", "skewness", "skewness", "'take logarithms'", _MEDIUM),
+    Rule("recommendations", "standardize", _IS_NUMBER, "non_null", "non_null", "'scale to zero mean and unit variance'", _MEDIUM),
+    Rule(
+        "recommendations", "cap_outliers", "outlier_count > 0 AND outlier_percentage >= 1", "outlier_percentage",
+        "outlier_percentage", "'cap at the fences'", _MEDIUM,
+    ),
+    Rule(
+        "insights", "worst_missing", "is_worst AND missing_percentage > 0", "missing_percentage", "missing_percentage",
+        "format_string('most missing values (%.2f %%)', missing_percentage)",
+    ),
+    Rule("insights", "right_skewed", "skewness > 1", "skewness", "skewness", _UPPER),
+    Rule("insights", "left_skewed", "skewness < -1", "skewness", "skewness", _LOWER),
+    Rule("insights", "symmetric", "distribution = 'Normal' AND abs(skewness) <= 1", "skewness", "skewness", _AROUND),
+    Rule("insights", "heavy_tails", "kurtosis > 3", "kurtosis", "kurtosis", "format_string('heavy tails (kurtosis %.2f)', kurtosis)"),
+    Rule(
+        "insights", "outliers", "outlier_count > 0 AND outlier_percentage >= 0.5", "outlier_percentage", "outlier_percentage",
+        "format_string('%d outliers outside [%.4f, %.4f]', outlier_count, lower_bound, upper_bound)",
+    ),
+    Rule("insights", "dominant_category", f"{_IS_CATEGORY} AND unique_count > 0", "top_percentage", "top_percentage", _TOP),
+    Rule(
+        "insights", "high_cardinality", "is_high_cardinality", "cardinality_ratio", "cardinality_ratio",
+        "format_string('%d distinct values', unique_count)",
+    ),
+    Rule("insights", "constant", "unique_count <= 1", "unique_count", "unique_count", "'constant column'"),
+    Rule("feature_suggestions", "bin_age", f"{_IS_NUMBER} AND lower(column_name) LIKE '%age%'", "skewness", "skewness", "'age bands'"),
+    Rule("feature_suggestions", "log", f"distribution IS NOT NULL AND (skewness > 1 OR {_MONEY})", "skewness", "skewness", "'logarithm'"),
+    Rule("feature_suggestions", "bin_bmi", "distribution IS NOT NULL AND lower(column_name) LIKE '%bmi%'", "skewness", "skewness", "'BMI bands'"),
+)
+
+_PAIR = "concat_ws(' / ', column_a, column_b)"
+_PAIR_TEXT = f"format_string('%s (r = %.4f)', {_PAIR}, correlation)"
+_FIRST_POSITIVE = "bucket = 'strong_positive' AND bucket_rank = 1"
+_FIRST_NEGATIVE = "bucket = 'strong_negative' AND bucket_rank = 1"
+
+PAIR_RULES = (
+    Rule("observations", "strong_positive", _FIRST_POSITIVE, "correlation", "correlation", _PAIR_TEXT),
+    Rule("observations", "strong_negative", _FIRST_NEGATIVE, "correlation", "correlation", _PAIR_TEXT),
+    Rule("summary_findings", "strongest_pair", "strong_rank = 1", "correlation", "correlation", _PAIR_TEXT),
+    Rule("insights", "strong_positive", _FIRST_POSITIVE, "correlation", "correlation", _PAIR_TEXT),
+    Rule("insights", "strong_negative", _FIRST_NEGATIVE, "correlation", "correlation", _PAIR_TEXT),
+    Rule("feature_suggestions", "ratio", "turn <= 3", "correlation", "correlation", f"concat('ratio ', {_PAIR})"),
+)
+
+DATETIME_RULES = (
+    Rule("insights", "datetime", "detected", "parse_success", "parse_success", "'datetime column'"),
+    Rule(
+        "feature_suggestions", "date_parts", "detected", "parse_success", "parse_success",
+        "'year, month, weekday and weekend flag'",
+    ),
+)
+
+TARGET_RULES = (Rule("insights", "target", "true", "target", "1", "concat('likely target: ', task_type)"),)
+
+
+def _columns(p: Profile) -> DataFrame:
+    worst = F.row_number().over(Window.orderBy(F.desc("missing_percentage"), "ordinal")) == 1  # one row per column
+    return column_facts(p).withColumns({"is_worst": worst, "top_percentage": percent("mode_n", "n_rows")})
+
+
+def _strong_pairs(p: Profile) -> DataFrame:
+    in_turn = F.row_number().over(Window.orderBy(F.desc("bucket"), "bucket_rank"))  # positives first
+    return rank_pairs(p).where("bucket LIKE 'strong%'").withColumn("turn", in_turn)
+
+
+# Rules, the facts they read, and the SQL of the column they speak about.
+SOURCES = (
+    (TABLE_RULES, lambda p: table_facts(p).crossJoin(F.broadcast(quality_score(p))), "NULL"),
+    (COLUMN_RULES, _columns, "column_name"),
+    (PAIR_RULES, _strong_pairs, _PAIR),
+    (DATETIME_RULES, detect_datetime, "column_name"),
+    (TARGET_RULES, detect_target, "target_column"),
+)
 
 
 def findings(table: DataFrame | Profile, rule_set: str | None = None) -> DataFrame:
-    """All findings of the rule sets, plus those on datetime columns; or the findings of one rule set."""
+    """Findings of one rule set, or of all of them and of the datetime columns. Only the rules asked for are run."""
     p = as_profile(table)
-    if "findings" not in p.__dict__:
-        parts = [_table_rules(p), _column_rules(p), _pair_rules(p), _datetime_rules(p), _target_rules(p)]
-        if not detect_datetime(p).where("detected").isEmpty():
-            parts.append(datetime_findings(p))
-        p.__dict__["findings"] = pinned(reduce(DataFrame.unionByName, parts))
-    found = p.__dict__["findings"]
-    return found if rule_set is None else found.where(F.col("rule_set") == rule_set)
+    cache = p.__dict__.setdefault("findings_cache", {})
+    if rule_set not in cache:
+        cache[rule_set] = pinned(_all(p, rule_set))
+    return cache[rule_set]
+
+
+def _all(p: Profile, rule_set: str | None) -> DataFrame:
+    parts = []
+    for rules, facts, column in SOURCES:
+        wanted = ", ".join(r.sql(column) for r in rules if rule_set in (None, r.rule_set))
+        if wanted:
+            parts.append(facts(p).selectExpr(f"inline(filter(array({wanted}), r -> r IS NOT NULL))"))
+    if rule_set in (None, "datetime") and not detect_datetime(p).where("detected").isEmpty():
+        parts.append(datetime_findings(p))
+    return reduce(DataFrame.unionByName, parts) if parts else p.spark.createDataFrame([], SCHEMA)
 
 
 def prep_plan(table: DataFrame | Profile) -> DataFrame:
     """Ordered preparation steps with the columns each one takes; a step without columns is left out."""
     p = as_profile(table)
-    c = F.col
-    kept = ~c("ignored")
-    numeric = c("family").isin("int", "float")
-    category = c("is_high_cardinality").isNotNull()
-    steps = [
-        ("drop_identifiers", c("ignored")),
-        ("drop_constants", c("unique_count") <= 1),
-        ("impute_median", numeric & (c("missing_count") > 0)),
-        ("impute_mode", category & (c("missing_count") > 0)),
-        ("one_hot", category & ~c("is_high_cardinality") & kept),
-        ("encode_high_cardinality", c("is_high_cardinality") & kept),
-        ("log1p", (F.abs("skewness") > 1.0) & kept),
-        ("standard_scale", numeric & kept),
-    ]
-    order = [name for name, _ in steps]
-    order.insert(2, "dedupe_rows")
-    place = {name: i for i, name in enumerate(order)}
-    chosen = [F.when(when, F.struct(F.lit(place[n]).alias("place"), F.lit(n).alias("operation"))) for n, when in steps]
-    per_column = column_facts(p).select(
-        "ordinal", "column_name", F.inline(F.filter(F.array(*chosen), lambda s: s.isNotNull()))
+    steps = {
+        "drop_identifiers": "ignored",
+        "drop_constants": "unique_count <= 1",
+        "dedupe_rows": None,
+        "impute_median": f"{_IS_NUMBER} AND missing_count > 0",
+        "impute_mode": f"{_IS_CATEGORY} AND missing_count > 0",
+        "one_hot": "NOT is_high_cardinality AND NOT ignored",
+        "encode_high_cardinality": "is_high_cardinality AND NOT ignored",
+        "log1p": "abs(skewness) > 1 AND NOT ignored",
+        "standard_scale": f"{_IS_NUMBER} AND NOT ignored",
+    }
+    place = {name: i for i, name in enumerate(steps)}
+    chosen = ", ".join(
+        f"if({when}, named_struct('place', {place[name]}, 'operation', '{name}'), NULL)" for name, when in steps.items() if when
     )
-    listed = per_column.groupBy("place", "operation").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))).alias("members")
-    ).select("place", "operation", F.array_join(F.col("members.column_name"), ", ").alias("columns"))
-    dedupe = table_facts(p).where("duplicate_rows > 0").select(
-        F.lit(place["dedupe_rows"]).alias("place"), F.lit("dedupe_rows").alias("operation"), F.lit("").alias("columns")
+    per_column = column_facts(p).selectExpr("ordinal", "column_name", f"inline(filter(array({chosen}), s -> s IS NOT NULL))")
+    members = F.sort_array(F.collect_list(F.struct("ordinal", "column_name")))
+    listed = per_column.groupBy("place", "operation").agg(members.alias("members"))
+    listed = listed.select("place", "operation", F.array_join(F.col("members.column_name"), ", ").alias("columns"))
+    dedupe = table_facts(p).where("duplicate_rows > 0").selectExpr(
+        f"{place['dedupe_rows']} AS place", "'dedupe_rows' AS operation", "'' AS columns"
     )
     both = listed.unionByName(dedupe)
     return both.select(F.row_number().over(Window.orderBy("place")).alias("step"), "operation", "columns")

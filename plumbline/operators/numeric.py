@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import rnd
 from plumbline.functions.types import FLOAT, INT
+from plumbline.plans.small import local
 from plumbline.profile import Profile, as_profile
 
 NOTE_ALL_MISSING = "All values are missing; no statistics."
@@ -24,7 +25,7 @@ def categorical_columns(table: DataFrame | Profile) -> DataFrame:
 
 def _names(p: Profile, columns) -> DataFrame:
     rows = [(c.ordinal, c.name, c.data_type.simpleString()) for c in columns]
-    return p.spark.createDataFrame(rows, "ordinal int, column_name string, data_type string")
+    return local(p.spark, rows, "ordinal int, column_name string, data_type string")
 
 
 def adjusted_skewness(n: Column, population: Column) -> Column:
@@ -84,7 +85,7 @@ def numeric_quantiles(table: DataFrame | Profile) -> DataFrame:
     """Quartiles, median and interquartile range by linear interpolation; exact unless the profile is not."""
     p = as_profile(table)
     rows = [(name, q[0], q[1], q[2]) for name, q in p.quartiles.items()]
-    df = p.spark.createDataFrame(rows, "column_name string, q1 double, median double, q3 double")
+    df = local(p.spark, rows, "column_name string, q1 double, median double, q3 double")
     return df.select(
         "column_name",
         *[rnd(c, 4).alias(c) for c in ("q1", "median", "q3")],

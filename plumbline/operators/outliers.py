@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.rounding import percent, rnd
-from plumbline.functions.types import quoted
+from plumbline.functions.types import INT, ColumnInfo, quoted
 from plumbline.profile import Profile, as_profile
 
 
@@ -32,15 +34,24 @@ def outlier_columns() -> dict[str, Column]:
 
 
 def outlier_rows(table: DataFrame | Profile, column: str) -> DataFrame:
-    """Rows of the table whose ``column`` lies outside its fences. The fences are literals, so they push down."""
+    """Rows of the table whose ``column`` lies outside its fences."""
     p = as_profile(table)
     for info, lo, hi in p.bounds():
         if info.name == column:
-            x = info.number()
-            return p.df.where((x < lo) | (x > hi))
+            return p.df.where(_outside(info, lo, hi))
     return p.df.limit(0)
 
 
+def _outside(info: ColumnInfo, lo: float, hi: float) -> Column:
+    """Beyond a fence, as comparisons of the bare column with literals of its type, which reach the file scan."""
+    x = F.col(quoted(info.name))
+    if info.family == INT:
+        return (x < math.ceil(lo)) | (x > math.floor(hi))
+    beyond = (x < lo) | (x > hi)
+    # NaN compares greater than any number
+    return beyond & ~F.isnan(x) if isinstance(info.data_type, (T.FloatType, T.DoubleType)) else beyond
+
+
 def outlier_samples(table: DataFrame | Profile, per_column: int = 10) -> DataFrame:
     """The first outliers of each numeric column in row order."""
     p = as_profile(table)

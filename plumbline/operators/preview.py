@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent, rnd
 from plumbline.functions.types import columns_of, quoted
+from plumbline.plans.small import local
 from plumbline.profile import Profile, as_profile
 
 MEGABYTE = 1024.0 * 1024.0
@@ -25,7 +26,7 @@ def dtype_summary(table: DataFrame | Profile) -> DataFrame:
     """Columns per type."""
     p = as_profile(table)
     rows = [(c.data_type.simpleString(),) for c in p.columns]
-    return p.spark.createDataFrame(rows, "data_type string").groupBy("data_type").agg(F.count(F.lit(1)).alias("columns"))
+    return local(p.spark, rows, "data_type string").groupBy("data_type").agg(F.count(F.lit(1)).alias("columns"))
 
 
 def column_info(table: DataFrame | Profile) -> DataFrame:

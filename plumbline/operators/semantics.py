@@ -10,7 +10,7 @@ from plumbline.functions.rounding import rnd
 from plumbline.functions.types import FLOAT, INT, quoted
 from plumbline.operators.cardinality import class_distribution
 from plumbline.plans.running import previous_value
-from plumbline.plans.small import pinned
+from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile, as_profile
 
 # Consecutive values checked together; a bucket holds at most this many rows.
@@ -23,7 +23,7 @@ def name_flags(p: Profile) -> DataFrame:
     for c in p.columns:
         name = c.name.strip()
         rows.append((c.ordinal, bool(ID_NAME.search(name)), any(k in name.lower() for k in TARGET_KEYWORDS)))
-    return p.spark.createDataFrame(rows, "ordinal int, id_name boolean, target_name boolean")
+    return local(p.spark, rows, "ordinal int, id_name boolean, target_name boolean")
 
 
 def sequential_columns(table: DataFrame | Profile, bucket: int = SEQUENCE_BUCKET) -> list[str]:
@@ -51,20 +51,26 @@ def sequential_columns(table: DataFrame | Profile, bucket: int = SEQUENCE_BUCKET
 
 
 def _rises_by_one(p: Profile, name: str, low: float, bucket: int) -> bool:
-    x = p.column(name).number() - F.lit(low)
+    info = p.column(name)
+    x = info.number() - F.lit(low)
     key = F.struct(*[F.col(quoted(c)) for c in p.order_by])
     rows = p.df.select(x.alias("x"), key.alias("k")).where("x IS NOT NULL")
-    if rows.where(F.col("x") != F.floor("x")).limit(1).count():
-        return False  # not whole steps, so the buckets would not be bounded
-    rows = rows.withColumn("b", F.floor(F.col("x") / bucket))
+    if info.family == FLOAT and not rows.where("x <> floor(x)").isEmpty():
+        return False  # steps are not whole, so the buckets would not be bounded
     inside = Window.partitionBy("b").orderBy("x")
-    falls = rows.withColumn("before", F.lag("k").over(inside)).where("before IS NOT NULL AND NOT before < k")
-    if falls.limit(1).count():
-        return False
-    ends = rows.groupBy("b").agg(F.min("k").alias("first"), F.max("k").alias("last"))
     across = Window.orderBy("b")  # one row per million rows
-    gaps = ends.withColumn("before", F.lag("last").over(across)).where("before IS NOT NULL AND NOT before < first")
-    return not gaps.limit(1).count()
+    buckets = (
+        rows.withColumn("b", F.floor(F.col("x") / bucket))
+        .withColumn("before", F.lag("k").over(inside))
+        .groupBy("b")
+        .agg(
+            F.bool_or(F.col("before") >= F.col("k")).alias("falls"),
+            F.min("k").alias("first"),
+            F.max("k").alias("last"),
+        )
+        .withColumn("falls", F.coalesce("falls", F.lit(False)) | F.coalesce(F.lag("last").over(across) >= F.col("first"), F.lit(False)))
+    )
+    return not buckets.agg(F.bool_or("falls")).first()[0]
 
 
 def row_diff(table: DataFrame | Profile, column: str) -> DataFrame:

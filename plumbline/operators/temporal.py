@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent
 from plumbline.functions.types import STRING, ColumnInfo, quoted
-from plumbline.plans.small import pinned
+from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile, as_profile
 
 SAMPLE = 50
@@ -101,8 +101,8 @@ def _string_candidate(p: Profile, info: ColumnInfo) -> DatetimeColumn | None:
     patterns = tuple(dict.fromkeys(g for g in (guessed[:1] if guessed[0] else guessed) if g))
     if not patterns:
         return None
-    local = p.spark.createDataFrame([(v,) for v in first], "v string")
-    readable = local.where(_read(F.col("v"), patterns).isNotNull()).count()
+    sampled = local(p.spark, [(v,) for v in first], "v string")
+    readable = sampled.where(_read(F.col("v"), patterns).isNotNull()).count()
     return DatetimeColumn(info, format_label(first[0]), patterns) if readable / len(first) >= 0.75 else None
 
 
@@ -117,7 +117,7 @@ def detect_datetime(table: DataFrame | Profile) -> DataFrame:
         (c.ordinal, c.name, c.ordinal in found, *(_described(found[c.ordinal]) if c.ordinal in found else (None, 0)))
         for c in p.columns
     ]
-    df = p.spark.createDataFrame(rows, "ordinal int, column_name string, detected boolean, format string, good bigint")
+    df = local(p.spark, rows, "ordinal int, column_name string, detected boolean, format string, good bigint")
     share = F.when(F.col("detected"), percent("good", str(p.n_rows))).otherwise(0.0)
     return df.select("column_name", "detected", "format", share.alias("parse_success"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import rnd
 from plumbline.functions.types import STRING
+from plumbline.plans.small import local
 from plumbline.profile import Profile, as_profile
 
 
@@ -31,7 +32,7 @@ def text_gate(table: DataFrame | Profile) -> DataFrame:
     strings = [c for c in p.columns if c.family == STRING]
     schema = "column_name string, avg_length double, min_length bigint, max_length bigint, avg_words double, is_text boolean"
     if not strings:
-        return p.spark.createDataFrame([], schema)
+        return local(p.spark, [], schema)
     aggs = [F.avg(word_count(c.value())).alias(f"w{c.ordinal}") for c in strings]
     row = p.df.agg(*aggs).first()
     rows = []
@@ -40,7 +41,7 @@ def text_gate(table: DataFrame | Profile) -> DataFrame:
         if facts["non_null"]:
             length, n_words = facts["avg_len"], row[f"w{c.ordinal}"]
             rows.append((c.name, length, facts["min_len"], facts["max_len"], n_words, not (length < 20 and n_words < 3)))
-    p.__dict__["text_gate"] = p.spark.createDataFrame(rows, schema)
+    p.__dict__["text_gate"] = local(p.spark, rows, schema)
     return p.__dict__["text_gate"]
 
 
@@ -63,7 +64,7 @@ def word_counts(table: DataFrame | Profile) -> DataFrame:
         for c in _text_columns(p)
     ]
     if not parts:
-        return p.spark.createDataFrame([], "column_name string, word string, n bigint")
+        return local(p.spark, [], "column_name string, word string, n bigint")
     long = reduce(DataFrame.unionByName, parts)
     return long.groupBy("column_name", "word").agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.types import BOOL, DATETIME, STRING, ColumnInfo, columns_of, epoch_micros
 from plumbline.plans.blocks import cut
-from plumbline.plans.small import pinned
+from plumbline.plans.small import local, pinned
 
 BASIC = {
     "non_null": "bigint", "bytes": "bigint", "mean": "double", "min_num": "double", "max_num": "double",
@@ -102,19 +102,19 @@ def spread(df: DataFrame, columns: list[ColumnInfo], means: dict[str, float | No
     schema = {"s2": "double", "s3": "double", "s4": "double", "n": "bigint"}
     if not columns:
         empty = ", ".join(["ordinal int", *[f"{m} {t}" for m, t in schema.items()]])
-        return df.sparkSession.createDataFrame([], empty)
+        return local(df.sparkSession, [], empty)
     return _long(df, columns, powers, schema).drop("n_rows")
 
 
 def moments(df: DataFrame, columns: list[ColumnInfo] | None = None, first: DataFrame | None = None) -> DataFrame:
-    """All per-column facts, held as one small row per column. ``first`` is a pinned result of ``counts``.
+    """All per-column facts, one row per column. ``first`` is a pinned result of ``counts``.
 
     ``skew_pop`` and ``kurt_pop`` are the population forms; they are null for a constant column.
     """
     columns = columns_of(df) if columns is None else columns
     first = pinned(counts(df, columns)) if first is None else first
     means = {r["column_name"]: r["mean"] for r in first.select("column_name", "mean").collect()}
-    second = pinned(spread(df, columns, means))
+    second = spread(df, columns, means)
     n, s2 = F.col("n"), F.col("s2")
     m2 = F.try_divide(s2, n)
     varies = (F.col("min_num") < F.col("max_num")) & (s2 > 0)

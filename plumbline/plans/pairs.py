@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.types import BOOL, DATETIME, ColumnInfo, epoch_micros, grouping_key
 from plumbline.plans.blocks import aggregate_arrays
-from plumbline.plans.small import pinned
+from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile
 
 # More numeric columns than this are correlated by matrix products over Arrow batches.
@@ -44,12 +44,12 @@ def pearson(p: Profile, pairs: list[Pair]) -> DataFrame:
     schema = "column_a string, column_b string, " + ", ".join(f"{s} double" for s in _SUMS)
     names = {c.name for pair in pairs for c in pair}
     if not pairs:
-        sums = p.spark.createDataFrame([], schema)
+        sums = local(p.spark, [], schema)
     elif len(names) > WIDE:
         sums = _gram(p, pairs)
     else:
         found = aggregate_arrays(p.df, [{(a.name, b.name): _pair_sums(p, a, b)} for a, b in pairs])
-        sums = p.spark.createDataFrame([(*k, *v) for k, v in found.items()], schema)
+        sums = local(p.spark, [(*k, *v) for k, v in found.items()], schema)
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
     varies = (F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y"))
@@ -167,11 +167,11 @@ def cramers_v(p: Profile, pairs: list[Pair]) -> DataFrame:
         )
         height = counted.groupBy("pair", "a").agg(F.lit(1).alias("one")).groupBy("pair").agg(F.sum("one").alias("n_rows"))
         parts.append(summed.join(height, "pair"))
-    names = p.spark.createDataFrame(
+    names = local(p.spark, 
         [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"
     )
     if not parts:
-        empty = p.spark.createDataFrame([], "n bigint, chi2 double, v double")
+        empty = local(p.spark, [], "n bigint, chi2 double, v double")
         return names.crossJoin(empty).drop("pair")
     joined = names.join(reduce(DataFrame.unionByName, parts), "pair", "left")
     inside = F.greatest(F.col("s") - 1.0, F.lit(0.0))
@@ -224,7 +224,7 @@ def correlation_ratio(p: Profile, categories: list[ColumnInfo], numbers: list[Co
             )
         folded = long.groupBy("category", "key").agg(*first).groupBy("category").agg(*second)
         parts.append(folded.select(F.col("category").alias("ordinal"), F.inline(F.array(*outputs))))
-    names = p.spark.createDataFrame([(c.ordinal, c.name) for c in categories], "ordinal int, category string")
+    names = local(p.spark, [(c.ordinal, c.name) for c in categories], "ordinal int, category string")
     if not parts:
         return names.select("category", F.lit("").alias("number"), F.lit(0).alias("n"), F.lit(0.0).alias("eta")).limit(0)
     shift = F.col("s") * F.col("s") / F.col("n")

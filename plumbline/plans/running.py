@@ -58,15 +58,19 @@ def previous_value(
         return df.withColumn(name, F.lag(value).over(Window.orderBy(*order)))
     ensure_checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    within = Window.partitionBy("_part").orderBy(*order)
-    numbered = ranged.withColumn(name, F.lag(value).over(within)).withColumn("_row", F.row_number().over(within))
+    part = Window.partitionBy("_part")
+    within = part.orderBy(*order)
+    numbered = (
+        ranged.withColumn(name, F.lag(value).over(within))
+        .withColumn("_row", F.row_number().over(within))
+        .withColumn("_rows", F.count(F.lit(1)).over(part))
+    )
     # the last row of each partition, handed to the first row of the next one that is not empty
-    backwards = Window.partitionBy("_part").orderBy(*[F.desc(c) for c in order])
-    last = ranged.withColumn("_row", F.row_number().over(backwards)).where("_row = 1")
+    last = numbered.where("_row = _rows")
     handed = last.select("_part", F.lag(value).over(Window.orderBy("_part")).alias("_handed"))
     return (
         numbered.join(F.broadcast(handed), "_part")
         .withColumn(name, F.when(F.col("_row") == 1, F.col("_handed")).otherwise(F.col(name)))
-        .drop("_part", "_row", "_handed")
+        .drop("_part", "_row", "_rows", "_handed")
     )
 

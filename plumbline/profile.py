@@ -27,7 +27,7 @@ from plumbline.plans import moments as moments_plan
 from plumbline.plans.blocks import aggregate_arrays
 from plumbline.plans.frequencies import distinct_stats, frequencies
 from plumbline.plans.quantiles import approx_quantiles, exact_quantiles
-from plumbline.plans.small import pinned
+from plumbline.plans.small import local, pinned
 
 # Largest set of keys that is broadcast to look long texts up again.
 BROADCAST_KEYS = 10_000
@@ -159,7 +159,7 @@ class Profile:
             " mode_text string, min_text string, max_text string"
         )
         rows = [(c.ordinal, c.name, int(found[c.ordinal][0]), None, None, None, None, None, None) for c in self.columns]
-        return pinned(self.spark.createDataFrame(rows, schema))
+        return local(self.spark, rows, schema)
 
     @cached_property
     def quartiles(self) -> dict[str, list[float]]:
@@ -219,7 +219,7 @@ class Profile:
             else:
                 end = rows[b[1]]["min_num"]
                 data.append((*b, 0, end, end))
-        return pinned(self.spark.createDataFrame(data, schema))
+        return local(self.spark, data, schema)
 
     @cached_property
     def distinct_rows(self) -> int:

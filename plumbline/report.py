@@ -19,6 +19,7 @@ from plumbline.operators import (
     semantics,
     temporal,
 )
+from plumbline.plans.small import local
 from plumbline.profile import Profile, as_profile
 
 SECTIONS = {
@@ -65,4 +66,4 @@ def profile_meta(table: DataFrame | Profile) -> DataFrame:
     rows, numeric_count, categorical_count = p.n_rows, len(p.numeric), len(p.categorical)
     seconds = round(time.monotonic() - started, 4)
     schema = "n_rows bigint, numeric_columns int, categorical_columns int, seconds double"
-    return p.spark.createDataFrame([(rows, numeric_count, categorical_count, seconds)], schema)
+    return local(p.spark, [(rows, numeric_count, categorical_count, seconds)], schema)
