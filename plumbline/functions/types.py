@@ -48,6 +48,14 @@ class ColumnInfo:
             return self.value().cast("int").cast("double")
         return self.value().cast("double")
 
+    @property
+    def number_sql(self) -> str:
+        """``number()`` as SQL text."""
+        c = quoted(self.name)
+        if isinstance(self.data_type, (T.FloatType, T.DoubleType)):
+            return f"if(isnan({c}), NULL, double({c}))"
+        return f"double(int({c}))" if self.family == BOOL else f"double({c})"
+
     def fixed_bytes(self) -> int | None:
         """Bytes per non-null value, or None for types of varying length."""
         sizes = {

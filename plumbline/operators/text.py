@@ -13,15 +13,20 @@ from plumbline.plans.small import local
 from plumbline.profile import Profile, as_profile
 
 
+# A word: three or more ASCII letters with no other word character beside them.
+WORD = r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])"
+# A piece between white space, separators and separator control characters.
+PIECE = r"[^\s\x1c-\x1f\x85\p{Z}]+"
+
+
 def words(text: Column) -> Column:
-    """Runs of word characters that consist of three or more ASCII letters only, in lower case."""
-    runs = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    return F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$"))
+    """The words of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
     """Number of pieces between white space."""
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(PIECE))
 
 
 def text_gate(table: DataFrame | Profile) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 # Aggregate expressions per block. Far beyond this the generated update method outgrows what the JIT compiles and
 # runs many times slower. Blocks hold whole columns, so on columnar files cutting adds no bytes read.
-PER_BLOCK = 60
+PER_BLOCK = 32
+# The same for aggregates that are arrays of several expressions.
+ARRAYS_PER_BLOCK = 8
 
 
 def cut(groups: list[list], per_block: int = PER_BLOCK) -> list[list]:
@@ -29,7 +31,7 @@ def aggregate_arrays(df: DataFrame, groups: list[dict[Hashable, Column]]) -> dic
 
     All blocks run as parallel branches of one job, and one row per block reaches the driver.
     """
-    blocks = cut([list(g.items()) for g in groups if g])
+    blocks = cut([list(g.items()) for g in groups if g], ARRAYS_PER_BLOCK)
     if not blocks:
         return {}
     parts = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.types import BOOL, DATETIME, ColumnInfo, epoch_micros, grouping_key
 from plumbline.plans.blocks import aggregate_arrays
+from plumbline.plans.frequencies import distinct_stats, frequencies
 from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile
 
@@ -129,6 +130,13 @@ def _text_key(c: ColumnInfo) -> Column:
     return (epoch_micros(c) if c.family == DATETIME else grouping_key(c)).cast("string")
 
 
+def _distinct_counts(p: Profile, columns: dict[int, ColumnInfo]) -> dict[int, int]:
+    """Distinct values per column: from the profile if it has them already, else of these columns only."""
+    known = "distinct" in p.__dict__ and p.exact
+    found = p.distinct if known else distinct_stats(frequencies(p.df, list(columns.values())))
+    return dict.fromkeys(columns, 0) | {r["ordinal"]: r["ndv"] for r in found.select("ordinal", "ndv").collect()}
+
+
 def cramers_v(p: Profile, pairs: list[Pair]) -> DataFrame:
     """``(column_a, column_b, n, chi2, v)`` without bias correction, over rows where both have a value.
 
@@ -136,7 +144,7 @@ def cramers_v(p: Profile, pairs: list[Pair]) -> DataFrame:
     built. The side with fewer distinct values gives the row totals, which are broadcast while they are few. The
     column totals come out of the same aggregation that adds up the cells.
     """
-    ndv = {r["ordinal"]: r["ndv"] for r in p.distinct.select("ordinal", "ndv").collect()}
+    ndv = _distinct_counts(p, {c.ordinal: c for pair in pairs for c in pair})
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_SCAN):
         block = list(enumerate(pairs[at : at + PAIRS_PER_SCAN], at))

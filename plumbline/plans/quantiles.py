@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.types import ColumnInfo
@@ -43,21 +43,26 @@ class _Search:
     def interval(self):
         return (self.column.name, self.lo, self.hi)
 
-    def within(self) -> Column:
-        x = self.column.number()
-        above = x > self.lo if self.lo > -math.inf else F.lit(True)
-        return F.when(above & (x < self.hi if self.hi < math.inf else F.lit(True)) & (F.abs(x) < math.inf), x)
+    def within(self) -> str:
+        """SQL of the column's values inside the interval; an open end still leaves infinities out."""
+        x = self.column.number_sql
+        above = f"{x} > {_literal(self.lo)}"
+        return f"if({above} AND {x} < {_literal(self.hi)}, {x}, NULL)"
 
     def share(self) -> float:
         return (self.rank - self.below) / max(self.inside - 1, 1)
 
 
+def _literal(x: float) -> str:
+    return f"{x!r}D" if abs(x) < math.inf else f"double('{x}')"
+
+
 def _per_column(entries) -> list[dict]:
     """Expressions keyed uniquely and grouped by column, so that a block reads whole columns."""
     grouped: dict[str, dict] = {}
-    for name, key, expression in entries:
-        grouped.setdefault(name, {}).setdefault(key, expression)
-    return list(grouped.values())
+    for name, key, sql in entries:
+        grouped.setdefault(name, {}).setdefault(key, sql)
+    return [{key: F.expr(sql) for key, sql in g.items()} for g in grouped.values()]
 
 
 def exact_quantiles(
@@ -114,11 +119,11 @@ def _narrow(df: DataFrame, pending: list[_Search], gather_rows: int, sketch_k: i
         wanted = probes.setdefault(s.interval, [])
         wanted += [p for p in ends_of(s) if p not in wanted]
 
-    entries = [(s.column.name, ("all", s.interval), F.sort_array(F.collect_list(s.within()))) for s in small]
+    entries = [(s.column.name, ("all", s.interval), f"sort_array(collect_list({s.within()}))") for s in small]
     for s in large:
-        sketch = F.kll_sketch_agg_double(s.within(), sketch_k)
-        ranks = F.array(*[F.lit(p) for p in probes[s.interval]])
-        entries.append((s.column.name, ("ends", s.interval), F.kll_sketch_get_quantile_double(sketch, ranks)))
+        ranks = ", ".join(map(_literal, probes[s.interval]))
+        ends = f"kll_sketch_get_quantile_double(kll_sketch_agg_double({s.within()}, {sketch_k}), array({ranks}))"
+        entries.append((s.column.name, ("ends", s.interval), ends))
     found = aggregate_arrays(df, _per_column(entries))
     for s in small:
         s.value = found[("all", s.interval)][s.rank - s.below]
@@ -127,9 +132,9 @@ def _narrow(df: DataFrame, pending: list[_Search], gather_rows: int, sketch_k: i
     for s in large:
         at = dict(zip(probes[s.interval], found[("ends", s.interval)]))
         brackets.append(tuple(at[p] for p in ends_of(s)))
-        x = s.column.number()
+        x = s.column.number_sql
         entries += [
-            (s.column.name, (s.column.name, t), F.array(F.count_if(x < t), F.count_if(x <= t)))
+            (s.column.name, (s.column.name, t), f"array(count_if({x} < {_literal(t)}), count_if({x} <= {_literal(t)}))")
             for t in brackets[-1]
         ]
     found = aggregate_arrays(df, _per_column(entries))
