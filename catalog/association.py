@@ -5,85 +5,77 @@ from __future__ import annotations
 from itertools import combinations
 
 from catalog.registry import EVENTS, GAPS, LABELS, LINEITEM, MIXED, ORDERS, PART, PRICES, Source, query
-from catalog.sql import LINEITEM_NUMERIC, r, union
+from catalog.sql import EVENTS as EVENTS_COLUMNS
+from catalog.sql import GAPS as GAPS_COLUMNS
+from catalog.sql import LINEITEM as LINEITEM_COLUMNS
+from catalog.sql import LINEITEM_NUMERIC, column_facts, r, union
+from catalog.sql import ORDERS as ORDERS_COLUMNS
 from plumbline.operators import association, semantics
 
 
-def _types(source: Source, table: str, rows: dict[str, tuple[str, str]]) -> str:
-    """Expected types, which for these tables follow from names and declared types; counts decide the rest."""
-    values = ", ".join(f"({i}, '{c}', '{t}', {t == 'Identifier'}, '{why}')" for i, (c, (t, why)) in enumerate(rows.items()))
-    return (
-        f"WITH n AS (SELECT count(*) AS n FROM {table}) SELECT o AS ordinal, c AS column_name, t AS semantic_type, i AS ignored, w AS reason"
-        f" FROM n, (VALUES {values}) AS v(o, c, t, i, w) WHERE n.n > 0"
+def _types(source: Source, columns: list[tuple[str, str]], named: tuple[str, ...] = (), targets: tuple[str, ...] = ()) -> str:
+    """The rules over counted facts. What the names say is given; what the values say is computed."""
+    steps = "NULL"
+    if source.order_by:
+        checks = union(
+            f"SELECT '{c}' AS column_name, bool_and(d = 1) AS steps FROM (SELECT {c} - lag({c}) OVER (ORDER BY {source.order_by}) AS d FROM src)"
+            for c, family in columns
+            if family in ("int", "float")
+        )
+        steps = f"(SELECT steps FROM ({checks}) AS k WHERE k.column_name = cols.column_name)"
+    two = union(f"SELECT '{c}' AS column_name, min(CAST({c} AS VARCHAR)) AS low, max(CAST({c} AS VARCHAR)) AS high FROM src" for c, _ in columns)
+    listed = {k: ", ".join(f"'{c}'" for c in v) or "''" for k, v in (("named", named), ("targets", targets))}
+    rules = (
+        ("COALESCE(steps, false) AND ndv > 5", "Identifier", "values rise by one from row to row"),
+        (f"column_name IN ({listed['named']})", "Identifier", "name looks like an identifier"),
+        ("n_rows > 5 AND ndv = n_rows AND family IN ('int', 'string')", "Identifier", "every row has its own value"),
+        ("family = 'bool' OR (ndv = 2 AND low IN ('0', '1', 'true', 'false') AND high IN ('0', '1', 'true', 'false'))", "Boolean", "two truth values"),
+        ("ndv = 2", "Binary", "two distinct values"),
+        (f"column_name IN ({listed['targets']})", "Target Candidate", "name contains a target keyword"),
+        ("family = 'datetime'", "Datetime", "date or timestamp type"),
+        ("family = 'int' AND nulls = 0 AND ndv <= 5", "Ordinal", "integers with few distinct values"),
+        ("family IN ('int', 'float')", "Numerical", "numeric measurement"),
+        ("avg_len > 35", "Text", "long strings"),
+        ("true", "Categorical", "discrete values"),
     )
+    kind = "CASE " + " ".join(f"WHEN {when} THEN '{label}'" for when, label, _ in rules) + " END"
+    why = "CASE " + " ".join(f"WHEN {when} THEN '{reason}'" for when, _, reason in rules) + " END"
+    facts = column_facts(source.sql, columns, f"two AS ({two}), seen AS (SELECT cols.*, low, high, {steps} AS steps FROM cols JOIN two USING (column_name))")
+    return f"WITH {facts} SELECT ordinal, column_name, {kind} AS semantic_type, {kind} = 'Identifier' AS ignored, {why} AS reason FROM seen"
 
 
-_NUMBER = ("Numerical", "numeric measurement")
-_NAMED = ("Identifier", "name looks like an identifier")
-_TARGET = ("Target Candidate", "name contains a target keyword")
-_LABEL = ("Categorical", "discrete values")
-_STAMP = ("Datetime", "date or timestamp type")
-_TWO = ("Binary", "two distinct values")
-
-
-@query(
-    "semantic_types",
-    _types(
-        ORDERS, "orders",
-        {
-            "o_orderkey": ("Identifier", "values rise by one from row to row"), "o_custkey": _NUMBER, "o_orderstatus": _TARGET,
-            "o_totalprice": _TARGET, "o_orderdate": _STAMP, "o_orderpriority": _LABEL,
-        },
-    ),
-)
+@query("semantic_types", _types(ORDERS, ORDERS_COLUMNS, (), ("o_orderstatus", "o_totalprice")))
 def semantic_types(spark, sf_dir):
     return semantics.semantic_types(ORDERS.profile(spark, sf_dir))
 
 
-@query(
-    "semantic_types_lineitem",
-    _types(
-        LINEITEM, "lineitem",
-        {
-            "l_orderkey": _NUMBER, "l_partkey": _NUMBER, "l_suppkey": _NUMBER, "l_linenumber": _NUMBER, "l_quantity": _NUMBER,
-            "l_extendedprice": _TARGET, "l_discount": _NUMBER, "l_tax": _NUMBER, "l_returnflag": _LABEL, "l_linestatus": _TWO,
-            "l_shipdate": _STAMP,
-        },
-    ),
-)
+UNORDERED = Source("lineitem")
+
+
+@query("semantic_types_lineitem", _types(UNORDERED, LINEITEM_COLUMNS, (), ("l_extendedprice",)))
 def semantic_types_lineitem(spark, sf_dir):
     return semantics.semantic_types(LINEITEM.frame(spark, sf_dir))
 
 
-@query(
-    "semantic_types_events",
-    _types(
-        EVENTS, "events",
-        {
-            "event_id": ("Identifier", "values rise by one from row to row"), "ts": _STAMP, "user_id": _NAMED, "event_type": _LABEL,
-            "value": _NUMBER, "props": _LABEL,
-        },
-    ),
-)
+@query("semantic_types_events", _types(EVENTS, EVENTS_COLUMNS, ("event_id", "user_id")))
 def semantic_types_events(spark, sf_dir):
     return semantics.semantic_types(EVENTS.profile(spark, sf_dir))
 
 
+@query("semantic_types_gaps", _types(GAPS, GAPS_COLUMNS, ("event_id", "user_id")))
+def semantic_types_gaps(spark, sf_dir):
+    return semantics.semantic_types(GAPS.profile(spark, sf_dir))
+
+
 DOCUMENT_FACTS = Source(
     "documents", "doc_id", "text", "lang", "doc_id % 2 AS flag", "doc_id % 2 = 0 AS truth", "doc_id % 4 AS grade", "n_chars"
 )
+_DOCUMENT_COLUMNS = [
+    ("doc_id", "int"), ("text", "string"), ("lang", "string"), ("flag", "int"), ("truth", "bool"), ("grade", "int"), ("n_chars", "int"),
+]
 
 
-@query(
-    "semantic_types_documents",
-    _types(
-        DOCUMENT_FACTS, "documents",
-        {
-            "doc_id": _NAMED, "text": ("Text", "long strings"), "lang": _LABEL, "flag": ("Boolean", "two truth values"),
-            "truth": ("Boolean", "two truth values"), "grade": ("Ordinal", "integers with few distinct values"), "n_chars": _NUMBER,
-        },
-    ),
-)
+@query("semantic_types_documents", _types(DOCUMENT_FACTS, _DOCUMENT_COLUMNS, ("doc_id",)))
 def semantic_types_documents(spark, sf_dir):
     return semantics.semantic_types(DOCUMENT_FACTS.frame(spark, sf_dir))
 

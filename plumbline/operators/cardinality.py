@@ -65,7 +65,7 @@ def unique_values(table: DataFrame | Profile) -> DataFrame:
         distinct_profile(p)
         .join(most_frequent(p), "column_name")
         .join(kinds, "column_name")
-        .crossJoin(F.broadcast(p.counts.agg(F.max("n_rows").alias("n_rows"))))
+        .withColumn("n_rows", F.lit(p.n_rows).cast("bigint"))
         .withColumn(
             "cardinality_status",
             cardinality_label(F.col("semantic_type") == "Identifier"),
@@ -161,9 +161,9 @@ def pareto(table: DataFrame | Profile, column: str) -> DataFrame:
     """All values of one column by falling count, with the running share of the column's values in percent."""
     p = as_profile(table)
     counted = category_counts(p).where(F.col("column_name") == column).select("column_name", "key", "n")
-    total = counted.agg(F.sum("n").alias("total"))
-    summed = running_total(counted, [F.desc("n"), F.asc("key")], "n", "running")
-    return summed.crossJoin(F.broadcast(total)).select(
+    total = F.lit(p.count_rows[column]["non_null"]).cast("bigint")
+    summed = running_total(counted, [F.desc("n"), F.asc("key")], "n", "running").withColumn("total", total)
+    return summed.select(
         "column_name",
         F.col("key").alias("value"),
         F.col("n").alias("count"),
@@ -175,9 +175,9 @@ def class_distribution(table: DataFrame | Profile, column: str) -> DataFrame:
     """Count and share of the non-missing values per value of one column."""
     p = as_profile(table)
     info = p.column(column)
-    counted = p.df.select(info.value().alias("class")).where("class IS NOT NULL").groupBy("class").count()
-    total = counted.agg(F.sum("count").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select(
+    values = p.df.select(info.value().alias("class")).where("class IS NOT NULL")
+    total = F.lit(values.count()).cast("bigint")
+    return values.groupBy("class").count().withColumn("total", total).select(
         F.col("class").cast("string").alias("class"),
         "count",
         percent("count", "total").alias("percentage"),

@@ -129,8 +129,8 @@ def category_counts_chart(table: DataFrame | Profile) -> DataFrame:
 def category_shares(table: DataFrame | Profile, slices: int = 8) -> DataFrame:
     """Top eight values of the first categorical column, as shares of those eight."""
     top = category_counts_chart(table).where(F.col("rank") <= slices)
-    shown = top.agg(F.sum("count").alias("shown"))
-    return top.crossJoin(F.broadcast(shown)).withColumn("share", percent("count", "shown")).drop("shown")
+    shown = sum(r["count"] for r in top.collect())  # of at most ``slices`` rows
+    return top.withColumn("share", percent("count", str(shown)))
 
 
 def scatter_fit(table: DataFrame | Profile) -> DataFrame:

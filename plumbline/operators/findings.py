@@ -196,6 +196,10 @@ DATETIME_RULES = (
 TARGET_RULES = (Rule("insights", "target", "true", "target", "1", "concat('likely target: ', task_type)"),)
 
 
+def _table(p: Profile) -> DataFrame:
+    return table_facts(p).withColumn("quality_score", F.lit(quality_score(p).first()[0]))
+
+
 def _columns(p: Profile) -> DataFrame:
     worst = F.row_number().over(Window.orderBy(F.desc("missing_percentage"), "ordinal")) == 1  # one row per column
     return column_facts(p).withColumns({"is_worst": worst, "top_percentage": percent("mode_n", "n_rows")})
@@ -208,7 +212,7 @@ def _strong_pairs(p: Profile) -> DataFrame:
 
 # Rules, the facts they read, and the SQL of the column they speak about.
 SOURCES = (
-    (TABLE_RULES, lambda p: table_facts(p).crossJoin(F.broadcast(quality_score(p))), "NULL"),
+    (TABLE_RULES, _table, "NULL"),
     (COLUMN_RULES, _columns, "column_name"),
     (PAIR_RULES, _strong_pairs, _PAIR),
     (DATETIME_RULES, detect_datetime, "column_name"),

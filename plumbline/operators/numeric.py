@@ -130,8 +130,8 @@ def invalid_values(table: DataFrame | Profile) -> DataFrame:
     found = p.counts.where(F.col("family").isin(INT, FLOAT)).select(
         "ordinal", "column_name", F.coalesce("infinite", F.lit(0)).alias("infinite_count")
     )
-    total = found.agg(F.coalesce(F.sum("infinite_count"), F.lit(0)).alias("infinite_total"))
-    return found.crossJoin(F.broadcast(total)).select("column_name", "infinite_count", "infinite_total")
+    total = sum(r["infinite_count"] for r in found.collect())
+    return found.select("column_name", "infinite_count", F.lit(total).cast("bigint").alias("infinite_total"))
 
 
 def numeric_profile(table: DataFrame | Profile) -> DataFrame:

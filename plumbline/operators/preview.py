@@ -41,8 +41,8 @@ def column_info(table: DataFrame | Profile) -> DataFrame:
 def logical_bytes(table: DataFrame | Profile) -> DataFrame:
     """Bytes of data per column, and of the table in megabytes."""
     p = as_profile(table)
-    total = p.counts.agg(F.sum("bytes").alias("total_bytes"))
-    return p.counts.select("column_name", "bytes").crossJoin(F.broadcast(total)).select(
+    total = F.lit(sum(r["bytes"] for r in p.count_rows.values())).cast("bigint")
+    return p.counts.withColumn("total_bytes", total).select(
         "column_name", "bytes", "total_bytes", rnd(f"total_bytes / {MEGABYTE}D", 4).alias("total_mb")
     )
 

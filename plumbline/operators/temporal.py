@@ -14,6 +14,8 @@ from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile, as_profile
 
 SAMPLE = 50
+# No datetime text that any pattern below can read has more characters.
+LONGEST = 40
 MICROS_PER_DAY = 86_400_000_000
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
           "November", "December")
@@ -85,18 +87,34 @@ def _read(c: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in patterns])
 
 
-def _string_candidate(p: Profile, info: ColumnInfo) -> DatetimeColumn | None:
+def _first_values(p: Profile) -> dict[str, list[str]]:
+    """The first non-missing values of each string column, in row order if there is one.
+
+    Columns without missing values share one look at the head of the table. Columns whose shortest value is longer
+    than any datetime are left out.
+    """
+    facts = p.count_rows
+    texts = [c for c in p.columns if c.family == STRING and facts[c.name]["non_null"] >= 3]
+    texts = [c for c in texts if facts[c.name]["min_len"] <= LONGEST]
+
+    def head(columns: list[ColumnInfo], df: DataFrame) -> dict[str, list[str]]:
+        ordered = df.orderBy(*p.order()) if p.order_by else df
+        rows = ordered.limit(SAMPLE).select(*[c.value().alias(f"v{c.ordinal}") for c in columns]).collect()
+        return {c.name: [r[f"v{c.ordinal}"] for r in rows] for c in columns}
+
+    full = [c for c in texts if facts[c.name]["null_count"] == 0]
+    found = head(full, p.df) if full else {}
+    for c in texts:
+        if c not in full:
+            found |= head([c], p.df.where(c.value().isNotNull()))
+    return found
+
+
+def _string_candidate(p: Profile, info: ColumnInfo, first: list[str]) -> DatetimeColumn | None:
     """The column with the pattern of its first value, if at least 75 % of its first values follow it.
 
     When the first value follows no known pattern, any pattern seen among the first values will do.
     """
-    values = p.df.where(info.value().isNotNull())
-    if p.order_by:
-        values = values.orderBy(*p.order())
-    sample = values.select(info.value().alias("v")).limit(SAMPLE)
-    first = [r["v"] for r in sample.collect()]
-    if len(first) < 3:
-        return None
     guessed = [guess_pattern(v) for v in first]
     patterns = tuple(dict.fromkeys(g for g in (guessed[:1] if guessed[0] else guessed) if g))
     if not patterns:
@@ -132,7 +150,7 @@ def _detected(p: Profile) -> list[tuple[DatetimeColumn, int]]:
     if "datetime_columns" in p.__dict__:
         return p.__dict__["datetime_columns"]
     out = [(DatetimeColumn(c, "native"), p.count_rows[c.name]["non_null"]) for c in p.datetimes]
-    texts = [_string_candidate(p, c) for c in p.columns if c.family == STRING]
+    texts = [_string_candidate(p, p.column(name), values) for name, values in _first_values(p).items()]
     texts = [t for t in texts if t is not None]
     if texts:
         good = p.df.agg(*[F.count(t.parsed).alias(f"g{t.info.ordinal}") for t in texts]).first()

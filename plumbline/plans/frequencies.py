@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.types import (
@@ -17,37 +19,42 @@ from plumbline.functions.types import (
 )
 
 
-def _slots(info: ColumnInfo):
-    """The value as (integer, double, string); exactly one slot is used, and all are null for a missing value."""
-    null_l, null_d, null_s = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+SLOT_TYPES = {"l": "bigint", "d": "double", "s": "string"}
+
+
+def _slot(info: ColumnInfo) -> tuple[str, Column]:
+    """Where a column's values go, and the value: ``l`` for integers and instants, ``d`` for doubles, ``s`` for keys."""
     if info.family == INT:
-        return info.value().cast("bigint"), null_d, null_s
+        return "l", info.value().cast("bigint")
     if info.family == FLOAT:
-        return null_l, info.number(), null_s
+        return "d", info.number()
     if info.family == DATETIME:
-        return epoch_micros(info), null_d, null_s
+        return "l", epoch_micros(info)
     if info.family == BOOL:
-        return null_l, null_d, F.initcap(info.value().cast("string"))
-    return null_l, null_d, grouping_key(info)
+        return "s", F.initcap(info.value().cast("string"))
+    return "s", grouping_key(info)
 
 
-def long_values(df: DataFrame, columns: list[ColumnInfo], carry: list[str] = ()) -> DataFrame:
-    """Non-null cells as rows ``(ordinal, l, d, s)``, with the ``carry`` columns repeated."""
+def long_values(df: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
+    """Non-null cells as rows of ``ordinal`` and the slots that the columns need; one slot holds the value."""
+    values = {c.ordinal: _slot(c) for c in columns}
+    used = [s for s in SLOT_TYPES if s in {slot for slot, _ in values.values()}]
     cells = [F.lit(len(columns))]
-    for c in columns:
-        cells += [F.lit(c.ordinal), *_slots(c)]
-    long = df.select(*carry, F.stack(*cells).alias("ordinal", "l", "d", "s"))
-    return long.where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
+    for ordinal, (slot, value) in values.items():
+        cells.append(F.lit(ordinal))
+        cells += [value if s == slot else F.lit(None).cast(SLOT_TYPES[s]) for s in used]
+    long = df.select(F.stack(*cells).alias("ordinal", *used))
+    return long.where(" OR ".join(f"{s} IS NOT NULL" for s in used))
 
 
 def frequencies(df: DataFrame, columns: list[ColumnInfo] | None = None) -> DataFrame:
-    """``(ordinal, l, d, s, n)``: how often each non-null value occurs.
+    """``(ordinal, slots, n)``: how often each non-null value occurs.
 
     Hot values collapse in the map-side partial count, so no value is ever a hot shuffle key. Strings over
     ``DIGEST_OVER`` characters are keyed by their digest.
     """
-    columns = columns_of(df) if columns is None else columns
-    return long_values(df, columns).groupBy("ordinal", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    long = long_values(df, columns_of(df) if columns is None else columns)
+    return long.groupBy(*long.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_stats(freq: DataFrame) -> DataFrame:
@@ -57,15 +64,29 @@ def distinct_stats(freq: DataFrame) -> DataFrame:
     counts per column, so the second step is small however many distinct values there are, and its ``max_by`` has no
     ties to break.
     """
+    used = [s for s in SLOT_TYPES if s in freq.columns]
     by_count = freq.groupBy("ordinal", "n").agg(
-        F.count(F.lit(1)).alias("values"),
-        *[f(c).alias(f"{f.__name__}_{c}") for c in ("l", "d", "s") for f in (F.min, F.max)],
+        F.count(F.lit(1)).alias("values"), *[f(c).alias(f"{f.__name__}_{c}") for c in used for f in (F.min, F.max)]
     )
     return by_count.groupBy("ordinal").agg(
         F.sum("values").alias("ndv"),
         F.max("n").alias("mode_n"),
         F.max_by("values", "n").alias("mode_ties"),
-        *[F.max_by(f"min_{c}", "n").alias(f"mode_{c}") for c in ("l", "d", "s")],
-        *[F.min(f"min_{c}").alias(f"min_{c}") for c in ("l", "d", "s")],
-        *[F.max(f"max_{c}").alias(f"max_{c}") for c in ("l", "d", "s")],
+        *[F.max_by(f"min_{c}", "n").alias(f"mode_{c}") for c in used],
+        *[F.min(f"min_{c}").alias(f"min_{c}") for c in used],
+        *[F.max(f"max_{c}").alias(f"max_{c}") for c in used],
     )
+
+
+def distinct_by_column(df: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
+    """``distinct_stats`` of columns of any type.
+
+    Numbers and texts are counted apart. Each reads only its own columns, the rows shuffled are narrower, and numbers
+    are folded by hash, which strings in the aggregation buffer would turn into a sort.
+    """
+    texts = [c for c in columns if _slot(c)[0] == "s"]
+    numbers = [c for c in columns if _slot(c)[0] != "s"]
+    parts = [distinct_stats(frequencies(df, part)) for part in (numbers, texts) if part]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    absent = {f"{what}_{s}": t for what in ("mode", "min", "max") for s, t in SLOT_TYPES.items()}
+    return out.withColumns({c: F.lit(None).cast(t) for c, t in absent.items() if c not in out.columns})

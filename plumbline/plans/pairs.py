@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.types import BOOL, DATETIME, ColumnInfo, epoch_micros, grouping_key
 from plumbline.plans.blocks import aggregate_arrays
-from plumbline.plans.frequencies import distinct_stats, frequencies
+from plumbline.plans.frequencies import distinct_by_column
+from plumbline.plans.lookup import lookup
 from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile
 
@@ -63,17 +64,16 @@ def pearson(p: Profile, pairs: list[Pair]) -> DataFrame:
 
 def _pair_sums(p: Profile, a: ColumnInfo, b: ColumnInfo) -> Column:
     """Sums over complete rows. Between columns without nulls, Spark shares the single-column sums of all pairs."""
-    x, y = a.number(), b.number()
+    x, y = a.number_sql, b.number_sql
     if _has_nulls(p, b):
-        x = F.when(b.number().isNotNull(), x)
+        x = f"if({b.number_sql} IS NOT NULL, {x}, NULL)"
     if _has_nulls(p, a):
-        y = F.when(a.number().isNotNull(), y)
-    dx, dy = x - F.lit(_centre(p, a)), y - F.lit(_centre(p, b))
-    n = F.count(dx + dy) if _has_nulls(p, a) or _has_nulls(p, b) else F.count(F.lit(1))
-    return F.array(
-        n.cast("double"), F.sum(dx), F.sum(dy), F.sum(dx * dx), F.sum(dy * dy), F.sum(dx * dy),
-        F.min(x), F.max(x), F.min(y), F.max(y),
-    )
+        y = f"if({a.number_sql} IS NOT NULL, {y}, NULL)"
+    dx, dy = f"({x} - {_centre(p, a)!r}D)", f"({y} - {_centre(p, b)!r}D)"
+    n = f"count({dx} + {dy})" if _has_nulls(p, a) or _has_nulls(p, b) else "count(1)"
+    sums = [dx, dy, f"{dx} * {dx}", f"{dy} * {dy}", f"{dx} * {dy}"]
+    listed = ", ".join([f"double({n})", *[f"sum({s})" for s in sums], f"min({x})", f"max({x})", f"min({y})", f"max({y})"])
+    return F.expr(f"array({listed})")
 
 
 def _gram(p: Profile, pairs: list[Pair]) -> DataFrame:
@@ -133,7 +133,7 @@ def _text_key(c: ColumnInfo) -> Column:
 def _distinct_counts(p: Profile, columns: dict[int, ColumnInfo]) -> dict[int, int]:
     """Distinct values per column: from the profile if it has them already, else of these columns only."""
     known = "distinct" in p.__dict__ and p.exact
-    found = p.distinct if known else distinct_stats(frequencies(p.df, list(columns.values())))
+    found = p.distinct if known else distinct_by_column(p.df, list(columns.values()))
     return dict.fromkeys(columns, 0) | {r["ordinal"]: r["ndv"] for r in found.select("ordinal", "ndv").collect()}
 
 
@@ -158,15 +158,15 @@ def cramers_v(p: Profile, pairs: list[Pair]) -> DataFrame:
             p.df.select(F.stack(*cells).alias("pair", "a", "b"))
             .where("a IS NOT NULL")
             .groupBy("pair", "a", "b")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.count(F.lit(1)).cast("double").alias("cell"))
         )
-        totals = counted.groupBy("pair", "a").agg(F.sum("n").alias("row_total"))
-        totals = F.broadcast(totals) if few <= BROADCAST_TOTALS else totals
-        by_column = (
-            counted.join(totals, ["pair", "a"])
-            .withColumn("n", F.col("n").cast("double"))
-            .groupBy("pair", "b")
-            .agg(F.sum(F.col("n") * F.col("n") / F.col("row_total")).alias("w"), F.sum("n").alias("col_total"))
+        totals = counted.groupBy("pair", "a").agg(F.sum("cell").alias("row_total"), F.count(F.lit(1)).alias("n"))
+        if few <= BROADCAST_TOTALS:
+            weighed = counted.join(F.broadcast(totals), ["pair", "a"])
+        else:  # a value with many cells is no hot key either
+            weighed = lookup(counted, ["pair", "a"], totals)
+        by_column = weighed.groupBy("pair", "b").agg(
+            F.sum(F.expr("cell * cell / row_total")).alias("w"), F.sum("cell").alias("col_total")
         )
         summed = by_column.groupBy("pair").agg(
             F.sum(F.col("w") / F.col("col_total")).alias("s"),
@@ -179,8 +179,7 @@ def cramers_v(p: Profile, pairs: list[Pair]) -> DataFrame:
         [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"
     )
     if not parts:
-        empty = local(p.spark, [], "n bigint, chi2 double, v double")
-        return names.crossJoin(empty).drop("pair")
+        return local(p.spark, [], "column_a string, column_b string, n bigint, chi2 double, v double")
     joined = names.join(reduce(DataFrame.unionByName, parts), "pair", "left")
     inside = F.greatest(F.col("s") - 1.0, F.lit(0.0))
     smaller = F.least(F.col("n_rows"), F.col("n_cols")) - 1

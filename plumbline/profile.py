@@ -25,7 +25,7 @@ from plumbline.functions.types import (
 )
 from plumbline.plans import moments as moments_plan
 from plumbline.plans.blocks import aggregate_arrays
-from plumbline.plans.frequencies import distinct_stats, frequencies
+from plumbline.plans.frequencies import distinct_by_column, frequencies
 from plumbline.plans.quantiles import approx_quantiles, exact_quantiles
 from plumbline.plans.small import local, pinned
 
@@ -87,7 +87,7 @@ class Profile:
 
     @cached_property
     def category_frequencies(self) -> DataFrame:
-        """``(ordinal, l, d, s, n)`` of the string and boolean columns."""
+        """``(ordinal, s, n)`` of the string and boolean columns."""
         return frequencies(self.df, self.categorical)
 
     @cached_property
@@ -95,7 +95,7 @@ class Profile:
         """Per column: ``ndv``, the smallest most frequent value (text and number), its count, and two extremes."""
         if not self.exact:
             return self._distinct_by_sketch()
-        found = distinct_stats(frequencies(self.df, self.columns))
+        found = distinct_by_column(self.df, self.columns)
         all_columns = self.counts.select("ordinal", "column_name", "family")
         stamp = F.date_format(F.timestamp_micros("mode_l"), "yyyy-MM-dd HH:mm:ss")
         joined = (

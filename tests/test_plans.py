@@ -11,6 +11,7 @@ from plumbline import Profile
 from plumbline.functions.rounding import rnd
 from plumbline.functions.types import columns_of
 from plumbline.operators import cardinality, duplicates, numeric, outliers, semantics
+from plumbline.plans import pairs
 from plumbline.plans.frequencies import distinct_stats, frequencies
 from plumbline.plans.lookup import lookup
 from plumbline.plans.pairs import WIDE, pearson
@@ -144,9 +145,9 @@ def test_wide_correlation_matches_numpy(spark):
     rows = [tuple(None if holes[i, j] else float(x[i, j]) for j in range(c)) for i in range(n)]
     df = spark.createDataFrame(rows, ", ".join(f"x{j} double" for j in range(c))).repartition(3)
     p = Profile(df)
-    pairs = [(a, b) for i, a in enumerate(p.columns) for b in p.columns[i + 1 :]]
-    wide = {(r["column_a"], r["column_b"]): r for r in pearson(p, pairs).collect()}
-    narrow = {(r["column_a"], r["column_b"]): r for r in pearson(p, [q for q in pairs if q[1].ordinal < 4]).collect()}
+    every = [(a, b) for i, a in enumerate(p.columns) for b in p.columns[i + 1 :]]
+    wide = {(r["column_a"], r["column_b"]): r for r in pearson(p, every).collect()}
+    narrow = {(r["column_a"], r["column_b"]): r for r in pearson(p, [q for q in every if q[1].ordinal < 4]).collect()}
     for (a, b), r in wide.items():
         i, j = int(a[1:]), int(b[1:])
         both = ~holes[:, i] & ~holes[:, j]
@@ -159,6 +160,21 @@ def test_wide_correlation_matches_numpy(spark):
             assert narrow[(a, b)]["r"] == (None if r["r"] is None else pytest.approx(r["r"], abs=1e-9))
 
 
+def test_cramers_v_without_broadcast(spark, monkeypatch):
+    rows = [("x" if i % 3 == 0 else f"a{i % 17}", f"b{(i * i) % 23}", None if i % 5 else "z") for i in range(900)]
+    df = spark.createDataFrame(rows, "a string, b string, c string").repartition(3)
+    p = Profile(df)
+    every = [(p.columns[0], p.columns[1]), (p.columns[0], p.columns[2]), (p.columns[1], p.columns[2])]
+    monkeypatch.setattr(pairs, "BROADCAST_TOTALS", 0)
+    monkeypatch.setattr(pairs, "lookup", lambda df, keys, facts: lookup(df, keys, facts, broadcast_values=1, hot_share=30))
+    large = pairs.cramers_v(p, every).collect()
+    monkeypatch.undo()
+    assert len(large) == 3
+    by_pair = {(r["column_a"], r["column_b"]): round(r["v"], 9) for r in pairs.cramers_v(p, every).collect()}
+    assert by_pair == {(r["column_a"], r["column_b"]): round(r["v"], 9) for r in large}
+    assert by_pair[("a", "c")] == 0.0
+
+
 def test_results_do_not_depend_on_partitioning(spark, staff):
     def picture(df):
         p = Profile(df)
