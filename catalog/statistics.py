@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from catalog.registry import EVENTS, GAPS, INFINITE, LINEITEM, ORDERS, PRICES, Source, query
 from catalog.sql import EVENTS as EVENTS_COLUMNS
 from catalog.sql import GAPS as GAPS_COLUMNS

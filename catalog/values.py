@@ -19,7 +19,6 @@ from catalog.sql import GAPS as GAPS_COLUMNS
 from catalog.sql import MIXED as MIXED_COLUMNS
 from catalog.sql import ORDERS as ORDERS_COLUMNS
 from catalog.sql import column_facts, pct, r, share, union
-
 from plumbline.functions.rounding import rnd
 from plumbline.functions.types import DIGEST_OVER
 from plumbline.operators import cardinality, charts, duplicates, text
