@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import unused
+
 #: Tokens that count are marked 1. Together they hit nearly every stretch of 15 tokens with up to 3 replaced ones.
 MASKS = ["11111", "1101101", "110010011", "10101011"]
 OVERLAP, SHARE = 15, 0.8
@@ -115,6 +117,7 @@ def keep_clean(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with all their columns."""
-    bad = hits(docs, benchmark, key, text, item, item_text).select("_id", "_hash").distinct()
-    rows = docs.withColumn("_of", F.xxhash64(text))
-    return rows.join(bad, rows[key].eqNullSafe(bad["_id"]) & (rows["_of"] == bad["_hash"]), "left_anti").drop("_of")
+    bad_id, bad_hash, hashed = unused(docs, "_id", "_hash", "_of")
+    bad = hits(docs, benchmark, key, text, item, item_text).select("_id", "_hash").distinct().toDF(bad_id, bad_hash)
+    rows = docs.withColumn(hashed, F.xxhash64(text))
+    return rows.join(bad, rows[key].eqNullSafe(bad[bad_id]) & (rows[hashed] == bad[bad_hash]), "left_anti").drop(hashed)

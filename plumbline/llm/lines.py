@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_rows, stored
+from plumbline.llm.common import map_rows, stored, unused
 from plumbline.llm.components import components
 
 #: Characters of a shingle, least similarity, and a banding that finds 99.9 % of pairs at that similarity.
@@ -264,12 +264,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("_id", "_hash").agg(F.collect_set("line").alias("gone"))
 
 
-def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with ``_gone``, the numbers of the lines to remove."""
+def _marked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with the numbers of the lines to remove, and the name of that column."""
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    gone = removed_lines(rows).select(F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash"), F.col("gone").alias("_gone"))
-    own = docs.withColumn("_of", F.xxhash64(text))
-    return own.join(gone, own[key].eqNullSafe(gone["_rid"]) & (own["_of"] == gone["_rhash"]), "left").drop("_of", "_rid", "_rhash")
+    gone_id, gone_hash, numbers, hashed = unused(docs, "_id", "_hash", "_gone", "_of")
+    gone = removed_lines(rows).toDF(gone_id, gone_hash, numbers)
+    own = docs.withColumn(hashed, F.xxhash64(text))
+    at = own[key].eqNullSafe(gone[gone_id]) & (own[hashed] == gone[gone_hash])
+    return own.join(gone, at, "left").drop(hashed, gone_id, gone_hash), numbers
 
 
 def without(text: str | None, gone: list[int] | None) -> str | None:
@@ -281,11 +283,11 @@ def without(text: str | None, gone: list[int] | None) -> str | None:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_lines``, ``n_removed`` and ``kept`` (the other lines) of every row."""
-    marked = _marked(docs.select(key, text), key, text)
+    marked, numbers = _marked(docs.select(key, text), key, text)
 
     def make():
         def step(batch: dict) -> dict:
-            texts, gone = batch[text], batch["_gone"]
+            texts, gone = batch[text], batch[numbers]
             return {
                 key: batch[key],
                 "n_lines": [x.count("\n") + 1 if x else 0 for x in texts],
@@ -300,11 +302,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def keep_first_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every column, the texts without the lines to remove. Rows stay, even those that lose all lines."""
-    marked = _marked(docs, key, text)
+    marked, numbers = _marked(docs, key, text)
 
     def make():
         def step(batch: dict) -> dict:
-            batch[text] = [without(x, g) for x, g in zip(batch[text], batch.pop("_gone"), strict=True)]
+            batch[text] = [without(x, g) for x, g in zip(batch[text], batch.pop(numbers), strict=True)]
             return batch
 
         return step

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_rows, stored
+from plumbline.llm.common import map_rows, stored, unused
 from plumbline.llm.components import components, merge
 
 BITS = 64
@@ -230,8 +230,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """
     rows, named = _clustered(docs, key, text, words, radius)
     first = rows.join(named, "fingerprint").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("_part", "_id").agg(F.min("_same").alias("_same")).select("_id", "_same").distinct()
-    same = Window.partitionBy(key, "_hash").orderBy(text)
-    one = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
-    at = one[key].eqNullSafe(chosen["_id"]) & (one["_hash"] == chosen["_same"])
-    return one.join(chosen, at, "left_semi").drop("_hash")
+    hashed, number, chosen_id, chosen_hash = unused(docs, "_hash", "_n", "_id", "_same")
+    chosen = first.groupBy("_part", "_id").agg(F.min("_same").alias("_same")).select("_id", "_same").distinct().toDF(chosen_id, chosen_hash)
+    same = Window.partitionBy(key, hashed).orderBy(text)
+    one = docs.withColumn(hashed, F.xxhash64(text)).withColumn(number, F.row_number().over(same)).where(F.col(number) == 1)
+    at = one[key].eqNullSafe(chosen[chosen_id]) & (one[hashed] == chosen[chosen_hash])
+    return one.join(chosen, at, "left_semi").drop(hashed, number)
