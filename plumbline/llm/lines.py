@@ -25,13 +25,13 @@ from plumbline.llm.components import components
 
 #: Characters of a shingle, least similarity, and a banding that finds 99.9 % of pairs at that similarity.
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 10, 3
-#: Characters whose signatures are made at a time; lines of a block in a large bucket.
-CHARS, BLOCK = 1 << 20, 400
+#: Characters whose signatures are made at a time; lines of a block in a large
+#: bucket; bits that stand for a line's shingles; lines whose bits are made at a time.
+CHARS, BLOCK, BITMAP, AT_ONCE = 1 << 20, 400, 2_048, 1_024
 
 _random = np.random.default_rng(9)
 SHINGLE_FACTORS = _random.integers(1, 1 << 32, SHINGLE, np.uint32) | np.uint32(1)
 FACTORS = _random.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
-OFFSETS = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 KEY_FACTORS = _random.integers(1, 1 << 63, ROWS + 1, np.uint64) | np.uint64(1)
 
 
@@ -41,8 +41,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of band keys for each line; the lines are not empty."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every shingle of the lines, which are not empty, and where each line's begin."""
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
     sizes = np.array([len(x) for x in padded])
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -54,20 +54,43 @@ def band_keys(lines: list[str]) -> np.ndarray:
     ends = np.cumsum(sizes)
     for i in range(1, SHINGLE):
         inside[ends - i] = False
-    hashes = mixed(hashes[inside[: len(hashes)]])
-    starts = np.cumsum(sizes - SHINGLE + 1) - (sizes - SHINGLE + 1)
+    return mixed(hashes[inside[: len(hashes)]]), np.cumsum(sizes - SHINGLE + 1) - (sizes - SHINGLE + 1)
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """A row of band keys for each line."""
+    hashes, starts = shingle_hashes(lines)
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64) * KEY_FACTORS[ROWS]
         for row in range(ROWS):
-            n = band * ROWS + row
-            least = np.minimum.reduceat(hashes * FACTORS[n] + OFFSETS[n], starts)
+            least = np.minimum.reduceat(hashes * FACTORS[band * ROWS + row], starts)
             key = (key ^ least) * KEY_FACTORS[row]
             key ^= key >> np.uint64(31)
         keys[:, band] = key
     return keys.view(np.int64)
 
 
+def bitmaps(lines: list[str]) -> list[bytes]:
+    """For each line ``BITMAP`` bits, those set that some shingle's hash names."""
+    hashes, starts = shingle_hashes(lines)
+    counts = np.diff(np.append(starts, len(hashes)))
+    bits = np.zeros((len(lines), BITMAP), bool)
+    bits[np.repeat(np.arange(len(lines)), counts), hashes % np.uint32(BITMAP)] = True
+    return [row.tobytes() for row in np.packbits(bits, axis=1)]
+
+
+def may_be_similar(a: str, b: str, bits_a: bytes, bits_b: bytes) -> bool:
+    """False only if the lines are surely not similar.
+
+    Each bit in which the bitmaps differ stands for a shingle of one line alone, and similar lines have few of those: the
+    symmetric difference is at most (1 - s) / (1 + s) of the sets' sizes together, which the lengths bound.
+    """
+    apart = (int.from_bytes(bits_a) ^ int.from_bytes(bits_b)).bit_count()
+    most = max(1, len(a) - SHINGLE + 1) + max(1, len(b) - SHINGLE + 1)
+    return apart * (1 + SIMILAR) <= (1 - SIMILAR) * most + 1e-9
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -145,7 +168,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetched(rows: DataFrame, occurrences: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id`` and ``text`` of the lines ``ids``."""
+    """``id``, ``text`` and ``bits`` of the lines ``ids``."""
     once = occurrences.where("keys IS NOT NULL").join(ids, "id", "left_semi").dropDuplicates(["id"])
     wanted = once.groupBy("_id", "_hash").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
     right = wanted.select(F.col("_id").alias("_rid"), F.col("_hash").alias("_rhash"), "wanted")
@@ -157,45 +180,56 @@ def _fetched(rows: DataFrame, occurrences: DataFrame, ids: DataFrame) -> DataFra
             for text, asked in zip(batch["_text"], batch["wanted"], strict=True):
                 split = text.split("\n")
                 got |= {w["id"]: split[w["line"]] for w in asked}
-            return {"id": list(got), "text": list(got.values())}
+            found = list(got.values())
+            bits: list[bytes] = []
+            for at in range(0, len(found), AT_ONCE):
+                bits += bitmaps(found[at : at + AT_ONCE])
+            return {"id": list(got), "text": found, "bits": bits}
 
         return step
 
     # Rows alike in key and text answer more than once.
-    return map_rows(texts, make, "id bigint, text string").dropDuplicates(["id"])
+    return map_rows(texts, make, "id bigint, text string, bits binary").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a = texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
-    b = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
+    a = texts.select(F.col("id").alias("u"), F.col("text").alias("a"), F.col("bits").alias("c"))
+    b = texts.select(F.col("id").alias("v"), F.col("text").alias("b"), F.col("bits").alias("d"))
 
     def make():
         def step(batch: dict) -> dict:
-            kept = [
-                i for i, (x, y) in enumerate(zip(batch["a"], batch["b"], strict=True)) if similar(shingles(x), shingles(y))
-            ]
+            rows = enumerate(zip(batch["a"], batch["b"], batch["c"], batch["d"], strict=True))
+            kept = [i for i, (x, y, c, d) in rows if may_be_similar(x, y, c, d) and similar(shingles(x), shingles(y))]
             return {"u": [batch["u"][i] for i in kept], "v": [batch["v"][i] for i in kept]}
 
         return step
 
-    return map_rows(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), make, "u bigint, v bigint")
+    return map_rows(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "c", "d"), make, "u bigint, v bigint")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links across components among the rows (key, i, j, id, part, block, text) of each (key, i, j), which lie side by side."""
+    """Links across components among the rows (key, i, j, id, part, block, text, bits) of each (key, i, j), side by side."""
     held: list[tuple] = []
     now = None
 
     def found() -> list[tuple[int, int]]:
         i, j = now[1:]
-        sets = {id_: shingles(text) for id_, _, _, text in held}
-        part = {id_: p for id_, p, _, _ in held}
+        part = {row[0]: row[1] for row in held}
+        sets: dict[int, set[str]] = {}
         out = []
-        for n, (x, _, block, _) in enumerate(held):
-            for y, _, other, _ in held[n + 1 :]:
-                if part[x] != part[y] and (i == j or block != other) and similar(sets[x], sets[y]):
-                    out.append((x, y))
-                    old, new = part[y], part[x]
+
+        def shingles_of(row: tuple) -> set[str]:
+            if row[0] not in sets:
+                sets[row[0]] = shingles(row[3])
+            return sets[row[0]]
+
+        for n, a in enumerate(held):
+            for b in held[n + 1 :]:
+                if part[a[0]] == part[b[0]] or (i != j and a[2] == b[2]) or not may_be_similar(a[3], b[3], a[4], b[4]):
+                    continue
+                if similar(shingles_of(a), shingles_of(b)):
+                    out.append((a[0], b[0]))
+                    old, new = part[b[0]], part[a[0]]
                     for z in part:
                         if part[z] == old:
                             part[z] = new
@@ -235,7 +269,7 @@ def _residual(buckets: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFra
     rows = rows.select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "part", "block"
     )
-    dealt = rows.join(texts, "id").select("key", "i", "j", "id", "part", "block", "text").repartition("key", "i", "j")
+    dealt = rows.join(texts, "id").select("key", "i", "j", "id", "part", "block", "text", "bits").repartition("key", "i", "j")
     return dealt.sortWithinPartitions("key", "i", "j").mapInArrow(_across, "u bigint, v bigint")
 
 
@@ -251,8 +285,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     parts = components(links)
     more = _residual(buckets, parts, texts)
     if more is not None:
-        links = stored(links.unionByName(more))
-        parts = components(links)
+        parts = components(parts.where("node <> component").toDF("u", "v").unionByName(more))
     parts = stored(parts.withColumnRenamed("node", "id"))
     placed = occurrences.select("id", "_id", "_hash", "line").join(parts, "id", "left").select(
         F.coalesce("component", "id").alias("part"), "_id", "_hash", "line"

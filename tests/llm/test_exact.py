@@ -263,7 +263,7 @@ def test_lines_are_compared_across_components(spark, monkeypatch):
     text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz ", k=400))
     a, b, c = text, text[:330] + "#" * 70, text[:365] + "#" * 35
     data = [(n, k, t) for n, (k, t) in enumerate([(1, a), (2, b), (3, c)])]
-    texts = spark.createDataFrame([(n, t) for n, _, t in data], "id bigint, text string")
+    texts = spark.createDataFrame([(n, t, lines.bitmaps([t])[0]) for n, _, t in data], "id bigint, text string, bits binary")
     buckets = spark.createDataFrame([(7, 1, 0), (7, 2, 0)], "key bigint, id bigint, first bigint")
     none = spark.createDataFrame([], "node bigint, component bigint")
     for block in (lines.BLOCK, 1):
@@ -339,3 +339,17 @@ def test_block_tables_find_every_near_fingerprint(spark):
     queries_ = {r[0] for r in df.limit(20).collect()}
     mask = (1 << 64) - 1
     assert got == {(q, p) for q in queries_ for (p,) in signed if p != q and ((p ^ q) & mask).bit_count() <= 3}
+
+
+def test_bitmaps_never_rule_out_similar_lines():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choices("abcdefgh ", k=rng.randrange(1, 400)))
+        at = rng.randrange(len(a))
+        b = a[:at] + "#" * rng.randrange(0, 12) + a[at + rng.randrange(0, 12) :] or "x"
+        if lines.similar(lines.shingles(a), lines.shingles(b)):
+            assert lines.may_be_similar(a, b, *lines.bitmaps([a, b]))
+    c = "".join(rng.choices("ijklmnop", k=300))
+    assert not lines.may_be_similar(a, c, *lines.bitmaps([a, c]))
