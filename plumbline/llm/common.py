@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Rows that a task turns into Python objects at a time.
+AT_ONCE = 500
+
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
@@ -23,17 +26,18 @@ def schema_of(spec: str | StructType) -> StructType:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], out: str) -> DataFrame:
-    """Run ``make()`` once per task and its result on each Arrow batch.
+    """Run ``make()`` once per task and its result on the rows, ``AT_ONCE`` at a time.
 
-    The function gets the batch's columns as lists by name and returns lists by name in ``out``'s order.
+    The function gets the rows' columns as lists by name and returns lists by the names of ``out``.
     """
     arrow = to_arrow_schema(schema_of(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                got = step({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                got = step({n: part.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)

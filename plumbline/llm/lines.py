@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_rows, stored, unused
 from plumbline.llm.components import components
 
-#: Characters of a shingle, least similarity, and a banding that finds 99.9 % of pairs at that similarity.
-SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 10, 3
+#: Characters of a shingle, least similarity, and a banding that finds 99.7 % of pairs at that similarity.
+SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 8, 3
 #: Characters whose signatures are made at a time; lines of a block in a large
 #: bucket; bits that stand for a line's shingles; lines whose bits are made at a time.
 CHARS, BLOCK, BITMAP, AT_ONCE = 1 << 20, 400, 2_048, 1_024
@@ -307,41 +307,27 @@ def _marked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     return own.join(gone, at, "left").drop(hashed, gone_id, gone_hash), numbers
 
 
-def without(text: str | None, gone: list[int] | None) -> str | None:
-    if not text or not gone:
-        return text
-    out = set(gone)
-    return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in out)
+def _left(text: str, numbers: str) -> Column:
+    """The text without the lines of those numbers."""
+    split = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(numbers))
+    kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    return F.when(F.col(numbers).isNull(), F.col(text)).otherwise(kept)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_lines``, ``n_removed`` and ``kept`` (the other lines) of every row."""
     marked, numbers = _marked(docs.select(key, text), key, text)
-
-    def make():
-        def step(batch: dict) -> dict:
-            texts, gone = batch[text], batch[numbers]
-            return {
-                key: batch[key],
-                "n_lines": [x.count("\n") + 1 if x else 0 for x in texts],
-                "n_removed": [len(g or ()) for g in gone],
-                "kept": [without(x, g) or "" for x, g in zip(texts, gone, strict=True)],
-            }
-
-        return step
-
-    return map_rows(marked, make, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_lines bigint, n_removed bigint, kept string")
+    own = F.coalesce(F.col(text), F.lit(""))
+    return marked.select(
+        key,
+        F.when(own == "", F.lit(0)).otherwise(F.size(F.split(own, "\n"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(_left(text, numbers), F.lit("")).alias("kept"),
+    )
 
 
 def keep_first_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every column, the texts without the lines to remove. Rows stay, even those that lose all lines."""
     marked, numbers = _marked(docs, key, text)
-
-    def make():
-        def step(batch: dict) -> dict:
-            batch[text] = [without(x, g) for x, g in zip(batch[text], batch.pop(numbers), strict=True)]
-            return batch
-
-        return step
-
-    return map_rows(marked, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return marked.withColumn(text, _left(text, numbers)).drop(numbers)
