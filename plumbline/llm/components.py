@@ -55,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m")))
         # Large star: each larger neighbour hangs on the least of the neighbourhood.
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # Small star: each smaller neighbour, and the node itself, hang on the least neighbour.
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         smaller = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -309,9 +309,7 @@ def _marked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
 
 def _left(text: str, numbers: str) -> Column:
     """The text without the lines of those numbers."""
-    split = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(numbers))
-    kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(numbers), i)), "\n")
     return F.when(F.col(numbers).isNull(), F.col(text)).otherwise(kept)
 
 
