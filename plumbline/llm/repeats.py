@@ -101,7 +101,7 @@ def _leaves(docs: DataFrame, window: int) -> DataFrame:
                 words = (text or "").encode().split()
                 if len(words) < window:
                     continue
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                hashes = np.array([known[w] for w in words], np.uint64)
                 prefix, at, first, last = anchors(words, hashes, window)
                 joined = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -190,7 +190,7 @@ def _ranges(columns: list[list], kind: pa.DataType) -> pa.RecordBatch:
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """``_id``, ``_hash``, ``place`` and ``mask`` (bits of the anchor's windows that repeat) for ``docs`` (``_id``, ``_hash``, ``_text``)."""
     kind = docs.schema["_id"].dataType.simpleString()
-    leaves = _leaves(docs, window)
+    leaves = stored(_leaves(docs, window))
     # An anchor whose prefix occurs once repeats nothing; where all leaves of a prefix are one, they all repeat.
     status = stored(
         leaves.groupBy("h").agg(F.count("*").alias("rows"), F.min("d").alias("lo"), F.max("d").alias("hi"))
@@ -200,7 +200,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     several = met.where("NOT alike")
     counts = several.groupBy("h", "d").agg(F.count("*").alias("n"))
     counts = stored(counts.withColumn("g", F.count("*").over(Window.partitionBy("h"))))
-    told = several.join(counts, ["h", "d"])
+    told = stored(several.join(counts, ["h", "d"]))
     all_bits = F.expr(f"shiftleft(2L, CAST(place & {(1 << PLACE) - 1} AS INT)) - 1L")
     whole = met.where("alike").select("_id", "_hash", "place").unionByName(told.where("n > 1").select("_id", "_hash", "place"))
     whole = whole.withColumn("mask", all_bits)
