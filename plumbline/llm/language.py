@@ -67,6 +67,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         return step
 
     counted = map_rows(chosen, make, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = stored(counted)
     counts = {n: {} for n in langs}
     for n in langs:  # the most frequent words of each, WORDS at most
         for r in counted.where(F.col("lang") == n).orderBy(F.desc("n"), "word").limit(WORDS).collect():

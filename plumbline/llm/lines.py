@@ -14,6 +14,7 @@ are 64-bit hashes of the whole line. Of the input only the named columns are rea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -214,25 +215,26 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found() -> list[tuple[int, int]]:
         i, j = now[1:]
-        part = {row[0]: row[1] for row in held}
         sets: dict[int, set[str]] = {}
-        out = []
-
-        def shingles_of(row: tuple) -> set[str]:
-            if row[0] not in sets:
-                sets[row[0]] = shingles(row[3])
-            return sets[row[0]]
-
-        for n, a in enumerate(held):
-            for b in held[n + 1 :]:
-                if part[a[0]] == part[b[0]] or (i != j and a[2] == b[2]) or not may_be_similar(a[3], b[3], a[4], b[4]):
-                    continue
-                if similar(shingles_of(a), shingles_of(b)):
-                    out.append((a[0], b[0]))
-                    old, new = part[b[0]], part[a[0]]
-                    for z in part:
-                        if part[z] == old:
-                            part[z] = new
+        parts: dict[int, list[tuple]] = {}
+        for id_, part, block, text, bits in held:
+            size = max(1, len(text) - SHINGLE + 1)
+            parts.setdefault(part, []).append((id_, block, text, int.from_bytes(bits), size))
+
+        def near(a: tuple, b: tuple) -> bool:
+            if (i != j and a[1] == b[1]) or (a[3] ^ b[3]).bit_count() * (1 + SIMILAR) > (1 - SIMILAR) * (a[4] + b[4]) + 1e-9:
+                return False
+            for x in (a, b):
+                if x[0] not in sets:
+                    sets[x[0]] = shingles(x[2])
+            return similar(sets[a[0]], sets[b[0]])
+
+        out, joined = [], {p: p for p in parts}
+        for p, q in combinations(parts, 2):
+            if joined[p] != joined[q] and (link := next(((a[0], b[0]) for a in parts[p] for b in parts[q] if near(a, b)), None)):
+                out.append(link)
+                old, new = joined[q], joined[p]
+                joined.update({k: new for k, v in joined.items() if v == old})
         return out
 
     def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
