@@ -113,6 +113,18 @@ def id_sequential(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in found], "column_name string")
 
 
+@query(
+    "id_sequential_large",
+    "SELECT 'big' AS column_name FROM (SELECT big - lag(big) OVER (ORDER BY o_orderkey) AS step FROM"
+    " (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) + 1152921504606846976 AS big FROM orders)) HAVING min(step) = 1 AND max(step) = 1",
+)
+def id_sequential_large(spark, sf_dir):
+    """Steps of one among keys that a double cannot tell apart."""
+    steps = Source("orders", "o_orderkey", "o_orderkey + 1152921504606846976 AS big", order_by="o_orderkey")
+    found = semantics.sequential_columns(steps.profile(spark, sf_dir))
+    return spark.createDataFrame([(c,) for c in found if c == "big"], "column_name string")
+
+
 @query("row_diff", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS value, CAST(o_custkey AS DOUBLE) - lag(o_custkey) OVER (ORDER BY o_orderkey) AS difference FROM orders")
 def row_diff(spark, sf_dir):
     return semantics.row_diff(ORDERS.profile(spark, sf_dir), "o_custkey")

@@ -235,7 +235,9 @@ def scatter_sample(spark, sf_dir):
     return charts.scatter_sample(PRICES.profile(spark, sf_dir))
 
 
-@query("scatter3d_sample")
+@query(
+    "scatter3d_sample", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_totalprice FROM orders"
+)
 def scatter3d_sample(spark, sf_dir):
     return charts.scatter3d_sample(ORDERS.profile(spark, sf_dir))
 

@@ -20,7 +20,6 @@ from catalog.sql import MIXED as MIXED_COLUMNS
 from catalog.sql import ORDERS as ORDERS_COLUMNS
 from catalog.sql import column_facts, pct, r, share, union
 from plumbline.functions.rounding import rnd
-from plumbline.functions.types import DIGEST_OVER
 from plumbline.operators import cardinality, charts, duplicates, text
 
 _ORDERS = f"WITH {column_facts(ORDERS.sql, ORDERS_COLUMNS)}"
@@ -162,21 +161,33 @@ def top_categories_gaps(spark, sf_dir):
     return cardinality.top_categories(GAPS.frame(spark, sf_dir))
 
 
-_KEY = f"CASE WHEN length(text) > {DIGEST_OVER} THEN sha256(text) ELSE text END"
-
-
 @query(
     "top_categories_text",
-    f"WITH k AS (SELECT {_KEY} AS k, text FROM documents), g AS (SELECT k, any_value(text) AS value, count(*) AS n FROM k GROUP BY k),"
-    " w AS (SELECT *, row_number() OVER (ORDER BY n DESC, k) AS rank FROM g)"
+    "WITH g AS (SELECT text AS value, count(*) AS n FROM documents GROUP BY text),"
+    " w AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank FROM g)"
     f" SELECT 'text' AS column_name, CAST(rank AS INTEGER) AS rank, value, n AS count,"
     f" {pct('n', '(SELECT count(*) FROM documents)')} AS percentage FROM w WHERE rank <= 10",
 )
 def top_categories_text(spark, sf_dir):
-    """Long texts: ties go to the smaller digest, and the winners are shown in full."""
+    """Long texts: ties go to the smaller text."""
     return cardinality.top_categories(DOCUMENTS.frame(spark, sf_dir).select("text"))
 
 
+_BIG = "o_orderkey + 1152921504606846976"
+
+
+@query(
+    "distinct_profile_large",
+    f"SELECT 'big' AS column_name, count(DISTINCT {_BIG}) AS unique_count, {r('count(DISTINCT o_orderkey) / CAST(count(*) AS DOUBLE)')}"
+    " AS unique_ratio, count(DISTINCT o_orderkey) = count(*) AS is_unique FROM orders",
+)
+def distinct_profile_large(spark, sf_dir):
+    """Keys of 19 digits, read from text."""
+    from plumbline.sources.readers import infer_types
+
+    return cardinality.distinct_profile(infer_types(Source("orders", f"CAST({_BIG} AS STRING) AS big").frame(spark, sf_dir)))
+
+
 @query("frequency_tables")
 def frequency_tables(spark, sf_dir):
     return cardinality.frequency_tables(ORDERS.frame(spark, sf_dir))
@@ -202,6 +213,16 @@ def pareto_status(spark, sf_dir):
     return cardinality.pareto(ORDERS.frame(spark, sf_dir), "o_orderpriority")
 
 
+@query(
+    "pareto_text",
+    "WITH g AS (SELECT text AS value, count(*) AS count FROM documents GROUP BY text) SELECT 'text' AS column_name, value, count,"
+    f" {r('sum(count) OVER (ORDER BY count DESC, value ROWS UNBOUNDED PRECEDING) / CAST((SELECT sum(count) FROM g) AS DOUBLE) * 100.0')}"
+    " AS cumulative_percentage FROM g",
+)
+def pareto_text(spark, sf_dir):
+    return cardinality.pareto(DOCUMENTS.frame(spark, sf_dir), "text")
+
+
 def _classes(source: str, column: str) -> str:
     return (
         f"SELECT CAST({column} AS VARCHAR) AS class, count(*) AS count,"
@@ -292,6 +313,17 @@ def duplicate_indices(spark, sf_dir):
     return duplicates.duplicate_samples(REPEATED_BY_ID.frame(spark, sf_dir), "event_id", 50).select("event_id")
 
 
+_HOLED = (
+    "user_id % 40 AS visitor", "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN CAST('NaN' AS DOUBLE) ELSE event_id % 5 + 0.5 END AS v",
+)
+
+
+@query("dedupe_rows_gaps", f"SELECT DISTINCT visitor, CASE WHEN NOT isnan(v) THEN v END AS v FROM (SELECT {', '.join(_HOLED)} FROM events)")
+def dedupe_rows_gaps(spark, sf_dir):
+    kept = duplicates.dedupe_rows(Source("events", *_HOLED).frame(spark, sf_dir))
+    return kept.selectExpr("visitor", "CASE WHEN NOT isnan(v) THEN v END AS v")
+
+
 @query("dedupe_rows", "SELECT DISTINCT user_id, event_type FROM events")
 def dedupe_rows(spark, sf_dir):
     return duplicates.dedupe_rows(REPEATED.frame(spark, sf_dir))

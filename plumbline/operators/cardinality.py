@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import HIGH_CARDINALITY_RATIO, TOP_CATEGORIES
 from plumbline.functions.rounding import percent, ratio, rnd
-from plumbline.functions.types import DIGEST_OVER, STRING, grouping_key
+from plumbline.functions.types import DIGEST_OVER, STRING, ColumnInfo
 from plumbline.plans.running import running_total
 from plumbline.profile import Profile, as_profile
 
@@ -112,35 +112,35 @@ def category_counts(table: DataFrame | Profile) -> DataFrame:
 
 
 def top_categories(table: DataFrame | Profile, top: int = TOP_CATEGORIES) -> DataFrame:
-    """The most frequent values per string or boolean column, with their share of all rows.
+    """The most frequent values per string or boolean column, with their share of all rows; ties by value.
 
     The rank limit is applied within each input partition before the shuffle, so a column with a billion distinct
-    values sends only ``top`` rows per partition.
+    values sends only ``top`` rows per partition. Columns with long texts are counted by the texts themselves.
     """
     p = as_profile(table)
+    long = _long_texts(p)
     w = Window.partitionBy("ordinal").orderBy(F.desc("n"), "key")
-    ranked = category_counts(p).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return _with_texts(p, ranked).select(
+    counted = category_counts(p)
+    if long:
+        counted = counted.where(~F.col("ordinal").isin([c.ordinal for c in long]))
+    for c in long:
+        best = _value_counts(p, c).orderBy(F.desc("n"), "key").limit(top)
+        counted = counted.unionByName(best.select(F.lit(c.ordinal).alias("ordinal"), F.lit(c.name).alias("column_name"), "key", "n"))
+    ranked = counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return ranked.select(
         "column_name", "rank", F.col("key").alias("value"), F.col("n").alias("count"),
         percent("n", str(p.n_rows)).alias("percentage"),
     )
 
 
-def _with_texts(p: Profile, ranked: DataFrame) -> DataFrame:
-    """Replace the digests among a few ranked keys by the texts they stand for."""
-    long = [c for c in p.categorical if c.family == STRING and (p.count_rows[c.name]["max_len"] or 0) > DIGEST_OVER]
-    for c in long:
-        wanted = ranked.where((F.col("ordinal") == c.ordinal) & (F.length("key") == 64)).select("key")
-        texts = (
-            p.df.select(grouping_key(c).alias("key"), c.value().alias("text"))
-            .join(F.broadcast(wanted), "key", "left_semi")
-            .groupBy("key").agg(F.first("text").alias("text"))
-            .withColumn("ordinal", F.lit(c.ordinal))
-        )
-        ranked = ranked.join(F.broadcast(texts), ["ordinal", "key"], "left").withColumn(
-            "key", F.coalesce("text", "key")
-        ).drop("text")
-    return ranked
+def _long_texts(p: Profile) -> list[ColumnInfo]:
+    """The columns whose shared frequencies have digests for keys."""
+    return [c for c in p.categorical if c.family == STRING and (p.count_rows[c.name]["max_len"] or 0) > DIGEST_OVER]
+
+
+def _value_counts(p: Profile, c: ColumnInfo) -> DataFrame:
+    """``key`` (the value as text) and ``n`` of one column."""
+    return p.df.select(c.value().cast("string").alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequency_tables(table: DataFrame | Profile, top: int = TOP_CATEGORIES) -> DataFrame:
@@ -160,7 +160,7 @@ def frequency_tables(table: DataFrame | Profile, top: int = TOP_CATEGORIES) -> D
 def pareto(table: DataFrame | Profile, column: str) -> DataFrame:
     """All values of one column by falling count, with the running share of the column's values in percent."""
     p = as_profile(table)
-    counted = category_counts(p).where(F.col("column_name") == column).select("column_name", "key", "n")
+    counted = _value_counts(p, p.column(column)).select(F.lit(column).alias("column_name"), "key", "n")
     total = F.lit(p.count_rows[column]["non_null"]).cast("bigint")
     summed = running_total(counted, [F.desc("n"), F.asc("key")], "n", "running").withColumn("total", total)
     return summed.select(

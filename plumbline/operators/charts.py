@@ -14,11 +14,11 @@ from plumbline.operators.cardinality import top_categories
 from plumbline.operators.missing import complete_cases
 from plumbline.operators.numeric import adjusted_skewness
 from plumbline.operators.temporal import detect_datetime, records_per
+from plumbline.plans.blocks import aggregate_arrays
 from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile, as_profile
 
 MOST_BINS = 200
-SAMPLE_POINTS = 5_000
 
 
 def _bin_count(n: int, low: float, high: float, iqr: float) -> int:
@@ -33,20 +33,24 @@ def _bin_count(n: int, low: float, high: float, iqr: float) -> int:
 
 
 def _bins(p: Profile) -> DataFrame:
-    """``(column_name, bin, low, width, n)`` with empty bins, from one scan; infinite values are left out."""
+    """``(column_name, bin, low, width, n)`` with empty bins, from one scan; infinite values are in no bin."""
     if "bins" in p.__dict__:
         return p.__dict__["bins"]
     shape, cells = [], []
+    finite = _finite_facts(p)
     for c in p.numeric:
         facts = p.count_rows[c.name]
-        if not facts["non_null"] or facts["infinite"]:
+        n, low, high = finite.get(c.name, (facts["non_null"], facts["min_num"], facts["max_num"]))
+        if not n:
             continue
-        low, high, q = facts["min_num"], facts["max_num"], p.quartiles[c.name]
-        bins = _bin_count(facts["non_null"], low, high, q[2] - q[0])
+        q = p.quartiles[c.name]
+        iqr = q[2] - q[0]
+        bins = _bin_count(n, low, high, iqr if math.isfinite(iqr) else 0.0)
         width = (high - low) / bins if low < high else 1.0
-        at = F.least(F.floor((c.number() - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+        x = F.when(F.abs(c.number()) < float("inf"), c.number()) if c.name in finite else c.number()
+        at = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1)))
         cells += [F.lit(c.ordinal), at]
-        shape.append((c.ordinal, c.name, bins, low, width, facts["non_null"]))
+        shape.append((c.ordinal, c.name, bins, low, width, n))
     schema = "ordinal int, column_name string, bins int, low double, width double, non_null bigint"
     grid = local(p.spark, shape, schema).withColumn(
         "bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))
@@ -61,6 +65,18 @@ def _bins(p: Profile) -> DataFrame:
     return p.__dict__["bins"]
 
 
+def _finite_facts(p: Profile) -> dict[str, tuple[int, float, float]]:
+    """Number, minimum and maximum of the finite values, for the columns that also hold infinite ones."""
+    wanted = [c for c in p.numeric if p.count_rows[c.name]["infinite"]]
+    if not wanted:
+        return {}
+    groups = []
+    for c in wanted:
+        x = F.when(F.abs(c.number()) < float("inf"), c.number())
+        groups.append({c.name: F.array(F.count(x).cast("double"), F.min(x), F.max(x))})
+    return {k: (int(v[0]), v[1], v[2]) for k, v in aggregate_arrays(p.df, groups).items()}
+
+
 def histogram_bins(table: DataFrame | Profile) -> DataFrame:
     """Equal-width bins of each numeric column; the maximum belongs to the last bin."""
     p = as_profile(table)
@@ -148,16 +164,16 @@ def scatter_fit(table: DataFrame | Profile) -> DataFrame:
     )
 
 
-def _points(p: Profile, names: list[str], n: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of complete cases, picked by a hash of the row order."""
+def _points(p: Profile, names: list[str], n: int | None, seed: int = 42) -> DataFrame:
+    """All complete cases, or a repeatable sample of ``n`` picked by a hash of the row order."""
     kept = complete_cases(p, names)
     keys = [F.col(quoted(c)) for c in p.order_by]
-    picked = kept.orderBy(F.xxhash64(F.lit(seed), *keys), *p.order()).limit(n)
+    picked = kept if n is None else kept.orderBy(F.xxhash64(F.lit(seed), *keys), *p.order()).limit(n)
     return picked.select(*p.order(), *[p.column(c).number().alias(c) for c in names if c not in p.order_by])
 
 
-def scatter_sample(table: DataFrame | Profile, n: int = SAMPLE_POINTS) -> DataFrame:
-    """Sampled points of the strongest pair."""
+def scatter_sample(table: DataFrame | Profile, n: int | None = None) -> DataFrame:
+    """The points of the strongest pair: all of them, or ``n``."""
     p = as_profile(table)
     top = rank_pairs(p).where("strong_rank = 1").first()
     if top is None:
@@ -165,8 +181,8 @@ def scatter_sample(table: DataFrame | Profile, n: int = SAMPLE_POINTS) -> DataFr
     return _points(p, [top["column_a"], top["column_b"]], n)
 
 
-def scatter3d_sample(table: DataFrame | Profile, n: int = SAMPLE_POINTS) -> DataFrame:
-    """Sampled complete cases of the first three numeric columns."""
+def scatter3d_sample(table: DataFrame | Profile, n: int | None = None) -> DataFrame:
+    """Complete cases of the first three numeric columns: all of them, or ``n``."""
     p = as_profile(table)
     return _points(p, [c.name for c in p.numeric[:3]], n)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent
-from plumbline.functions.types import quoted
+from plumbline.functions.types import grouping_key, quoted
 from plumbline.plans.small import local
 from plumbline.profile import Profile, as_profile, row_keys
 
@@ -31,7 +31,7 @@ def duplicate_summary(table: DataFrame | Profile) -> DataFrame:
 
 
 def duplicate_rows(table: DataFrame | Profile, row_id: str) -> DataFrame:
-    """Second and later copies of equal rows, in the order of the unique column ``row_id`` (not compared itself).
+    """Second and later copies of equal rows by the unique column ``row_id`` (not compared itself), in no order.
 
     The first row of each group is found by a grouped minimum, and the rest is an anti-join on the unique row id.
     No group of copies is ever brought together, as a window over all columns would do.
@@ -48,5 +48,7 @@ def duplicate_samples(table: DataFrame | Profile, row_id: str, rows: int = 20) -
 
 
 def dedupe_rows(table: DataFrame | Profile) -> DataFrame:
-    """One of each row."""
-    return as_profile(table).df.dropDuplicates()
+    """One of each row, by the keys that the summary counts: NaN and null are one value, and maps can be compared."""
+    p = as_profile(table)
+    keys = {f"__k{c.ordinal}": grouping_key(c) for c in p.columns}
+    return p.df.withColumns(keys).dropDuplicates(list(keys)).drop(*keys) if keys else p.df

@@ -47,6 +47,8 @@ def impute_median(table: DataFrame | Profile, columns: list[str] | None = None)
 def impute_mode(table: DataFrame | Profile, columns: list[str] | None = None) -> DataFrame:
     """Missing categories replaced by the column's mode."""
     p = as_profile(table)
+    if not p.exact:  # sketches know no modes
+        p = Profile(p.df)
     modes = {r["column_name"]: r["mode_text"] for r in p.distinct.select("column_name", "mode_text").collect()}
     filled = {}
     for c in p.categorical:

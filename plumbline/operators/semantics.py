@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import BOOLEAN_TOKENS, ID_NAME, TARGET_KEYWORDS
@@ -41,18 +41,28 @@ def sequential_columns(table: DataFrame | Profile, bucket: int = SEQUENCE_BUCKET
         F.col("family").isin(INT, FLOAT)
         & (F.col("ndv") > 5)
         & (F.col("ndv") == F.col("non_null"))
-        & (F.col("max_num") - F.col("min_num") + 1 == F.col("ndv"))
+        & F.when(F.col("family") == INT, _whole("max_text") - _whole("min_text") + 1 == F.col("ndv")).otherwise(
+            F.col("max_num") - F.col("min_num") + 1 == F.col("ndv")
+        )
     )
     return [
         r["column_name"]
-        for r in facts.select("column_name", "min_num").collect()
-        if _rises_by_one(p, r["column_name"], r["min_num"], bucket)
+        for r in facts.select("column_name", "min_num", "min_text").collect()
+        if _rises_by_one(p, r["column_name"], r["min_num"], r["min_text"], bucket)
     ]
 
 
-def _rises_by_one(p: Profile, name: str, low: float, bucket: int) -> bool:
+def _whole(name: str) -> Column:
+    """An integer beyond what a double or a difference of 64-bit integers can hold."""
+    return F.col(name).try_cast("decimal(38,0)")
+
+
+def _rises_by_one(p: Profile, name: str, low: float, low_text: str, bucket: int) -> bool:
     info = p.column(name)
-    x = info.number() - F.lit(low)
+    if info.family == INT:
+        x = (F.col(quoted(name)).cast("decimal(38,0)") - F.lit(low_text).cast("decimal(38,0)")).cast("bigint")
+    else:
+        x = info.number() - F.lit(low)
     key = F.struct(*[F.col(quoted(c)) for c in p.order_by])
     rows = p.df.select(x.alias("x"), key.alias("k")).where("x IS NOT NULL")
     if info.family == FLOAT and not rows.where("x <> floor(x)").isEmpty():

@@ -28,30 +28,41 @@ _DATES = (
     (r"\d{8}", "yyyyMMdd"),
     (r"\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy"),
     (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+    (r"\d{1,2}-[A-Z][a-z]{2}-\d{4}", "d-MMM-yyyy"),
+    (rf"({'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}".replace("(", "(?:"), "MMMM d, yyyy"),
+    (rf"\d{{1,2}} ({'|'.join(MONTHS)}) \d{{4}}".replace("(", "(?:"), "d MMMM yyyy"),
+    (r"\d{4}-\d{2}", "yyyy-MM"),
 )
 _TIMES = (
     ("", ""),
     (r"( |T)\d{2}:\d{2}", "HH:mm"),
     (r"( |T)\d{2}:\d{2}:\d{2}", "HH:mm:ss"),
     (r"( |T)\d{2}:\d{2}:\d{2}\.\d{1,9}", "HH:mm:ss.SSSSSSSSS"),
+    (r"( |T)\d{1,2}:\d{2} [AP]M", "h:mm a"),
+    (r"( |T)\d{1,2}:\d{2}:\d{2} [AP]M", "h:mm:ss a"),
 )
+# What may follow a time of day.
+_ZONES = (("", ""), (r"(?:Z|[+-]\d{2}:\d{2})", "XXX"), (r"[+-]\d{4}", "xx"))
 
 
 def guess_pattern(value: str) -> str | None:
     """The datetime pattern a text follows, or None. Slashes and dashes put the month first unless it exceeds 12."""
     dates = list(_DATES)
-    ambiguous = re.match(r"(\d{1,2})([/-])\d{1,2}[/-]\d{4}", value)
+    ambiguous = re.match(r"(\d{1,2})([/-])\d{1,2}[/-](\d{4}|\d{2})(?!\d)", value)
     if ambiguous:
         sep = ambiguous.group(2)
         day_first = int(ambiguous.group(1)) > 12
-        pattern = sep.join(("d", "M", "yyyy") if day_first else ("M", "d", "yyyy"))
-        dates.append((rf"\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}", pattern))
+        year = "y" * len(ambiguous.group(3))
+        pattern = sep.join(("d", "M", year) if day_first else ("M", "d", year))
+        dates.append((rf"\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{{len(year)}}}", pattern))
     for date_shape, date_pattern in dates:
         for time_shape, time_pattern in _TIMES:
-            found = re.fullmatch(date_shape + time_shape, value)
-            if found:
-                joint = "" if not time_pattern else "'T'" if found.group(1) == "T" else " "
-                return date_pattern + joint + time_pattern
+            for zone_shape, zone_pattern in _ZONES if time_pattern else _ZONES[:1]:
+                found = re.fullmatch(date_shape + time_shape + zone_shape, value)
+                if found:
+                    joint = "" if not time_pattern else "'T'" if found.group(1) == "T" else " "
+                    return date_pattern + joint + time_pattern + zone_pattern
     return None
 
 

@@ -93,8 +93,10 @@ def _gram(p: Profile, pairs: list[Pair]) -> DataFrame:
             x = np.column_stack([col.to_numpy(zero_copy_only=False).astype(float) for col in batch.columns])
             known = ~np.isnan(x)
             m = known.astype(float)
-            d = np.where(known, x - centres, 0.0)
-            sums = [m.T @ m, d.T @ m, (d * d).T @ m, d.T @ d]
+            endless = np.isinf(x).astype(float)
+            d = np.where(np.isfinite(x), x - centres, 0.0)
+            # Infinite values are counted apart: in a product, one beside a missing value would spoil the pair's sum.
+            sums = [m.T @ m, d.T @ m, (d * d).T @ m, d.T @ d, endless.T @ m]
             ends = [
                 [fold(np.where(known[:, i] & known[:, j], x[:, k], empty)) for i, j, k in zip(left, right, side)]
                 for side in (left, right)
@@ -108,7 +110,8 @@ def _gram(p: Profile, pairs: list[Pair]) -> DataFrame:
                     totals[1][k] = fold(totals[1][k], ends[k])
         if totals is None:
             return
-        (mm, dm, qm, dd), ends = totals
+        (mm, dm, qm, dd, em), ends = totals
+        dd = np.where(em + em.T > 0, np.nan, dd)
         values = [mm[left, right], dm[left, right], dm[right, left], qm[left, right], qm[right, left], dd[left, right]]
         arrays = [pa.array(left, pa.int32()), pa.array(right, pa.int32())]
         arrays += [pa.array(v, pa.float64()) for v in (*values, *ends)]

@@ -97,7 +97,7 @@ class Profile:
             return self._distinct_by_sketch()
         found = distinct_by_column(self.df, self.columns)
         all_columns = self.counts.select("ordinal", "column_name", "family")
-        stamp = F.date_format(F.timestamp_micros("mode_l"), "yyyy-MM-dd HH:mm:ss")
+        stamp = F.timestamp_micros("mode_l").cast("string")  # with the part of a second, if there is one
         joined = (
             all_columns.join(found, "ordinal", "left")
             .withColumn("ndv", F.coalesce("ndv", F.lit(0)))

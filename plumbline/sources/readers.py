@@ -12,7 +12,7 @@ from plumbline.functions.fixed import MISSING_TOKENS
 from plumbline.functions.types import quoted
 
 CORRUPT = "_corrupt_record"
-_INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 _TRUTH = ("True", "False", "TRUE", "FALSE", "true", "false")
 
@@ -21,6 +21,10 @@ class EmptyTableError(ValueError):
     """The table has no rows or no columns."""
 
 
+class MalformedTableError(ValueError):
+    """The file has lines that do not fit the header, or bytes that are no text."""
+
+
 class UnsupportedFormatError(ValueError):
     """No reader for this file extension."""
 
@@ -41,17 +45,48 @@ def read_table(spark: SparkSession, path: str, format: str | None = None) -> Dat
     return READERS[name](spark, path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header: text with missing tokens as null, then typed by what each whole column holds."""
-    return infer_types(null_tokens(read_csv_text(spark, path).drop(CORRUPT)))
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, row_index: str | None = None) -> DataFrame:
+    """A CSV file with a header: text with missing tokens as null, then typed by what each whole column holds.
+
+    The file is parsed once to check it, once to find the types, and again by whatever reads the result. ``row_index`` names a
+    column to add with the row order.
+    """
+    text = read_csv_text(spark, path, multi_line)
+    assert_well_formed(text)
+    if row_index:
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        text = text.select("*", place.alias(row_index))
+    return infer_types(null_tokens(text.drop(CORRUPT)))
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text. A line with too many or too few cells is kept, and also shown in ``_corrupt_record``."""
+def assert_well_formed(text: DataFrame) -> None:
+    """An error with the number of bad lines if any has more cells than the header, or bytes that cannot be decoded.
+
+    Missing cells at the end of a line are missing values.
+    """
+    names = [f.name for f in text.schema if f.name != CORRUPT]
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+    parsed = F.from_csv(F.col(CORRUPT), cells.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"'})
+    extra = F.col(CORRUPT).isNotNull() & parsed[f"c{len(names)}"].isNotNull()
+    broken = F.lit(False)
+    for n in names:
+        broken = broken | F.coalesce(F.contains(F.col(quoted(n)), F.lit("\ufffd")), F.lit(False))
+    found = text.agg(F.count_if(extra).alias("extra"), F.count_if(broken).alias("broken")).first()
+    if found["extra"]:
+        raise MalformedTableError(f"{found['extra']} lines have more cells than the header")
+    if found["broken"]:
+        raise MalformedTableError(f"{found['broken']} lines hold bytes that are not UTF-8")
+
+
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All cells as text. A line with too many or too few cells is kept, and also shown in ``_corrupt_record``.
+
+    With ``multi_line`` quoted cells may hold line breaks, and one task reads each file; without it large files are split.
+    """
     header = spark.read.csv(path, header=True, inferSchema=False).schema
     schema = T.StructType([T.StructField(f.name, T.StringType()) for f in header] + [T.StructField(CORRUPT, T.StringType())])
     return spark.read.csv(
-        path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=False, escape='"'
+        path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line, escape='"'
     )
 
 
@@ -75,7 +110,8 @@ def null_tokens(df: DataFrame, tokens: tuple[str, ...] = MISSING_TOKENS) -> Data
 def _evidence(c: Column) -> dict[str, Column]:
     return {
         "n": F.count(c),
-        "integer": F.count_if(c.rlike(_INTEGER)),
+        "integer": F.count_if(c.rlike(_INTEGER) & F.trim(c).try_cast("bigint").isNotNull()),
+        "digits": F.count_if(c.rlike(_INTEGER)),
         "number": F.count_if(c.rlike(_NUMBER)),
         "truth": F.count_if(c.isin(*_TRUTH)),
     }
@@ -84,7 +120,7 @@ def _evidence(c: Column) -> dict[str, Column]:
 def type_evidence(df: DataFrame) -> DataFrame:
     """Per string column: how many values read as integer, number and truth value, and the type that fits all.
 
-    A column without values becomes double. One scan decides from every row, not from a sample.
+    A column without values becomes double; whole numbers beyond 64 bits stay text. One scan decides from every row, not from a sample.
     """
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     aggs, rows = [], []
@@ -95,11 +131,12 @@ def type_evidence(df: DataFrame) -> DataFrame:
     fits = (
         F.when(F.col("n") == 0, "double")
         .when(F.col("integer") == F.col("n"), "bigint")
+        .when(F.col("digits") == F.col("n"), "string")
         .when(F.col("number") == F.col("n"), "double")
         .when(F.col("truth") == F.col("n"), "boolean")
         .otherwise("string")
     )
-    return df.agg(*aggs).select(F.inline(F.array(*rows))).withColumn("inferred_type", fits)
+    return df.agg(*aggs).select(F.inline(F.array(*rows))).withColumn("inferred_type", fits).drop("digits")
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -127,7 +164,9 @@ def assert_nonempty(df: DataFrame) -> DataFrame:
 
 
 def with_row_index(spark: SparkSession, path: str, name: str = "row_idx") -> DataFrame:
-    """A Parquet table with its row order: the file, and the row's place in it. Costs no shuffle."""
+    """A Parquet or CSV table with its row order: the file, and the row's place in it. Costs no shuffle."""
+    if format_of(path) == "csv":
+        return read_csv(spark, path, row_index=name)
     df = spark.read.parquet(path)
     return df.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(name))
 

@@ -19,7 +19,8 @@ SAMPLE = [
     "histogram_bins", "most_frequent_text", "top_categories_text", "pareto", "duplicate_rows", "duplicate_assessment", "top_words",
     "id_sequential", "pearson_matrix_gaps", "cramers_v_gaps", "correlation_ratio_gaps", "feature_relationships",
     "datetime_summary_text", "seasonality", "target_encode_folds", "frequency_encode_hot", "pair_ratio", "recommendations",
-    "prep_plan",
+    "prep_plan", "pareto_text", "dedupe_rows_gaps", "distinct_profile_large", "id_sequential", "id_sequential_large",
+    "scatter3d_sample", "frequency_encode", "distinct_profile", "row_diff", "detect_string_datetime",
 ]
 
 
