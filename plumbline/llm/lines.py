@@ -288,13 +288,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     more = _residual(buckets, parts, texts)
     if more is not None:
         parts = components(parts.where("node <> component").toDF("u", "v").unionByName(more))
-    parts = stored(parts.withColumnRenamed("node", "id"))
-    placed = occurrences.select("id", "_id", "_hash", "line").join(parts, "id", "left").select(
-        F.coalesce("component", "id").alias("part"), "_id", "_hash", "line"
+    # Only lines that come twice or have links can go.
+    twice = occurrences.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    open_ = stored(
+        twice.join(parts.withColumnRenamed("node", "id"), "id", "full").select("id", F.coalesce("component", "id").alias("part"))
     )
+    placed = stored(occurrences.select("id", "_id", "_hash", "line").join(open_, "id").select("part", "_id", "_hash", "line"))
     place = F.struct(F.col("_id").isNull().alias("no_key"), "_id", "_hash", "line")
-    often = placed.groupBy("part").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    first = stored(often.select("part", "first"))
+    first = stored(placed.groupBy("part").agg(F.min(place).alias("first")))
     gone = placed.join(first, "part").where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("_id", "_hash").agg(F.collect_set("line").alias("gone"))
 
