@@ -262,8 +262,11 @@ def _residual(buckets: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFra
         "key", "id", F.coalesce("component", "id").alias("part")
     )
     named = stored(named)
-    open_ = named.groupBy("key").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    open_ = stored(open_.where("size > 2 AND lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    facts = [F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("all")]
+    open_ = named.groupBy("key").agg(*facts, F.min("id").alias("least")).where("size > 2 AND lo <> hi")
+    # Bands often hold the same lines together; such a bucket is searched once.
+    open_ = open_.groupBy("size", "all", "least").agg(F.min("key").alias("key"))
+    open_ = stored(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     if open_.isEmpty():
         return None
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
