@@ -103,7 +103,7 @@ def test_planted_passages_are_found(spark, passages, monkeypatch, sent):
             if any(tokens[a : a + k] == items[i] for a in range(len(tokens) - k + 1)):
                 want.add((n, i))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
-    assert got == {(n, i) for n, i in want if n != 2 or True} - {(n, i) for n, i in want if n is not None and n % 4 == 2 and i not in (5, 6)}
+    assert got == {(n, i) for n, i in want if n is None or n % 4 != 2 or i in (5, 6)}
     kept = {r["doc_id"] for r in decontaminate.keep_clean(df, bench).collect()}
     assert kept == {n for n, _ in docs} - {n for n, _ in got}
     assert decontaminate.leaks(empty(df), bench).count() == 0 and decontaminate.leaks(df, empty(bench)).count() == 0
