@@ -94,6 +94,30 @@ def test_novel_strings_are_reported_and_words_are_not():
     assert secrets.novel_spans(repeated, [], novelty) == []
 
 
+def test_secrets_of_very_long_texts():
+    """Many cues, strings and base spans in one text take time in proportion, and give what each piece gives alone."""
+    novelty = secrets.Novelty(secrets.IDENTIFIER_DICTIONARY + secrets.CODE_DICTIONARY)
+    piece = "token=abcdefgh1 then the bearer header Zx81kQpL0vTt93WmNb2 or no secret here. " + "and other plain words " * 20
+    alone = secrets.novel_spans(piece, secrets.base_spans(piece), novelty)
+    text = piece * 2_000
+    got = secrets.novel_spans(text, secrets.base_spans(text), novelty)
+    assert [piece[s:e] for _, s, e in alone] == ["Zx81kQpL0vTt93WmNb2"]
+    assert got == [("novel", s + i * len(piece), e + i * len(piece)) for i in range(2_000) for _, s, e in alone]
+    for hard in ("secret " * 200_000, "token" * 200_000, "api_key: short " * 50_000):
+        secrets.novel_spans(hard, secrets.base_spans(hard), novelty)
+
+
+def test_spans_of_awkward_rows(spark, awkward):
+    """One row of spans for each row, base spans as the patterns give them, and none for null, empty or blank texts."""
+    rows = sorted(((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in awkward.select("doc_id", "text").collect()), key=str)
+    for find, base, kinds in ((secrets.find_secrets, secret_base, secrets.KINDS), (pii.find_pii, pii_base, pii.KINDS)):
+        found = find(awkward).collect()
+        assert len(found) == len(rows) and find(awkward.where("false")).count() == 0
+        want = sorted((str(i), spans_of(kinds, base(t))) for _, i, t in rows)
+        got = [(str(r["doc_id"]), ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["base"])) for r in found]
+        assert sorted(got) == want
+
+
 def test_anchors_find_logins_and_accounts():
     anchors = pii.automaton()
     found = pii.anchored_spans("see ftp://bob:pw@files.example.org and IBAN: DE89 3704 0044 0532 0130 00, account no 12345678", anchors)
