@@ -116,14 +116,22 @@ def decontaminated(text):
 
 
 def test_masks_hit_replaced_words():
-    """Of the ways to replace three words of fifteen, how many leave no seed whole."""
+    """However a fifth of a stretch's words are replaced, a seed stays whole."""
     from itertools import combinations
 
-    seeds = [frozenset(a + k for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for a in range(15 - len(m) + 1)]
-    ways = list(combinations(range(15), 3))
-    missed = sum(all(s & set(w) for s in seeds) for w in ways)
-    assert missed / len(ways) < 0.02
-    assert all(any(not s & set(w) for s in seeds) for w in combinations(range(15), 2))
+    for length in range(max(map(len, decontaminate.MASKS)), decontaminate.OVERLAP + 1):
+        masks = [*decontaminate.MASKS, *[decontaminate.MASK_FOR_TEN] * (length == 10)]
+        seeds = [frozenset(a + k for k, bit in enumerate(m) if bit == "1") for m in masks for a in range(length - len(m) + 1)]
+        for gone in combinations(range(length), length // 5):
+            assert any(not s & set(gone) for s in seeds), (length, gone)
+
+
+def test_passages_of_ten_words(spark):
+    words = [f"w{i}" for i in range(10)]
+    docs = [(i, " ".join("x" if k in gone else w for k, w in enumerate(words))) for i, gone in enumerate([(1, 6), (4, 5), (4, 8), (0, 4, 8)])]
+    bench = spark.createDataFrame([(None, " ".join(words))], "item_id bigint, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert {(r["doc_id"], r["n_equal"]) for r in got} == {(0, 8), (1, 8), (2, 8)}
 
 
 @needs_tables
