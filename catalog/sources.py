@@ -112,7 +112,7 @@ def preview_tail(spark, sf_dir):
     return preview.preview_tail(ORDERS.profile(spark, sf_dir))
 
 
-@query("preview_sample")
+@query("preview_sample", "SELECT * FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 5")
 def preview_sample(spark, sf_dir):
     return preview.preview_sample(ORDERS.profile(spark, sf_dir))
 

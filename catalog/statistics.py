@@ -230,7 +230,7 @@ def scatter_fit(spark, sf_dir):
     return charts.scatter_fit(PRICES.profile(spark, sf_dir))
 
 
-@query("scatter_sample")
+@query("scatter_sample", f"SELECT o, n, l_extendedprice, net, owed FROM {PRICES.sql}")
 def scatter_sample(spark, sf_dir):
     return charts.scatter_sample(PRICES.profile(spark, sf_dir))
 

@@ -13,6 +13,7 @@ from plumbline.operators.association import rank_pairs
 from plumbline.operators.cardinality import top_categories
 from plumbline.operators.missing import complete_cases
 from plumbline.operators.numeric import adjusted_skewness
+from plumbline.operators.preview import sampling_order
 from plumbline.operators.temporal import detect_datetime, records_per
 from plumbline.plans.blocks import aggregate_arrays
 from plumbline.plans.small import local, pinned
@@ -167,8 +168,7 @@ def scatter_fit(table: DataFrame | Profile) -> DataFrame:
 def _points(p: Profile, names: list[str], n: int | None, seed: int = 42) -> DataFrame:
     """All complete cases, or a repeatable sample of ``n`` picked by a hash of the row order."""
     kept = complete_cases(p, names)
-    keys = [F.col(quoted(c)) for c in p.order_by]
-    picked = kept if n is None else kept.orderBy(F.xxhash64(F.lit(seed), *keys), *p.order()).limit(n)
+    picked = kept if n is None else kept.orderBy(*sampling_order(p, seed)).limit(n)
     return picked.select(*p.order(), *[p.column(c).number().alias(c) for c in names if c not in p.order_by])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import percent, rnd
@@ -65,8 +65,13 @@ def preview_tail(table: DataFrame | Profile, n: int = 5) -> DataFrame:
     return _clean(last.orderBy(*p.order()))
 
 
+def sampling_order(p: Profile, seed: int) -> list[Column]:
+    """An order that mixes the rows: by the MD5 of seed and row order, written as text with colons between them."""
+    keys = [F.col(quoted(c)).cast("string") for c in p.order_by]
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), *keys)), *p.order()]
+
+
 def preview_sample(table: DataFrame | Profile, n: int = 5, seed: int = 42) -> DataFrame:
     """``n`` rows picked by a hash of the row order: the same rows however the table is partitioned."""
     p = as_profile(table)
-    keys = [F.col(quoted(c)) for c in p.order_by]
-    return _clean(p.df.orderBy(F.xxhash64(F.lit(seed), *keys), *p.order()).limit(n))
+    return _clean(p.df.orderBy(*sampling_order(p, seed)).limit(n))

@@ -4,8 +4,8 @@ Each wanted order statistic is found by selection. A pass over the data sketches
 interval that is all but sure to hold the wanted rank. The next pass counts exactly how many rows lie below, on and
 between the interval's ends. Every round shrinks the interval by the sketch's error, or, on heavily repeated values,
 at least drops both ends; a miss only widens it again. So the answer is exact whatever the sketch returned. Once at
-most ``GATHER_ROWS`` values remain inside, they are collected and sorted. Each pass is a global aggregate: it
-shuffles sketches and counts, never rows. Two sketching rounds and a last look do for 10^12 rows; a table of up to
+most ``GATHER_ROWS`` values remain inside, they are gathered and sorted within the aggregate, which hands on the wanted
+ones alone: the driver gets a few numbers per column. Each pass is a global aggregate: it shuffles sketches and counts. Two sketching rounds and a last look do for 10^12 rows; a table of up to
 ``GATHER_ROWS`` rows takes one pass.
 """
 
@@ -119,14 +119,20 @@ def _narrow(df: DataFrame, pending: list[_Search], gather_rows: int, sketch_k: i
         wanted = probes.setdefault(s.interval, [])
         wanted += [p for p in ends_of(s) if p not in wanted]
 
-    entries = [(s.column.name, ("all", s.interval), f"sort_array(collect_list({s.within()}))") for s in small]
+    places: dict[tuple, list[int]] = {}
+    for s in small:
+        places.setdefault(s.interval, []).append(s.rank - s.below)
+    entries = []
+    for s in small:
+        wanted = ", ".join(f"element_at(sort_array(collect_list({s.within()})), {at + 1})" for at in places[s.interval])
+        entries.append((s.column.name, ("at", s.interval), f"array({wanted})"))
     for s in large:
         ranks = ", ".join(map(_literal, probes[s.interval]))
         ends = f"kll_sketch_get_quantile_double(kll_sketch_agg_double({s.within()}, {sketch_k}), array({ranks}))"
         entries.append((s.column.name, ("ends", s.interval), ends))
     found = aggregate_arrays(df, _per_column(entries))
     for s in small:
-        s.value = found[("all", s.interval)][s.rank - s.below]
+        s.value = found[("at", s.interval)][places[s.interval].index(s.rank - s.below)]
 
     entries, brackets = [], []
     for s in large:

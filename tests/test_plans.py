@@ -11,7 +11,8 @@ from plumbline import Profile
 from plumbline.functions.rounding import rnd
 from plumbline.functions.types import columns_of
 from plumbline.operators import cardinality, duplicates, numeric, outliers, semantics
-from plumbline.plans import pairs
+from plumbline.plans import pairs, quantiles
+from plumbline.plans.blocks import aggregate_arrays
 from plumbline.plans.frequencies import distinct_stats, frequencies
 from plumbline.plans.lookup import lookup
 from plumbline.plans.pairs import WIDE, pearson
@@ -70,6 +71,37 @@ def test_quantiles_by_selection(spark, gather):
             assert q == pytest.approx(want, rel=1e-12), (c, p)
 
 
+def test_quantiles_of_wide_tables_send_few_numbers(spark, monkeypatch):
+    """Of 300 columns the driver gets the wanted values, not the columns."""
+    rows = 400
+    df = spark.range(rows).select(*[((F.col("id") * (2 * j + 1)) % (rows + j)).cast("double").alias(f"x{j}") for j in range(300)])
+    sent = []
+
+    def counted(*args):
+        found = aggregate_arrays(*args)
+        sent.append(sum(len(v) for v in found.values()))
+        return found
+
+    monkeypatch.setattr(quantiles, "aggregate_arrays", counted)
+    got = exact_quantiles(df, columns_of(df), counts={f"x{j}": rows for j in range(300)})
+    assert sum(sent) <= 6 * 300
+    for j in range(0, 300, 37):
+        want = np.quantile([(i * (2 * j + 1)) % (rows + j) for i in range(rows)], quantiles.QUARTILES)
+        assert got[f"x{j}"] == pytest.approx(list(want))
+
+
+def test_sketches_stay_within_their_error(spark):
+    n = 50_000
+    df = spark.range(n).selectExpr("double((id * 7919) % 50000) AS x", "id % 20011 AS few")
+    p = Profile(df, exact=False)
+    found = by_column(numeric.numeric_quantiles(p))["x"]
+    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert abs(found[name] / n - share) <= 2e-4  # a rank within 1/10,000, and the place between two values
+    distinct = by_column(cardinality.distinct_profile(p))
+    assert distinct["x"]["unique_count"] == pytest.approx(n, rel=0.15)  # three times the standard error of 5 %
+    assert distinct["few"]["unique_count"] == pytest.approx(20_011, rel=0.15)
+
+
 def test_distinct_stats_mode_ties(spark):
     df = spark.createDataFrame([(9, "b"), (10, "a"), (9, "a"), (10, "b"), (3, None)], "n int, s string")
     found = {r["ordinal"]: r for r in distinct_stats(frequencies(df)).collect()}
