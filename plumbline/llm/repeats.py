@@ -198,9 +198,10 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     )
     met = stored(leaves.join(status, "h"))
     several = met.where("NOT alike")
-    counts = several.groupBy("h", "d").agg(F.count("*").alias("n"))
-    counts = stored(counts.withColumn("g", F.count("*").over(Window.partitionBy("h"))))
-    told = stored(several.join(counts, ["h", "d"]))
+    counts = stored(several.groupBy("h", "d").agg(F.count("*").alias("n")))
+    # A prefix may have very many leaves, so their number is summed map-side and joined, not counted over a window.
+    leaves_of = stored(counts.groupBy("h").agg(F.count("*").alias("g")))
+    told = stored(several.join(counts, ["h", "d"]).join(leaves_of, "h"))
     all_bits = F.expr(f"shiftleft(2L, CAST(place & {(1 << PLACE) - 1} AS INT)) - 1L")
     whole = met.where("alike").select("_id", "_hash", "place").unionByName(told.where("n > 1").select("_id", "_hash", "place"))
     whole = whole.withColumn("mask", all_bits)
