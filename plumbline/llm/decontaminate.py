@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import unused
 
 #: Tokens that count are marked 1. Together they hit every stretch of 15 tokens with up to 3 replaced ones, and every shorter
-#: passage with up to a fifth of its tokens replaced, but for a few of 10 tokens: where there are any, one mask more finds those.
+#: passage of 9 tokens or more with up to a fifth of them replaced, but for a few of 10: where there are any, one mask more finds those.
 MASKS = ["11111", "1101101", "110010011", "10101011"]
 MASK_FOR_TEN = "1100111"
 OVERLAP, SHARE = 15, 0.8
