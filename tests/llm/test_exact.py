@@ -280,6 +280,15 @@ def test_similar_lines(spark, texts):
     assert got == want
 
 
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"line number {i} of these {i * i}" for i in range(1, 60_001))
+    df = spark.createDataFrame([(1, "a line of its own\n"), (2, long + "\n\n" + long + "\n")], "doc_id bigint, text string")
+    numbers = F.transform(F.sequence(F.lit(60_001), F.lit(120_000)), lambda i: i.cast("int"))
+    marked = df.withColumn("gone", F.when(F.col("doc_id") == 2, numbers))
+    got = {r["doc_id"]: r["kept"] for r in marked.select("doc_id", lines._left("text", "gone").alias("kept")).collect()}
+    assert got == {1: "a line of its own\n", 2: long + "\n\n"}
+
+
 def test_lines_are_compared_across_components(spark, monkeypatch):
     # c is near b only, b is near a only through c: the first line of the bucket alone would miss the link.
     import random
