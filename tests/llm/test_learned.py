@@ -62,6 +62,8 @@ def test_toxicity_of_awkward_rows(spark, clashing):
     kept = toxicity.keep_clean(clashing, model)
     assert kept.columns == clashing.columns and kept.count() == 7
     assert toxicity.fit(empty(clashing), labels).score("x")[0] == 0.0
+    often = toxicity.examples(clashing.union(clashing), labels, "doc_id", "text", "toxic").collect()
+    assert sorted((r["_key"], r["_label"]) for r in often) == [(4, 1), (5, 0)]
 
 
 @pytest.fixture(scope="module")
