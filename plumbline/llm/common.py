@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows that a task turns into Python objects at a time.
-AT_ONCE = 500
+#: Rows, and about how many bytes of them, that a task turns into Python objects at a time.
+AT_ONCE, BYTES_AT_ONCE = 500, 32 << 20
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
@@ -26,7 +26,7 @@ def schema_of(spec: str | StructType) -> StructType:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], out: str) -> DataFrame:
-    """Run ``make()`` once per task and its result on the rows, ``AT_ONCE`` at a time.
+    """Run ``make()`` once per task and its result on the rows, ``AT_ONCE`` at a time, fewer where they are long.
 
     The function gets the rows' columns as lists by name and returns lists by the names of ``out``.
     """
@@ -35,8 +35,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
+            rows = max(1, min(AT_ONCE, BYTES_AT_ONCE * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 got = step({n: part.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
