@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import map_rows, stored, unused
 from plumbline.llm.components import components
 
-#: Characters of a shingle, least similarity, and a banding that finds 99.7 % of pairs at that similarity.
-SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 8, 3
+#: Characters of a shingle, least similarity, and a banding that finds 99.9 % of pairs at that similarity. One replaced
+#: character touches up to 8 shingles, so that a line needs 79 characters to stay at 0.8 wherever it is.
+SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 10, 3
 #: Characters whose signatures are made at a time; lines of a block in a large
 #: bucket; bits that stand for a line's shingles; lines whose bits are made at a time.
 CHARS, BLOCK, BITMAP, AT_ONCE = 1 << 20, 400, 2_048, 1_024
