@@ -56,10 +56,12 @@ def laid(hits: DataFrame) -> DataFrame:
     skip = F.greatest(-begin, F.lit(0))
     common = F.least(F.size("_passage"), F.size("_words") - begin) - skip
     parts = hits.select(
-        "_id", "_hash", "_item", begin.alias("_begin"), F.least(F.lit(OVERLAP), F.size("_passage")).alias("_width"),
+        "_id", "_hash", "_item", "_number", begin.alias("_begin"), F.least(F.lit(OVERLAP), F.size("_passage")).alias("_width"),
         F.slice("_words", begin + skip + 1, common).alias("_part"), F.slice("_passage", skip + 1, common).alias("_own"),
     )
-    return parts.groupBy("_id", "_hash", "_item", "_begin", "_width").agg(F.first("_part").alias("_part"), F.first("_own").alias("_own"))
+    # An item, and a null one, may have several passages: each is laid on its own.
+    same = parts.groupBy("_id", "_hash", "_item", "_number", "_begin", "_width")
+    return same.agg(F.first("_part").alias("_part"), F.first("_own").alias("_own"))
 
 
 def verified(hits: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str,
     found = met.join(passages, "_number").alias("m")
     texts = rows.dropDuplicates(["_id", "_hash"]).alias("t")
     on = F.col("m._id").eqNullSafe(F.col("t._id")) & (F.col("m._hash") == F.col("t._hash"))
-    found = found.join(texts, on).select("m._id", "m._hash", "_item", "_passage", "_words", F.col("_shift").alias("_at"), F.lit(0).alias("_item_at"))
+    found = found.join(texts, on).select("m._id", "m._hash", "_item", "_number", "_passage", "_words", F.col("_shift").alias("_at"), F.lit(0).alias("_item_at"))
     return verified(found).select("_id", "_hash", "_item", "_equal", "_compared", "_begin")
 
 

@@ -136,6 +136,18 @@ def test_passages_of_ten_words(spark):
     assert {(r["doc_id"], r["n_equal"]) for r in got} == {(0, 8), (1, 8), (2, 8)}
 
 
+@pytest.mark.parametrize("sent", [decontaminate.SENT, 0])
+def test_passages_of_one_item_that_begin_alike(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "SENT", sent)
+    ways = [[*"abcdefg", *[f"w{n}x{k}" for k in range(20)]] for n in range(6)]
+    items = [1, 1, 1, None, None, None]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in zip(items, ways, strict=True)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(n, "before " + " ".join(w) + " after") for n, w in enumerate(ways)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_equal"], r["n_compared"], r["start"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(n, i, 27, 27, 1) for n, i in enumerate(items)}
+    assert decontaminate.keep_clean(docs, bench).count() == 0
+
+
 @needs_tables
 def test_languages_of_held_out_texts(spark):
     docs = table(spark, SF_DIR, "documents")
