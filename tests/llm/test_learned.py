@@ -66,6 +66,16 @@ def test_toxicity_of_awkward_rows(spark, clashing):
     assert sorted((r["_key"], r["_label"]) for r in often) == [(4, 1), (5, 0)]
 
 
+def test_few_examples_have_neighbours(spark):
+    """Among fewer than 40 examples no chi-square reaches 40; the scores still tell the classes apart."""
+    rows = [(n, f"{'vile scum' if n % 3 == 0 else 'kind words'} w{'abcdefghij'[n % 10]}") for n in range(30)]
+    docs = spark.createDataFrame([*rows, (90, "such vile scum"), (91, "such kind words"), (92, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(n, int(n % 3 == 0)) for n, _ in rows], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert got[90]["score"] >= queries.REJECT > 0.3 > got[91]["score"]
+    assert [e["toxic"] for i in (90, 91) for e in got[i]["evidence"]] == [1, 1, 1, 0, 0, 0] and not got[92]["evidence"]
+
+
 @pytest.fixture(scope="module")
 def passages(spark):
     rng = random.Random(7)
