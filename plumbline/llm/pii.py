@@ -1,8 +1,10 @@
 """Personal data in texts by anchors: an Aho-Corasick automaton finds them, local parsers grow and validate each span.
 
 Anchors are at-signs, schemes (``://``, ``mailto:``, ``tel:``) and words that announce an identifier. From an at-sign the
-parser reads the name to the left and the domain to the right; from ``://`` the scheme and a ``user:password@host``; from an
-announcing word the account number, where an IBAN must have the right check digits. Numbers that need no announcement (IPv4
+parser reads the name to the left and the domain to the right; from ``://`` the scheme and a ``user:password@host`` of any
+length; from ``mailto:`` the addresses up to ``?`` or white space, also with ``%40`` or letters that the base pattern has not; from
+``tel:`` a number of 6 to 15 digits, also without ``+``; from an announcing word the account number, where an IBAN must have the right
+check digits. Numbers that need no announcement (IPv4
 addresses, payment cards, telephone numbers) are found by their fixed patterns.
 
 Null and empty texts have no spans; texts are searched whole and in time proportional to their length; repeated rows give
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from plumbline.llm.common import SPANS, map_rows
 
 KINDS = ["email", "ip", "card", "phone"]
-ORDER = {k: i for i, k in enumerate([*KINDS, "login", "account"])}
+ORDER = {k: i for i, k in enumerate([*KINDS, "login", "account", "mailto", "tel"])}
 
 NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -27,7 +29,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME = re.compile(r"[A-Za-z0-9+.-]")
-LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]{1,128}(?::[^\s/@:]{0,128})?@[A-Za-z0-9.-]+")
+# Walks end at a character that every anchor of their kind holds, so that no two share their characters.
+LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++(?::[^\s/@:]*+)?@[A-Za-z0-9.-]+")
+MAILTO = re.compile(r"[^\s?:<>\"]++")
+ADDRESS = re.compile(r"[^,@%]+(?:%(?!40)[^,@%]*)*(?:@|%40)[^,@%]+\.[^,@%.]+")
+TEL = re.compile(r"(?://)?\x20{0,3}(\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){5,14})(?![0-9])")
 ACCOUNT = re.compile(r"(?:\s{0,3}(?:no|nr|number|num|id)\b)?[\s.:#=]{0,4}([A-Za-z]{0,4}[0-9](?:[\x20-]?[A-Za-z0-9]){4,33})")
 #: Words that announce an account, in lower case.
 CUES = ["iban", "account", "acct", "passport", "ssn", "social security", "customer", "konto", "compte", "cuenta"]
@@ -70,7 +76,7 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, words in (("at", ["@"]), ("scheme", ["://"]), ("cue", CUES)):
+    for kind, words in (("at", ["@"]), ("scheme", ["://"]), ("mailto", ["mailto:"]), ("tel", ["tel:"]), ("cue", CUES)):
         for w in words:
             found.add_word(w, (kind, w))
     found.make_automaton()
@@ -82,7 +88,7 @@ def anchored_spans(text: str, anchors) -> list[tuple[str, int, int]]:
     low = text.lower()
     if len(low) != len(text):  # a letter whose small form is longer: change the ASCII letters only
         low = text.translate(NOT_ASCII_LOWER)
-    spans, ends = [], {"email": 0, "login": 0, "account": 0}
+    spans, ends = [], dict.fromkeys(ORDER, 0)
 
     def add(kind: str, start: int, end: int) -> None:
         spans.append((kind, start, end))
@@ -104,6 +110,17 @@ def anchored_spans(text: str, anchors) -> list[tuple[str, int, int]]:
                 start -= 1
             if login and start < at and start >= ends["login"]:
                 add("login", start, login.end())
+        elif kind in ("mailto", "tel") and at and text[at - 1].isalnum():
+            continue  # the end of a longer word
+        elif kind == "mailto":
+            walk = MAILTO.match(text, after)
+            for piece in re.finditer("[^,]+", walk[0]) if walk else ():
+                if ADDRESS.fullmatch(piece[0]):
+                    add("mailto", after + piece.start(), after + piece.end())
+        elif kind == "tel":
+            number = TEL.match(text, after)
+            if number:
+                add("tel", *number.span(1))
         elif at >= ends["account"] and not (at and text[at - 1].isalnum()):
             number = ACCOUNT.match(text, after)
             if number and (iban(number[1]) if word == "iban" else sum(c.isdigit() for c in number[1]) >= 6):

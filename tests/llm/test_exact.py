@@ -125,6 +125,25 @@ def test_anchors_find_logins_and_accounts():
     assert not [s for s in pii.anchored_spans("iban DE00 3704 0044 0532 0130 00 accounting 12", anchors)]
 
 
+def test_schemes_announce_numbers_addresses_and_long_logins():
+    anchors = pii.automaton()
+
+    def found(text, *kinds):
+        return [text[s:e] for k, s, e in pii.anchored_spans(text, anchors) if k in kinds]
+
+    assert found("TEL:0301234567 tel:+49-30-1234567, tel://(030)1234567 Tel: 030 1234567.", "tel") == [
+        "0301234567", "+49-30-1234567", "(030)1234567", "030 1234567",
+    ]
+    assert not found("hotel:0301234567 tel:12345 tel:1234567890123456 tel:", "tel")
+    assert found('<a href="mailto:jane%40example.org,o\'neill@example.org?subject=a@b.cd">', "mailto") == ["jane%40example.org", "o'neill@example.org"]
+    assert not found("mailto: a@b.cd mailto:nobody mailto:%40.x xmailto:a@b.cd", "mailto")
+    token = "eyJhbGciOi" * 100
+    for login in (f"https://{token}@host.example.org", f"https://user:{token}@host.example.org"):
+        assert found(f"see {login}/path", "login") == [login]
+    for hard in ("mailto:" * 200_000, "tel:" * 200_000, "a://" * 200_000, "https://" + "a" * 1_000_000, "mailto:" + "%," * 500_000, "mailto:" + "%4" * 500_000):
+        assert not found(hard, "mailto", "tel", "login")
+
+
 def encoding():
     import tiktoken
 
