@@ -107,6 +107,19 @@ def test_secrets_of_very_long_texts():
         secrets.novel_spans(hard, secrets.base_spans(hard), novelty)
 
 
+def test_secrets_behind_the_first_characters():
+    """A secret after more than 256 known characters is found, and strings without one stay unreported."""
+    import random
+
+    novelty = secrets.Novelty(secrets.IDENTIFIER_DICTIONARY + secrets.CODE_DICTIONARY)
+    key = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=200))
+    for known in ("x" * 300, "=" * 600, "/public/static" * 40):
+        assert secrets.novel_spans(f"bearer {known}{key} now", [], novelty) == [("novel", 7, 7 + len(known) + len(key))]
+        assert secrets.novel_spans(f"bearer {known * 3} now", [], novelty) == []
+    # Many cues in one string: its pieces are judged once.
+    assert secrets.novel_spans("token" * 100_000 + key, [], novelty)
+
+
 def test_spans_of_awkward_rows(spark, awkward):
     """One row of spans for each row, base spans as the patterns give them, and none for null, empty or blank texts."""
     rows = sorted(((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in awkward.select("doc_id", "text").collect()), key=str)
