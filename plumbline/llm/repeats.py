@@ -1,4 +1,4 @@
-"""Passages that repeat anywhere in the corpus, by suffix trees over suffixes that share a prefix.
+"""Passages that repeat anywhere in the corpus, by sorting suffixes that share a prefix, cut to a window; no suffix tree is built.
 
 Not every suffix is needed to find all repeated windows of ``window`` words. Each window has an anchor: of its runs of ``PREFIX``
 words the one with the smallest hash, the first of equals. Equal windows have equal anchors at equal places, so only suffixes that
