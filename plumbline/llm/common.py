@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 #: Rows, and about how many bytes of them, that a task turns into Python objects at a time.
 AT_ONCE, BYTES_AT_ONCE = 500, 32 << 20
@@ -22,11 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def schema_of(spec: str | StructType) -> StructType:
-    return _parse_datatype_string(spec) if isinstance(spec, str) else spec
+    return StructType.fromDDL(spec) if isinstance(spec, str) else spec
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], out: str) -> DataFrame:
-    """Run ``make()`` once per task and its result on the rows, ``AT_ONCE`` at a time, fewer where they are long.
+def map_rows(
+    df: DataFrame,
+    make: Callable[[], Callable[[dict], dict]],
+    out: str,
+    rows_at_once: int = AT_ONCE,
+    bytes_at_once: int = BYTES_AT_ONCE,
+) -> DataFrame:
+    """Run ``make()`` once per task and its result on the rows, ``rows_at_once`` at a time, fewer where they are long.
 
     The function gets the rows' columns as lists by name and returns lists by the names of ``out``.
     """
@@ -35,7 +41,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            rows = max(1, min(AT_ONCE, BYTES_AT_ONCE * batch.num_rows // max(1, batch.nbytes)))
+            rows = max(1, min(rows_at_once, bytes_at_once * batch.num_rows // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 got = step({n: part.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
