@@ -60,9 +60,10 @@ def unique_values(table: DataFrame | Profile) -> DataFrame:
     from plumbline.operators.semantics import semantic_types
 
     p = as_profile(table)
+    unique = distinct_profile(p)  # first, for the exact counts serve the types too
     kinds = semantic_types(p).select("column_name", "semantic_type", "ignored")
     return (
-        distinct_profile(p)
+        unique
         .join(most_frequent(p), "column_name")
         .join(kinds, "column_name")
         .withColumn("n_rows", F.lit(p.n_rows).cast("bigint"))
@@ -99,7 +100,7 @@ def high_cardinality_columns(table: DataFrame | Profile) -> DataFrame:
 def constant_columns(table: DataFrame | Profile) -> DataFrame:
     """Columns with at most one distinct value, including columns without any."""
     p = as_profile(table)
-    return _joined(p).where("ndv <= 1").select("column_name", F.col("ndv").alias("unique_count"))
+    return p.rule_counts.where("ndv <= 1").select("column_name", F.col("ndv").alias("unique_count"))
 
 
 def category_counts(table: DataFrame | Profile) -> DataFrame:

@@ -64,9 +64,10 @@ def table_facts(table: DataFrame | Profile) -> DataFrame:
     """One row with everything that the scores and table-level findings need."""
     p = as_profile(table)
     if "table_facts" not in p.__dict__:
+        columns = column_facts(p)  # first, for its exact counts serve the correlations too
         strong = correlation_buckets(p).where(F.col("bucket").startswith("strong")).count()
         duplicates = p.n_rows - p.distinct_rows
-        p.__dict__["table_facts"] = pinned(_totals(column_facts(p), duplicates, strong))
+        p.__dict__["table_facts"] = pinned(_totals(columns, duplicates, strong))
     return p.__dict__["table_facts"]
 
 

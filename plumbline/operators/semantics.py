@@ -37,7 +37,7 @@ def sequential_columns(table: DataFrame | Profile, bucket: int = SEQUENCE_BUCKET
     p = as_profile(table)
     if not p.order_by:
         return []
-    facts = p.counts.join(p.distinct.drop("column_name"), "ordinal").where(
+    facts = p.counts.join(p.rule_counts.drop("column_name"), "ordinal").where(
         F.col("family").isin(INT, FLOAT)
         & (F.col("ndv") > 5)
         & (F.col("ndv") == F.col("non_null"))
@@ -101,7 +101,7 @@ def semantic_types(table: DataFrame | Profile) -> DataFrame:
 
 
 def _classified(p: Profile) -> DataFrame:
-    facts = p.counts.join(p.distinct.drop("column_name"), "ordinal").join(name_flags(p), "ordinal")
+    facts = p.counts.join(p.rule_counts.drop("column_name"), "ordinal").join(name_flags(p), "ordinal")
     kind, ndv, family = F.col("kind"), F.col("ndv"), F.col("family")
     sequential = F.col("column_name").isin(sequential_columns(p))
     unique = (F.col("n_rows") > 5) & (ndv == F.col("n_rows")) & kind.isin("object", "int")
@@ -159,7 +159,7 @@ def detect_target(table: DataFrame | Profile) -> DataFrame:
         semantic_types(p)
         .where("NOT ignored")
         .join(p.counts.select("ordinal", "kind"), "ordinal")
-        .join(p.distinct.select("ordinal", "ndv"), "ordinal")
+        .join(p.rule_counts.select("ordinal", "ndv"), "ordinal")
         .join(name_flags(p), "ordinal")
     )
     chosen = facts.agg(

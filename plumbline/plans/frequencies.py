@@ -22,7 +22,7 @@ from plumbline.functions.types import (
 SLOT_TYPES = {"l": "bigint", "d": "double", "s": "string"}
 
 
-def _slot(info: ColumnInfo) -> tuple[str, Column]:
+def value_slot(info: ColumnInfo) -> tuple[str, Column]:
     """Where a column's values go, and the value: ``l`` for integers and instants, ``d`` for doubles, ``s`` for keys."""
     if info.family == INT:
         return "l", info.value().cast("bigint")
@@ -37,7 +37,7 @@ def _slot(info: ColumnInfo) -> tuple[str, Column]:
 
 def long_values(df: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
     """Non-null cells as rows of ``ordinal`` and the slots that the columns need; one slot holds the value."""
-    values = {c.ordinal: _slot(c) for c in columns}
+    values = {c.ordinal: value_slot(c) for c in columns}
     used = [s for s in SLOT_TYPES if s in {slot for slot, _ in values.values()}]
     cells = [F.lit(len(columns))]
     for ordinal, (slot, value) in values.items():
@@ -84,8 +84,8 @@ def distinct_by_column(df: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
     Numbers and texts are counted apart. Each reads only its own columns, the rows shuffled are narrower, and numbers
     are folded by hash, which strings in the aggregation buffer would turn into a sort.
     """
-    texts = [c for c in columns if _slot(c)[0] == "s"]
-    numbers = [c for c in columns if _slot(c)[0] != "s"]
+    texts = [c for c in columns if value_slot(c)[0] == "s"]
+    numbers = [c for c in columns if value_slot(c)[0] != "s"]
     parts = [distinct_stats(frequencies(df, part)) for part in (numbers, texts) if part]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     absent = {f"{what}_{s}": t for what in ("mode", "min", "max") for s, t in SLOT_TYPES.items()}

@@ -8,17 +8,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.types import BOOL, DATETIME, ColumnInfo, epoch_micros, grouping_key
+from plumbline.functions.types import BOOL, ColumnInfo
+from plumbline.plans import coded
 from plumbline.plans.blocks import aggregate_arrays
-from plumbline.plans.frequencies import distinct_by_column
+from plumbline.plans.coded import text_key
 from plumbline.plans.lookup import lookup
 from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile
 
 # More numeric columns than this are correlated by matrix products over Arrow batches.
 WIDE = 16
-# Pairs of categorical columns expanded together in one scan, and numeric columns per correlation-ratio scan.
-PAIRS_PER_SCAN = 16
+# Numeric columns per correlation-ratio scan.
 NUMBERS_PER_SCAN = 8
 # Largest number of row totals that is broadcast.
 BROADCAST_TOTALS = 100_000
@@ -77,18 +77,26 @@ def _pair_sums(p: Profile, a: ColumnInfo, b: ColumnInfo) -> Column:
 
 
 def _gram(p: Profile, pairs: list[Pair]) -> DataFrame:
-    """The same sums for a wide table: each partition multiplies its batches, and partial matrices are added up."""
+    """The same sums for a wide table: matrix products of each batch, whose totals each task hands on once.
+
+    The extremes of a column beside one without nulls are those of the whole column, which the profile has. Beside one
+    with nulls they are taken over the rows where that has a value, of all columns at once. So steps grow with the
+    columns that have nulls, not with the pairs.
+    """
     used = list({c.name: c for pair in pairs for c in pair}.values())
     place = {c.name: i for i, c in enumerate(used)}
     wanted = np.array([(place[a.name], place[b.name]) for a, b in pairs])
     centres = np.array([_centre(p, c) for c in used])
-    outputs = ["i", "j", *_SUMS]
+    lows = np.array([_extreme(p, c, "min_num") for c in used])
+    highs = np.array([_extreme(p, c, "max_num") for c in used])
+    gaps = np.flatnonzero([_has_nulls(p, c) for c in used])
 
     def multiply(batches):
         import pyarrow as pa
 
-        left, right = wanted[:, 0], wanted[:, 1]
         totals = None
+        width = len(used)
+        low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
         for batch in batches:
             x = np.column_stack([col.to_numpy(zero_copy_only=False).astype(float) for col in batch.columns])
             known = ~np.isnan(x)
@@ -97,25 +105,25 @@ def _gram(p: Profile, pairs: list[Pair]) -> DataFrame:
             d = np.where(np.isfinite(x), x - centres, 0.0)
             # Infinite values are counted apart: in a product, one beside a missing value would spoil the pair's sum.
             sums = [m.T @ m, d.T @ m, (d * d).T @ m, d.T @ d, endless.T @ m]
-            ends = [
-                [fold(np.where(known[:, i] & known[:, j], x[:, k], empty)) for i, j, k in zip(left, right, side)]
-                for side in (left, right)
-                for fold, empty in ((np.min, np.inf), (np.max, -np.inf))
-            ]
-            if totals is None:
-                totals = [sums, np.array(ends)]
-            else:
-                totals[0] = [t + s for t, s in zip(totals[0], sums)]
-                for k, fold in enumerate((np.minimum, np.maximum, np.minimum, np.maximum)):
-                    totals[1][k] = fold(totals[1][k], ends[k])
+            totals = sums if totals is None else [t + s for t, s in zip(totals, sums, strict=True)]
+            # Row k: the extremes of every column where column k has a value.
+            for k in gaps:
+                rows = x[known[:, k]]
+                if len(rows):
+                    low[k] = np.fmin(low[k], np.fmin.reduce(rows, axis=0))
+                    high[k] = np.fmax(high[k], np.fmax.reduce(rows, axis=0))
         if totals is None:
             return
-        (mm, dm, qm, dd, em), ends = totals
+        mm, dm, qm, dd, em = totals
         dd = np.where(em + em.T > 0, np.nan, dd)
+        whole = np.setdiff1d(np.arange(width), gaps)
+        low[whole], high[whole] = lows, highs
+        left, right = wanted[:, 0], wanted[:, 1]
         values = [mm[left, right], dm[left, right], dm[right, left], qm[left, right], qm[right, left], dd[left, right]]
+        ends = [low[right, left], high[right, left], low[left, right], high[left, right]]
         arrays = [pa.array(left, pa.int32()), pa.array(right, pa.int32())]
         arrays += [pa.array(v, pa.float64()) for v in (*values, *ends)]
-        yield pa.RecordBatch.from_arrays(arrays, outputs)
+        yield pa.RecordBatch.from_arrays(arrays, ["i", "j", *_SUMS])
 
     parts = p.df.select(*[c.number().alias(f"x{i}") for i, c in enumerate(used)]).mapInArrow(
         multiply, "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
@@ -129,55 +137,33 @@ def _gram(p: Profile, pairs: list[Pair]) -> DataFrame:
     )
 
 
-def _text_key(c: ColumnInfo) -> Column:
-    return (epoch_micros(c) if c.family == DATETIME else grouping_key(c)).cast("string")
-
-
-def _distinct_counts(p: Profile, columns: dict[int, ColumnInfo]) -> dict[int, int]:
-    """Distinct values per column: from the profile if it has them already, else of these columns only."""
-    known = "distinct" in p.__dict__ and p.exact
-    found = p.distinct if known else distinct_by_column(p.df, list(columns.values()))
-    return dict.fromkeys(columns, 0) | {r["ordinal"]: r["ndv"] for r in found.select("ordinal", "ndv").collect()}
+def _extreme(p: Profile, c: ColumnInfo, which: str) -> float:
+    found = p.count_rows[c.name][which]
+    return float("nan") if found is None else found
 
 
 def cramers_v(p: Profile, pairs: list[Pair]) -> DataFrame:
     """``(column_a, column_b, n, chi2, v)`` without bias correction, over rows where both have a value.
 
     chi2 / n + 1 is the sum over non-empty cells of n_ij^2 / (row total x column total), so no dense table is
-    built. The side with fewer distinct values gives the row totals, which are broadcast while they are few. The
-    column totals come out of the same aggregation that adds up the cells.
+    built. Columns of few values get codes, and the cells of all pairs of them come from one scan. The other pairs
+    are counted by their values, one scan for each column of many values: scans grow with the columns, not the pairs.
     """
-    ndv = _distinct_counts(p, {c.ordinal: c for pair in pairs for c in pair})
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_SCAN):
-        block = list(enumerate(pairs[at : at + PAIRS_PER_SCAN], at))
-        cells, few = [F.lit(len(block))], 0
-        for i, (a, b) in block:
-            rows, cols = sorted((a, b), key=lambda c: ndv[c.ordinal])
-            few += ndv[rows.ordinal]
-            both = rows.value().isNotNull() & cols.value().isNotNull()
-            cells += [F.lit(i), F.when(both, _text_key(rows)), F.when(both, _text_key(cols))]
-        counted = (
-            p.df.select(F.stack(*cells).alias("pair", "a", "b"))
-            .where("a IS NOT NULL")
-            .groupBy("pair", "a", "b")
-            .agg(F.count(F.lit(1)).cast("double").alias("cell"))
-        )
-        totals = counted.groupBy("pair", "a").agg(F.sum("cell").alias("row_total"), F.count(F.lit(1)).alias("n"))
-        if few <= BROADCAST_TOTALS:
-            weighed = counted.join(F.broadcast(totals), ["pair", "a"])
-        else:  # a value with many cells is no hot key either
-            weighed = lookup(counted, ["pair", "a"], totals)
-        by_column = weighed.groupBy("pair", "b").agg(
-            F.sum(F.expr("cell * cell / row_total")).alias("w"), F.sum("cell").alias("col_total")
-        )
-        summed = by_column.groupBy("pair").agg(
-            F.sum(F.col("w") / F.col("col_total")).alias("s"),
-            F.sum("col_total").alias("n"),
-            F.count(F.lit(1)).alias("n_cols"),
-        )
-        height = counted.groupBy("pair", "a").agg(F.lit(1).alias("one")).groupBy("pair").agg(F.sum("one").alias("n_rows"))
-        parts.append(summed.join(height, "pair"))
+    columns = {c.ordinal: c for pair in pairs for c in pair}
+    if "small_values" in p.__dict__:  # has run already
+        codes = {o: p.small_values[o].values for o in columns if p.small_values[o].values is not None}
+    else:
+        codes = coded.dictionaries(p.df, list(columns.values()))
+    size = p.cardinalities([c for o, c in columns.items() if o not in codes]) | {o: len(v) for o, v in codes.items()}
+    numbered = [(i, a, b) for i, (a, b) in enumerate(pairs)]
+    few = [(i, a, b) for i, a, b in numbered if a.ordinal in codes and b.ordinal in codes]
+    parts = [coded.contingency(coded.count_cells(p.df, few, codes))] if few else []
+    by_column: dict[int, list] = {}
+    for i, a, b in numbered:
+        if a.ordinal not in codes or b.ordinal not in codes:
+            rows, cols = sorted((a, b), key=lambda c: (c.ordinal not in codes, size[c.ordinal]))
+            by_column.setdefault(cols.ordinal, []).append((i, rows, cols))
+    parts += [_by_value(p, block, codes) for block in by_column.values()]
     names = local(p.spark, 
         [(i, a.name, b.name) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"
     )
@@ -196,6 +182,39 @@ def cramers_v(p: Profile, pairs: list[Pair]) -> DataFrame:
     )
 
 
+def _by_value(p: Profile, block: list[tuple[int, ColumnInfo, ColumnInfo]], codes: dict[int, list]) -> DataFrame:
+    """What ``coded.contingency`` gives, from the values themselves, for pairs of one column with others in one scan.
+
+    The side with fewer distinct values gives the row totals, which are broadcast where they are known to be few. The
+    column totals come out of the same aggregation that adds up the cells.
+    """
+    cells = [F.lit(len(block))]
+    for i, rows, cols in block:
+        both = rows.value().isNotNull() & cols.value().isNotNull()
+        cells += [F.lit(i), F.when(both, text_key(rows)), F.when(both, text_key(cols))]
+    counted = (
+        p.df.select(F.stack(*cells).alias("pair", "a", "b"))
+        .where("a IS NOT NULL")
+        .groupBy("pair", "a", "b")
+        .agg(F.count(F.lit(1)).cast("double").alias("cell"))
+    )
+    totals = counted.groupBy("pair", "a").agg(F.sum("cell").alias("row_total"), F.count(F.lit(1)).alias("n"))
+    if all(rows.ordinal in codes for _, rows, _ in block) and sum(len(codes[r.ordinal]) for _, r, _ in block) <= BROADCAST_TOTALS:
+        weighed = counted.join(F.broadcast(totals), ["pair", "a"])
+    else:  # a value with many cells is no hot key either
+        weighed = lookup(counted, ["pair", "a"], totals)
+    by_column = weighed.groupBy("pair", "b").agg(
+        F.sum(F.expr("cell * cell / row_total")).alias("w"), F.sum("cell").alias("col_total")
+    )
+    summed = by_column.groupBy("pair").agg(
+        F.sum(F.col("w") / F.col("col_total")).alias("s"),
+        F.sum("col_total").alias("n"),
+        F.count(F.lit(1)).alias("n_cols"),
+    )
+    height = counted.groupBy("pair", "a").agg(F.lit(1).alias("one")).groupBy("pair").agg(F.sum("one").alias("n_rows"))
+    return summed.join(height, "pair")
+
+
 def correlation_ratio(p: Profile, categories: list[ColumnInfo], numbers: list[ColumnInfo]) -> DataFrame:
     """``(category, number, n, eta)`` for every category column against every numeric column.
 
@@ -207,7 +226,7 @@ def correlation_ratio(p: Profile, categories: list[ColumnInfo], numbers: list[Co
         block = numbers[at : at + NUMBERS_PER_SCAN]
         cells = [F.lit(len(categories))]
         for c in categories:
-            cells += [F.lit(c.ordinal), _text_key(c)]
+            cells += [F.lit(c.ordinal), text_key(c)]
         xs = [c.number().alias(f"x{c.ordinal}") for c in block]
         long = p.df.select(*xs, F.stack(*cells).alias("category", "key")).where("key IS NOT NULL")
         first, second, outputs = [], [], []

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.types import (
     DATETIME,
     DIGEST_OVER,
+    FLOAT,
+    INT,
     STRING,
     ColumnInfo,
     columns_of,
@@ -25,12 +27,15 @@ from plumbline.functions.types import (
 )
 from plumbline.plans import moments as moments_plan
 from plumbline.plans.blocks import aggregate_arrays
-from plumbline.plans.frequencies import distinct_by_column, frequencies
+from plumbline.plans.coded import CODED, Values, few_values
+from plumbline.plans.frequencies import distinct_by_column, frequencies, long_values
 from plumbline.plans.quantiles import approx_quantiles, exact_quantiles
 from plumbline.plans.small import local, pinned
 
 # Largest set of keys that is broadcast to look long texts up again.
 BROADCAST_KEYS = 10_000
+# One in so many hash values is looked at for a value that comes twice.
+SLICES = 64
 
 
 class Profile:
@@ -148,17 +153,79 @@ class Profile:
         long_mode = F.create_map(*pairs)[F.col("ordinal")]
         return distinct.withColumn("mode_text", F.coalesce(long_mode, F.col("mode_text")))
 
+    def cardinalities(self, columns: list[ColumnInfo]) -> dict[int, int]:
+        """About how many values each column has, by ordinal: the exact numbers where they are known, else a sketch's."""
+        if "distinct" in self.__dict__:  # has run already
+            found = {r["ordinal"]: r["ndv"] for r in self.distinct.select("ordinal", "ndv").collect()}
+            return {c.ordinal: found[c.ordinal] for c in columns}
+        sketched = self.__dict__.setdefault("sketched", {})
+        missing = [c for c in columns if c.ordinal not in sketched]
+        found = aggregate_arrays(self.df, [{c.ordinal: F.array(F.approx_count_distinct(grouping_key(c)))} for c in missing])
+        sketched |= {k: int(v[0]) for k, v in found.items()}
+        return {c.ordinal: sketched[c.ordinal] for c in columns}
+
+    @cached_property
+    def small_values(self) -> dict[int, Values]:
+        """The values of each column that has few, by ordinal."""
+        return few_values(self.df, self.columns, CODED)
+
+    @cached_property
+    def rule_counts(self) -> DataFrame:
+        """Per column: ``ndv`` as far as rules ask for it, and the extremes of columns with few or all different values.
+
+        Rules ask whether a column has few values, or a different one in every row. One scan finds the values of columns
+        with ``CODED`` at most, and most columns in which one comes twice. In the others a value that comes twice
+        is looked for where its hash falls into one of ``SLICES``. Only what may still be all different is counted whole.
+        ``ndv`` is exact for those and for few values; for other columns it is ``CODED`` + 1, the least it can be.
+        """
+        if "distinct" in self.__dict__ or not self.exact:
+            return self.distinct.select("ordinal", "column_name", "ndv", "min_text", "max_text")
+        found = self.small_values
+        open_ = [c for c in self.columns if found[c.ordinal].values is None and not found[c.ordinal].repeated]
+        if open_:
+            values = long_values(self.df, open_)
+            slots = [s for s in values.columns if s != "ordinal"]
+            part = values.where(F.pmod(F.xxhash64(*slots), F.lit(SLICES)) == 0)
+            repeated = part.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ordinal").distinct()
+            twice = {r["ordinal"] for r in repeated.collect()}
+            open_ = [c for c in open_ if c.ordinal not in twice]
+        whole = {}
+        if open_:
+            ends = [
+                F.coalesce(f"{end}_s", F.col(f"{end}_l").cast("string"), F.col(f"{end}_d").cast("string")).alias(f"{end}_text")
+                for end in ("min", "max")
+            ]
+            whole = {r["ordinal"]: tuple(r)[1:] for r in distinct_by_column(self.df, open_).select("ordinal", "ndv", *ends).collect()}
+        rows = []
+        for c in self.columns:
+            values = found[c.ordinal].values
+            if values is None:
+                rows.append((c.ordinal, c.name, *whole.get(c.ordinal, (CODED + 1, None, None))))
+            else:
+                numbers = [float(v) for v in values] if c.family == FLOAT else values
+                rows.append((c.ordinal, c.name, len(values), *(str(end(numbers)) if values else None for end in (min, max))))
+        return local(self.spark, rows, "ordinal int, column_name string, ndv bigint, min_text string, max_text string")
+
     def _distinct_by_sketch(self) -> DataFrame:
-        """``distinct`` with estimated counts and no modes, from one scan."""
-        found = aggregate_arrays(
-            self.df,
-            [{c.ordinal: F.array(F.approx_count_distinct(grouping_key(c)))} for c in self.columns],
-        )
+        """``distinct`` with estimated counts and no modes, and the extremes of columns with two values."""
+        about = self.cardinalities(self.columns)
+        ends: dict[int, tuple] = {}
+        two = [c for c in self.columns if about[c.ordinal] == 2]
+        for c in two:
+            facts = self.count_rows[c.name]
+            if c.is_numeric and facts["min_num"] is not None:
+                shown = (lambda x: str(int(x))) if c.family == INT else repr
+                ends[c.ordinal] = (shown(facts["min_num"]), shown(facts["max_num"]))
+        texts = [c for c in two if c.family == STRING]
+        if texts:
+            both = [F.array(F.min(grouping_key(c)), F.max(grouping_key(c))).alias(f"c{c.ordinal}") for c in texts]
+            found = self.df.agg(*both).first()
+            ends |= {c.ordinal: tuple(found[f"c{c.ordinal}"]) for c in texts}
         schema = (
             "ordinal int, column_name string, ndv bigint, mode_n bigint, mode_ties bigint, mode_number double,"
             " mode_text string, min_text string, max_text string"
         )
-        rows = [(c.ordinal, c.name, int(found[c.ordinal][0]), None, None, None, None, None, None) for c in self.columns]
+        rows = [(c.ordinal, c.name, about[c.ordinal], *[None] * 4, *ends.get(c.ordinal, (None, None))) for c in self.columns]
         return local(self.spark, rows, schema)
 
     @cached_property

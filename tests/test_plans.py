@@ -11,7 +11,7 @@ from plumbline import Profile
 from plumbline.functions.rounding import rnd
 from plumbline.functions.types import columns_of
 from plumbline.operators import cardinality, duplicates, numeric, outliers, semantics
-from plumbline.plans import pairs, quantiles
+from plumbline.plans import coded, pairs, quantiles
 from plumbline.plans.blocks import aggregate_arrays
 from plumbline.plans.frequencies import distinct_stats, frequencies
 from plumbline.plans.lookup import lookup
@@ -197,6 +197,7 @@ def test_cramers_v_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(rows, "a string, b string, c string").repartition(3)
     p = Profile(df)
     every = [(p.columns[0], p.columns[1]), (p.columns[0], p.columns[2]), (p.columns[1], p.columns[2])]
+    monkeypatch.setattr(coded, "CODED", 0)
     monkeypatch.setattr(pairs, "BROADCAST_TOTALS", 0)
     monkeypatch.setattr(pairs, "lookup", lambda df, keys, facts: lookup(df, keys, facts, broadcast_values=1, hot_share=30))
     large = pairs.cramers_v(p, every).collect()
@@ -227,3 +228,63 @@ def test_plans_push_down_and_prune(spark, tmp_path):
     assert "ReadSchema: struct<s:string>" in plan
     assert "WindowGroupLimit" in plan_of(cardinality.top_categories(p))
     assert "SinglePartition" not in plan_of(frequencies(p.df))
+
+
+def test_pairs_of_coded_columns_take_one_scan(spark, tmp_path, monkeypatch):
+    """Cells of 24 columns' 276 pairs come from one read of the table, and give what counting by value gives."""
+    rng = random.Random(7)
+    rows = [tuple(None if rng.random() < 0.1 else f"v{rng.randrange(2 + k)}" for k in range(24)) for _ in range(700)]
+    spark.createDataFrame(rows, ", ".join(f"c{k} string" for k in range(24))).write.parquet(f"{tmp_path}/t")
+    p = Profile(spark.read.parquet(f"{tmp_path}/t"))
+    every = [(a, b) for i, a in enumerate(p.columns) for b in p.columns[:i]]
+    found = pairs.cramers_v(p, every)
+    assert plan_of(found).count("Scan parquet") == plan_of(pairs.cramers_v(p, every[:1])).count("Scan parquet")
+    want = {(r["column_a"], r["column_b"]): (r["n"], round(r["v"], 9)) for r in found.collect()}
+    assert len(want) == 276
+    for cells, task in ((0, 0), (100, 1_000)):  # pairs beyond a task's arrays
+        monkeypatch.setattr(coded, "PAIR_CELLS", cells)
+        monkeypatch.setattr(coded, "TASK_CELLS", task)
+        got = pairs.cramers_v(p, every).collect()
+        assert {(r["column_a"], r["column_b"]): (r["n"], round(r["v"], 9)) for r in got} == want
+    for most in (0, 9):  # all or some columns without codes
+        monkeypatch.setattr(coded, "CODED", most)
+        some = every[::17]
+        got = pairs.cramers_v(p, some).collect()
+        assert {(r["column_a"], r["column_b"]): (r["n"], round(r["v"], 9)) for r in got} == {(a.name, b.name): want[a.name, b.name] for a, b in some}
+
+
+def test_coded_cells_of_missing_and_odd_values(spark):
+    rows = [(None, 1.0, True), ("", float("nan"), None), ("x", -0.0, False), ("", 0.0, True), (None, None, None), ("x", 1.0, False)]
+    p = Profile(spark.createDataFrame(rows, "a string, b double, c boolean"))
+    codes = coded.dictionaries(p.df, p.columns)
+    assert codes == {0: ["", "x"], 1: [0.0, 1.0], 2: ["False", "True"]}
+    a, b, c = p.columns
+    cells = coded.count_cells(p.df, [(0, a, c), (1, a, b)], codes)
+    assert sorted(tuple(r) for r in cells.where("pair = 0").collect()) == [(0, 1, 2, 1.0), (0, 2, 1, 2.0)]
+    assert cells.where("pair = 1").agg({"cell": "sum"}).first()[0] == 3
+    assert coded.dictionaries(p.df, p.columns, most=1) == {}
+    empty = Profile(p.df.limit(0))
+    assert [tuple(r) for r in pairs.cramers_v(empty, [(empty.columns[0], empty.columns[2])]).collect()] == [("a", "c", 0, 0.0, 0.0)]
+
+
+def test_rules_count_only_what_they_turn_on(spark):
+    """Types are those of exact counts, though columns far from every limit are not counted exactly."""
+    n = 6_000
+    df = spark.range(n).selectExpr(
+        "id AS plain", "CAST(id AS string) AS label", "concat('t', CAST(id % 5900 AS string)) AS nearly", "id % 2 AS flag",
+        "CAST(id % 2 AS double) AS half", "id % 5 AS grade", "id % 6 AS more", "IF(id % 2 = 0, 'true', 'false') AS answer",
+        "IF(id % 2 = 0, 'up', 'down') AS way", "id % 900 AS middle", "CAST(id % 70 AS string) AS word",
+        "CAST(NULL AS string) AS gone", "rand(3) AS real", "7 AS same", "IF(id = 17, NULL, id * 3) AS gap",
+    )
+    quick, exact = Profile(df, order_by="plain"), Profile(df, order_by="plain")
+    _ = exact.distinct
+    got, want = (sorted(tuple(r) for r in semantics.semantic_types(p).collect()) for p in (quick, exact))
+    assert got == want
+    assert "distinct" not in quick.__dict__
+    counts = {r["column_name"]: r["ndv"] for r in quick.rule_counts.collect()}
+    assert (counts["label"], counts["grade"], counts["gone"], counts["same"], counts["gap"]) == (n, 5, 0, 1, n - 1)
+    assert (counts["nearly"], counts["middle"], counts["word"]) == (coded.CODED + 1, 900, 70)
+    assert sorted(map(tuple, cardinality.constant_columns(df).collect())) == [("gone", 0), ("same", 1)]
+    sketched = Profile(df, exact=False)
+    types = {r["column_name"]: r["semantic_type"] for r in semantics.semantic_types(sketched).collect()}
+    assert (types["flag"], types["half"], types["answer"], types["way"]) == ("Boolean", "Boolean", "Boolean", "Binary")
