@@ -41,7 +41,7 @@ def _bins(p: Profile) -> DataFrame:
     finite = _finite_facts(p)
     for c in p.numeric:
         facts = p.count_rows[c.name]
-        n, low, high = finite.get(c.name, (facts["non_null"], facts["min_num"], facts["max_num"]))
+        n, low, high, _ = finite.get(c.name, (facts["non_null"], facts["min_num"], facts["max_num"], None))
         if not n:
             continue
         q = p.quartiles[c.name]
@@ -66,16 +66,16 @@ def _bins(p: Profile) -> DataFrame:
     return p.__dict__["bins"]
 
 
-def _finite_facts(p: Profile) -> dict[str, tuple[int, float, float]]:
-    """Number, minimum and maximum of the finite values, for the columns that also hold infinite ones."""
-    wanted = [c for c in p.numeric if p.count_rows[c.name]["infinite"]]
-    if not wanted:
-        return {}
-    groups = []
-    for c in wanted:
-        x = F.when(F.abs(c.number()) < float("inf"), c.number())
-        groups.append({c.name: F.array(F.count(x).cast("double"), F.min(x), F.max(x))})
-    return {k: (int(v[0]), v[1], v[2]) for k, v in aggregate_arrays(p.df, groups).items()}
+def _finite_facts(p: Profile) -> dict[str, tuple[int, float, float, float]]:
+    """Number, extremes and standard deviation of the finite values, for the columns that also hold infinite ones."""
+    if "finite_facts" not in p.__dict__:
+        groups = []
+        for c in p.numeric:
+            if p.count_rows[c.name]["infinite"]:
+                x = F.when(F.abs(c.number()) < float("inf"), c.number())
+                groups.append({c.name: F.array(F.count(x).cast("double"), F.min(x), F.max(x), F.stddev_samp(x))})
+        p.__dict__["finite_facts"] = {k: (int(v[0]), *v[1:]) for k, v in aggregate_arrays(p.df, groups).items()}
+    return p.__dict__["finite_facts"]
 
 
 def histogram_bins(table: DataFrame | Profile) -> DataFrame:
@@ -89,9 +89,12 @@ def histogram_bins(table: DataFrame | Profile) -> DataFrame:
 
 
 def density_curve(table: DataFrame | Profile) -> DataFrame:
-    """Gaussian kernel density at the bin centres, over the binned counts, with Scott's bandwidth."""
+    """Gaussian kernel density of the finite values at the bin centres, over the binned counts, with Scott's bandwidth."""
     p = as_profile(table)
-    spread = p.moments.select("column_name", "std", F.col("non_null").alias("total"))
+    finite = _finite_facts(p)
+    own = local(p.spark, [(k, v[3], v[0]) for k, v in finite.items()], "column_name string, std double, total bigint")
+    whole = p.moments.where(~F.col("column_name").isin(list(finite))).select("column_name", "std", F.col("non_null").alias("total"))
+    spread = whole.unionByName(own)
     bins = _bins(p).join(spread, "column_name").withColumn("centre", F.col("low") + (F.col("bin") + 0.5) * F.col("width"))
     points = bins.select("column_name", "bin", "centre", "total", (F.col("std") * F.pow("total", F.lit(-0.2))).alias("h"))
     masses = bins.select("column_name", F.col("centre").alias("at"), "n").where("n > 0")

@@ -66,8 +66,10 @@ def assert_well_formed(text: DataFrame) -> None:
     """
     names = [f.name for f in text.schema if f.name != CORRUPT]
     cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
-    parsed = F.from_csv(F.col(CORRUPT), cells.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"'})
-    extra = F.col(CORRUPT).isNotNull() & parsed[f"c{len(names)}"].isNotNull()
+    # A mark behind the line stands right behind its last cell, also where that is empty.
+    parsed = F.from_csv(F.concat(F.col(CORRUPT), F.lit(",\u0001")), cells.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"'})
+    fits = F.array_contains(F.array(*[parsed[f"c{i}"] for i in range(len(names) + 1)]), "\u0001")
+    extra = F.col(CORRUPT).isNotNull() & ~F.coalesce(fits, F.lit(False))
     broken = F.lit(False)
     for n in names:
         broken = broken | F.coalesce(F.contains(F.col(quoted(n)), F.lit("\ufffd")), F.lit(False))
@@ -83,13 +85,31 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
     With ``multi_line`` quoted cells may hold line breaks, and one task reads each file; without it large files are split.
     """
-    header = spark.read.csv(path, header=True, inferSchema=False).schema
-    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in header] + [T.StructField(CORRUPT, T.StringType())])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in _header(spark, path)] + [T.StructField(CORRUPT, T.StringType())])
     return spark.read.csv(
         path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=multi_line, escape='"'
     )
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """The column names; a name that comes again gets a number, as in ``a``, ``a.1``."""
+    shown = spark.read.csv(path, header=True, inferSchema=False, escape='"').columns
+    if not shown:
+        raise EmptyTableError(f"'{path}' has no header")
+    raw = spark.read.csv(path, header=False, inferSchema=False, escape='"').first()
+    names: list[str] = []
+    for own, name in zip(raw, shown, strict=True):
+        if own is None or raw.count(own) == 1:
+            names.append(name)
+            continue
+        number = names.count(own)
+        while own in names and (number == 0 or f"{own}.{number}" in names):
+            number += 1
+        names.append(f"{own}.{number}" if own in names else own)
+    # Names that differ in capitals only cannot be told apart, and keep the numbers that Spark gives.
+    return names if len({n.lower() for n in names}) == len(names) else shown
+
+
 def corrupt_rows(text: DataFrame) -> DataFrame:
     """How many lines of a text frame did not fit the header."""
     return text.agg(F.count(CORRUPT).alias("corrupt_rows"), F.count(F.lit(1)).alias("n_rows"))

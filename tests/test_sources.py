@@ -28,6 +28,23 @@ def test_corrupt_lines_are_counted(spark, tmp_path):
     assert (found["corrupt_rows"], found["n_rows"]) == (2, 3)
 
 
+def test_csv_errors(spark, tmp_path):
+    def read(text):
+        path = tmp_path / f"{abs(hash(text))}.csv"
+        path.write_text(text)
+        return readers.read_csv(spark, str(path))
+
+    with pytest.raises(readers.EmptyTableError):
+        read("")
+    for extra in ("a,b\n1,2\n3,4,\n", 'a,b\n1,"x,y"\n"3",4,""\n', "a,b\n1,2,3\n"):
+        with pytest.raises(readers.MalformedTableError, match="1 lines"):
+            read(extra)
+    assert [tuple(r) for r in read('a,b\n1,\n3\n"4","x,y"\n5,"q""r"\n').collect()] == [(1, None), (3, None), (4, "x,y"), (5, 'q"r')]
+    assert read("a,a,b,a\n1,2,3,4\n").columns == ["a", "a.1", "b", "a.2"]
+    assert tuple(read("a,a,b\n1,x,3\n").first()) == (1, "x", 3)
+    assert len(set(read("a,a,a.1\n1,2,3\n").columns)) == 3
+
+
 def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "x bigint, s string")
     for name in ("parquet", "json", "orc"):

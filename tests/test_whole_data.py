@@ -131,3 +131,19 @@ def test_csv_has_a_row_order(spark, tmp_path):
     p = Profile(df, order_by="row_idx")
     assert [r["k"] for r in df.orderBy("row_idx").limit(3).collect()] == [100, 101, 102]
     assert "k" in semantics.sequential_columns(p)
+
+
+def test_density_beside_an_infinity(spark):
+    """The curve of the finite values is that of a table without the infinite ones."""
+    from plumbline.operators import charts
+
+    values = [(float(i * i % 97),) for i in range(200)]
+    plain = charts.density_curve(spark.createDataFrame(values, "x double"))
+    spoilt = charts.density_curve(spark.createDataFrame([*values, (float("inf"),), (float("-inf"),)], "x double"))
+
+    def area(df):
+        rows = sorted((r["x"], r["density"]) for r in df.collect())
+        assert rows and all(math.isfinite(d) for _, d in rows)
+        return sum(d for _, d in rows) * (rows[-1][0] - rows[0][0]) / (len(rows) - 1)
+
+    assert area(spoilt) == pytest.approx(area(plain), rel=0.02) and 0.8 < area(plain) < 1.05
