@@ -14,7 +14,6 @@ are 64-bit hashes of the whole line. Of the input only the named columns are rea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -82,17 +81,32 @@ def bitmaps(lines: list[str]) -> list[bytes]:
     return [row.tobytes() for row in np.packbits(bits, axis=1)]
 
 
-def may_be_similar(a: str, b: str, bits_a: bytes, bits_b: bytes) -> bool:
-    """False only if the lines are surely not similar.
+def may_be(apart: np.ndarray, lengths: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """False only if lines of those lengths, whose bitmaps differ in ``apart`` bits, are surely not similar.
 
     Each bit in which the bitmaps differ stands for a shingle of one line alone, and similar lines have few of those: the
     symmetric difference is at most (1 - s) / (1 + s) of the sets' sizes together, which the lengths bound.
     """
-    apart = (int.from_bytes(bits_a) ^ int.from_bytes(bits_b)).bit_count()
-    most = max(1, len(a) - SHINGLE + 1) + max(1, len(b) - SHINGLE + 1)
+    most = np.maximum(1, lengths - SHINGLE + 1) + np.maximum(1, others - SHINGLE + 1)
     return apart * (1 + SIMILAR) <= (1 - SIMILAR) * most + 1e-9
 
 
+def stacked(bits: list[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each bitmap."""
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITMAP // 64)
+
+
+def apart_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows of ``stacked`` differ."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def may_be_similar(a: str, b: str, bits_a: bytes, bits_b: bytes) -> bool:
+    """``may_be`` for one pair of lines."""
+    apart = apart_in(stacked([bits_a]), stacked([bits_b]))
+    return bool(may_be(apart, np.array([len(a)]), np.array([len(b)]))[0])
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -200,8 +214,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def make():
         def step(batch: dict) -> dict:
-            rows = enumerate(zip(batch["a"], batch["b"], batch["c"], batch["d"], strict=True))
-            kept = [i for i, (x, y, c, d) in rows if may_be_similar(x, y, c, d) and similar(shingles(x), shingles(y))]
+            a, b = batch["a"], batch["b"]
+            lengths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+            may = may_be(apart_in(stacked(batch["c"]), stacked(batch["d"])), *lengths)
+            kept = [i for i in np.flatnonzero(may).tolist() if similar(shingles(a[i]), shingles(b[i]))]
             return {"u": [batch["u"][i] for i in kept], "v": [batch["v"][i] for i in kept]}
 
         return step
@@ -216,26 +232,23 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found() -> list[tuple[int, int]]:
         i, j = now[1:]
+        ids, part, block, texts, bitmaps_ = zip(*held, strict=True)
+        label, blocks, bits = np.unique(part, return_inverse=True)[1], np.array(block), stacked(bitmaps_)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         sets: dict[int, set[str]] = {}
-        parts: dict[int, list[tuple]] = {}
-        for id_, part, block, text, bits in held:
-            size = max(1, len(text) - SHINGLE + 1)
-            parts.setdefault(part, []).append((id_, block, text, int.from_bytes(bits), size))
-
-        def near(a: tuple, b: tuple) -> bool:
-            if (i != j and a[1] == b[1]) or (a[3] ^ b[3]).bit_count() * (1 + SIMILAR) > (1 - SIMILAR) * (a[4] + b[4]) + 1e-9:
-                return False
-            for x in (a, b):
-                if x[0] not in sets:
-                    sets[x[0]] = shingles(x[2])
-            return similar(sets[a[0]], sets[b[0]])
-
-        out, joined = [], {p: p for p in parts}
-        for p, q in combinations(parts, 2):
-            if joined[p] != joined[q] and (link := next(((a[0], b[0]) for a in parts[p] for b in parts[q] if near(a, b)), None)):
-                out.append(link)
-                old, new = joined[q], joined[p]
-                joined.update({k: new for k, v in joined.items() if v == old})
+
+        def set_of(k: int) -> set[str]:
+            if k not in sets:
+                sets[k] = shingles(texts[k])
+            return sets[k]
+
+        out = []
+        for a in range(len(held) - 1):
+            b = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & ((blocks[a + 1 :] != block[a]) if i != j else True))
+            for k in b[may_be(apart_in(bits[b], bits[a]), lengths[b], lengths[a])].tolist():
+                if label[k] != label[a] and similar(set_of(a), set_of(k)):
+                    out.append((ids[a], ids[k]))
+                    label[label == label[k]] = label[a]
         return out
 
     def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
