@@ -38,15 +38,22 @@ from plumbline.llm.components import components
 SHINGLE, SIMILAR = 5, 80
 #: Growth of a band's sizes; most segments of a set for which one-deletion keys are made (a key's unit is a byte).
 GROWTH, MOST_DELETIONS = 1.5, 127
-#: Bytes of text whose sets are made at a time; keys that a task packs together; characters of text per task that gathers keys.
-BYTES, PACKED, CHARS = 16 << 20, 1 << 20, 20_000_000
-#: Sets of a block in a large key, bits that stand for a set.
-BLOCK, BITMAP = 256, 2_048
+#: Bytes of text whose sets are made at a time; shingles whose keys a task packs together; characters of text per task that gathers keys.
+BYTES, PACKED, CHARS = 4 << 20, 1 << 18, 10_000_000
+#: Most sets of a key that are paired off, sets of a block in a larger one; least bits that stand for a set.
+PAIRED, BLOCK, BITMAP = 64, 256, 2_048
+#: Bytes hashed at a time, and from which length words are hashed one by one.
+STRETCH, LONG = 1 << 18, 256
 
 _random = np.random.default_rng(11)
 WORD_FACTORS = _random.integers(1, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 SHORT, CONTENT, SEGMENT, BAND, SET = (_random.integers(1, 1 << 63, 5, np.uint64) | np.uint64(1)).tolist()
 FLAG = 128
+BASE = int(_random.integers(1, 1 << 63)) | 1
+BYTES_AS = _random.integers(0, 1 << 64, 256, np.uint64)
+BYTES_AS[65:91] = BYTES_AS[97:123]
+WHITE = b" \t\n\x0b\x0c\r"
+IS_WHITE = np.isin(np.arange(256), list(WHITE))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,10 +75,6 @@ def largest_linked(size: int) -> int:
     return 100 * size // SIMILAR
 
 
-def smallest_linked(size: int) -> int:
-    return -(-SIMILAR * size // 100)
-
-
 def band_ends(size: int) -> list[int]:
     """The largest size of each band, up to that which holds ``size``."""
     ends = [1]
@@ -90,56 +93,123 @@ def deletions(end: int) -> int:
     return min(MOST_DELETIONS, 1 + segments(end) // 64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The hashes of a text's shingles, rising."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(own) < SHINGLE:
-        # The length keeps it apart from whole shingles.
-        return mixed((own * WORD_FACTORS[: len(own)]).sum(keepdims=True) + np.uint64(SHORT * len(own) & (1 << 64) - 1))
-    n = len(own) - SHINGLE + 1
-    out = own[:n] * WORD_FACTORS[0]
-    for i in range(1, SHINGLE):
-        out += own[i : i + n] * WORD_FACTORS[i]
-    return np.unique(mixed(out))
-
-
-def digest_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit hash of a set."""
-    total = int(mixed(shingles ^ np.uint64(SET)).sum()) + len(shingles) * SHORT
-    value = int(mixed(np.array([total & (1 << 64) - 1], np.uint64))[0])
-    return value - (value >> 63 << 64)
-
-
-def keys_of(shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Band, keys and units (0: a segment as it is; from 1 on: the segment's one-deletion keys, and itself) of a set."""
-    size = len(shingles)
-    for band, end in enumerate(band_ends(size)):
-        if end < smallest_linked(size) or not most_apart(end + largest_linked(end)):
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, one after the other, and the number of each text's words.
+
+    Hashes are sums of a random number for each byte, alike for a letter and its capital, times powers of an odd number; so running
+    sums over all bytes, divided by the power where a word begins, give those of all words at once. Words over ``LONG`` bytes, among
+    which such sums can be made to agree, are hashed one by one.
+    """
+    import xxhash
+
+    encoded = [(t or "").encode() for t in texts]
+    joined = b" ".join([*encoded, b""])
+    ends = np.cumsum([len(t) + 1 for t in encoded])
+    found, begins = [], []
+    at = 0
+    while at < len(joined):
+        # Up to white space, so that no word is cut.
+        to = min(len(joined), at + STRETCH)
+        if to < len(joined):
+            to = next((i + 1 for i in range(to - 1, at, -1) if joined[i] in WHITE), None) or next(
+                i + 1 for i in range(to, len(joined)) if joined[i] in WHITE
+            )
+        data = np.frombuffer(joined, np.uint8, to - at, at)
+        white = IS_WHITE[data]
+        change = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if not white[0]:
+            change = np.concatenate([[0], change])
+        begin, end = change[::2], change[1::2]
+        powers, inverse = _powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTES_AS[data] * powers, out=sums[1:])
+        own = mixed((sums[end] - sums[begin]) * inverse[begin])
+        for k in np.flatnonzero(end - begin > LONG).tolist():
+            own[k] = xxhash.xxh3_64_intdigest(joined[at + begin[k] : at + end[k]].lower())
+        found.append(own)
+        begins.append(begin + at)
+        at = to
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    before = np.searchsorted(np.concatenate(begins), ends)
+    return np.concatenate(found), np.diff(before, prepend=0)
+
+
+_known = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``BASE`` and of its inverse modulo 2^64."""
+    if len(_known[0]) < n:
+        for k, factor in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            factors = np.full(max(n, STRETCH), factor, np.uint64)
+            factors[0] = 1
+            _known[k] = np.cumprod(factors)
+    return _known[0][:n], _known[1][:n]
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's shingles, rising within a text, and the sizes of the sets."""
+    words, counts = word_hashes(texts)
+    begins = np.cumsum(counts) - counts
+    whole = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+    for i in range(SHINGLE):
+        whole += words[i : i + len(whole)] * WORD_FACTORS[i]
+    whole = mixed(whole)
+    parts = []
+    for begin, n in zip(begins.tolist(), counts.tolist(), strict=True):
+        if n >= SHINGLE:
+            part = whole[begin : begin + n - SHINGLE + 1]
+            part.sort()
+        elif n:
+            # The length keeps it apart from whole shingles.
+            total = (words[begin : begin + n] * WORD_FACTORS[:n]).sum(keepdims=True)
+            part = mixed(total + np.uint64(SHORT * n & (1 << 64) - 1))
+        else:
+            part = words[:0]
+        parts.append(part)
+    sizes = np.array([len(x) for x in parts], np.int64)
+    values = np.concatenate([*parts, words[:0]])
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    first = np.cumsum(sizes) - sizes
+    new[first[sizes > 0]] = True
+    return values[new], np.diff(np.concatenate([[0], np.cumsum(new)])[np.cumsum(sizes)], prepend=0)
+
+
+def digests_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values ^ np.uint64(SET)))])
+    ends = np.cumsum(sizes)
+    return mixed(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64) * np.uint64(SHORT)).view(np.int64)
+
+
+def keys_of(values: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """By band: set numbers, band, keys and units (0: a segment as it is; from 1 on: the segment's one-deletion keys, and itself)."""
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    content = mixed(values ^ np.uint64(CONTENT))
+    begin = 1
+    for band, end in enumerate(band_ends(int(sizes.max(initial=1)))):
+        # Also the larger ones that can be linked with a set of the band.
+        use = np.flatnonzero((sizes >= begin) & (sizes <= largest_linked(end)))
+        begin = end + 1
+        if not len(use) or not most_apart(end + largest_linked(end)):
             continue
         m, c = segments(end), deletions(end)
-        segment = ((shingles >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        content = mixed(shingles ^ np.uint64(CONTENT))
-        whole = np.zeros(m, np.uint64)
-        np.add.at(whole, segment, content)
+        place = np.full(len(sizes), -1)
+        place[use] = np.arange(len(use))
+        own = np.flatnonzero(place[number] >= 0)
+        segment = ((values[own] >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        at = place[number[own]] * m + segment
+        whole = np.zeros(len(use) * m, np.uint64)
+        np.add.at(whole, at, content[own])
         less = np.flatnonzero(segment < c)
-        left = whole[segment[less]] - content[less]
-        units = np.zeros(m + len(less), np.uint8)
-        units[:c] = np.arange(1, c + 1)
-        units[m:] = segment[less] + 1
-        numbers = np.concatenate([np.arange(m), segment[less]]).astype(np.uint64)
-        place = numbers * np.uint64(SEGMENT) + np.uint64(band * BAND & (1 << 64) - 1)
-        yield band, mixed(np.concatenate([whole, left]) + place), units
+        left = whole[at[less]] - content[own[less]]
+        segment = np.concatenate([np.tile(np.arange(m), len(use)), segment[less]])
+        salt = np.uint64(band * BAND & (1 << 64) - 1)
+        keys = mixed(np.concatenate([whole, left]) + segment.astype(np.uint64) * np.uint64(SEGMENT) + salt)
+        units = np.where(segment < c, segment + 1, 0).astype(np.uint8)
+        yield np.concatenate([np.repeat(use, m), number[own[less]]]), band, keys, units
 
 
 _PACKS = "keys binary, digests binary, sizes binary, bands binary, units binary, firsts binary"
@@ -152,27 +222,15 @@ def _packed(rows: DataFrame, parts: int) -> DataFrame:
     plan = f"part int, _id {kind}, _hash bigint, digest bigint, size bigint, local boolean, {_PACKS}"
 
     def make() -> Callable[[dict], dict]:
-        hashes = WordHashes()
-
         def step(batch: dict) -> dict:
             out: dict[str, list] = {n.split()[0]: [] for n in plan.split(", ")}
-            held: dict[str, list] = {c: [] for c in ("keys", "digests", "sizes", "bands", "units")}
-            seen: set[int] = set()
-            number = 0
 
             def put(part: int, local: bool, columns: dict[str, np.ndarray]) -> None:
                 row = {"part": part, "local": local} | {c: x.tobytes() for c, x in columns.items()}
                 for c, values in out.items():
                     values.append(row.get(c))
 
-            def pack() -> None:
-                nonlocal number
-                if not held["keys"]:
-                    return
-                columns = {c: np.concatenate(x) for c, x in held.items()}
-                for x in held.values():
-                    x.clear()
-                number = 0
+            def pack(columns: dict[str, np.ndarray]) -> None:
                 order = np.argsort(columns["keys"], kind="stable")
                 keys = columns["keys"][order]
                 first = np.ones(len(keys), bool)
@@ -194,28 +252,32 @@ def _packed(rows: DataFrame, parts: int) -> DataFrame:
                     if ends[part] < ends[part + 1]:
                         put(part, False, {c: x[by_set[ends[part] : ends[part + 1]]] for c, x in columns.items()})
 
-            for key, same, text in zip(batch["_id"], batch["_hash"], batch["_text"], strict=True):
-                if len(hashes) > 1 << 20:
-                    hashes.clear()
-                shingles = shingle_set(text, hashes)
-                digest = digest_of(shingles) if len(shingles) else None
-                row = {"part": 0 if same is None else same % parts, "_id": key, "_hash": same, "digest": digest, "size": len(shingles)}
-                for c, values in out.items():
-                    values.append(row.get(c))
-                if digest is None or digest in seen:
-                    continue
-                seen.add(digest)
-                for band, keys, units in keys_of(shingles):
-                    n = len(keys)
-                    held["keys"].append(keys)
-                    held["digests"].append(np.full(n, digest, np.int64))
-                    held["sizes"].append(np.full(n, len(shingles), np.int32))
-                    held["bands"].append(np.full(n, band, np.uint8))
-                    held["units"].append(units)
-                    number += n
-                if number >= PACKED:
-                    pack()
-            pack()
+            values, sizes = shingle_sets(batch["_text"])
+            digests = digests_of(values, sizes)
+            for key, same, digest, size in zip(batch["_id"], batch["_hash"], digests.tolist(), sizes.tolist(), strict=True):
+                row = {"part": 0 if same is None else same % parts, "_id": key, "_hash": same, "size": size}
+                row["digest"] = digest if size else None
+                for c, column in out.items():
+                    column.append(row.get(c))
+            # Sets that come again in the batch have their keys once.
+            once = np.zeros(len(sizes), bool)
+            once[np.unique(digests, return_index=True)[1]] = True
+            once &= sizes > 0
+            values, digests, sizes = values[np.repeat(once, sizes)], digests[once], sizes[once]
+            ends = np.cumsum(sizes)
+            begin = 0
+            while begin < len(sizes):
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + PACKED, "right")))
+                found = list(keys_of(values[done : ends[end - 1]], sizes[begin:end]))
+                if found:
+                    number = np.concatenate([f[0] for f in found]) + begin
+                    pack({
+                        "keys": np.concatenate([f[2] for f in found]), "digests": digests[number], "sizes": sizes[number].astype(np.int32),
+                        "bands": np.concatenate([np.full(len(f[0]), f[1], np.uint8) for f in found]),
+                        "units": np.concatenate([f[3] for f in found]),
+                    })
+                begin = end
             return out
 
         return step
@@ -241,11 +303,11 @@ def _shared(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
             )
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["keys"] is None:
-                made = {"_id": row["_id"], "_hash": row["_hash"], "digest": row["digest"], "size": row["size"]}
-                yield pa.RecordBatch.from_arrays([pa.array([made.get(f.name)], f.type) for f in schema], schema=schema)
-                continue
+        whole = pa.Table.from_batches([batch])
+        documents = whole.filter(whole["keys"].is_null())
+        made = [documents[f.name] if f.name in documents.column_names else pa.nulls(len(documents), f.type) for f in schema]
+        yield from pa.table(made, schema=schema).combine_chunks().to_batches()
+        for row in whole.filter(whole["keys"].is_valid()).select(["local", *types]).to_pylist():
             columns = {c: np.frombuffer(row[c], t) for c, t in types.items() if row[c] is not None}
             if row["local"]:
                 yield from table(columns, columns.pop("firsts"))
@@ -296,13 +358,11 @@ def _sets(rows: DataFrame, documents: DataFrame, digests: DataFrame) -> DataFram
     texts = rows.join(at, rows["_id"].eqNullSafe(at["_rid"]) & (rows["_hash"] == at["_rhash"])).select("_text")
 
     def make():
-        hashes = WordHashes()
-
         def step(batch: dict) -> dict:
-            if len(hashes) > 1 << 20:
-                hashes.clear()
-            sets = [shingle_set(t, hashes) for t in batch["_text"]]
-            return {"digest": [digest_of(s) for s in sets], "shingles": [s.tobytes() for s in sets], "bits": [bitmap(s) for s in sets]}
+            values, sizes = shingle_sets(batch["_text"])
+            sets = np.split(values, np.cumsum(sizes)[:-1])
+            digests = digests_of(values, sizes).tolist()
+            return {"digest": digests, "shingles": [x.tobytes() for x in sets], "bits": [bitmap(x).tobytes() for x in sets]}
 
         return step
 
@@ -310,10 +370,25 @@ def _sets(rows: DataFrame, documents: DataFrame, digests: DataFrame) -> DataFram
     return map_rows(texts, make, "digest bigint, shingles binary, bits binary").dropDuplicates(["digest"])
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, bool)
-    bits[shingles % np.uint64(BITMAP)] = True
-    return np.packbits(bits).tobytes()
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits that some shingle names, four times as many as shingles or more, as 64-bit words."""
+    width = max(BITMAP, 4 << max(0, len(shingles) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def may_be_linked(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
+    """False only if the sets surely are not linked: each bit in which the bitmaps differ stands for a shingle of one set alone."""
+    if min(size_a, size_b) * 100 < SIMILAR * max(size_a, size_b):
+        return False
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) <= most_apart(size_a + size_b)
 
 
 def are_linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -323,31 +398,33 @@ def are_linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("digest").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("digest").alias("v"), F.col("shingles").alias("b"))
+    """Of the pairs ``u``, ``v`` those that are linked; bitmaps rule most others out before whole sets are shuffled."""
 
-    def make():
+    def checked(pairs: DataFrame, column: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
+        a = sets.select(F.col("digest").alias("u"), F.col(column).alias("a"), F.octet_length("shingles").alias("m"))
+        b = sets.select(F.col("digest").alias("v"), F.col(column).alias("b"), F.octet_length("shingles").alias("n"))
+        near = F.least("m", "n") * 100 >= SIMILAR * F.greatest("m", "n")
+        return map_rows(pairs.join(a, "u").join(b, "v").where(near), make, "u bigint, v bigint")
+
+    def by(test: Callable[[np.ndarray, np.ndarray, int, int], bool]) -> Callable[[], Callable[[dict], dict]]:
         def step(batch: dict) -> dict:
-            each = zip(batch["u"], batch["v"], batch["a"], batch["b"], strict=True)
-            kept = [(u, v) for u, v, x, y in each if are_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
+            each = zip(*(batch[c] for c in ("u", "v", "a", "b", "m", "n")), strict=True)
+            kept = [(u, v) for u, v, x, y, m, n in each if test(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), m // 8, n // 8)]
             return {"u": [k[0] for k in kept], "v": [k[1] for k in kept]}
 
-        return step
+        return lambda: step
 
-    return map_rows(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), make, "u bigint, v bigint")
+    likely = checked(pairs, "bits", by(may_be_linked))
+    return checked(likely, "shingles", by(lambda x, y, m, n: are_linked(x, y)))
 
 
 def _looked_into(keys: DataFrame, known: DataFrame) -> DataFrame:
     """``key`` and ``digest`` for the keys into which a set must look: its cheapest units, as many as the pigeonhole asks for."""
-    unit = F.when(F.col("unit") > 0, F.col("unit")).otherwise(F.col("key")).alias("which")
-    units = (
-        keys.repartition("digest", "band")
-        .groupBy("digest", "band", unit, (F.col("unit") > 0).alias("by_deletion"))
-        .agg(F.first("size").alias("size"), F.sum(F.col("members") - 1).alias("cost"), F.collect_set("key").alias("looked"))
-        .withColumn("worth", F.when(F.col("by_deletion"), 2).otherwise(1))
-    )
+    keys = keys.withColumn("which", F.when(F.col("unit") > 0, F.col("unit")).otherwise(F.col("key")))
+    keys = keys.withColumn("worth", F.when(F.col("unit") > 0, 2).otherwise(1))
+    units = keys.groupBy("digest", "band", "which", "worth").agg(F.first("size").alias("size"), F.sum(F.col("members") - 1).alias("cost"))
     own = Window.partitionBy("digest", "band")
-    rising = own.orderBy(F.col("cost") / F.col("worth"), "which").rowsBetween(Window.unboundedPreceding, -1)
+    rising = own.orderBy(F.col("cost") / F.col("worth"), "worth", "which").rowsBetween(Window.unboundedPreceding, -1)
     chosen = (
         units.join(known, "band")
         .withColumn("shared", F.sum("worth").over(own))
@@ -355,24 +432,27 @@ def _looked_into(keys: DataFrame, known: DataFrame) -> DataFrame:
         .withColumn("need", _most_apart(F.least("size", "end") + F.col("size")) + 1 - (F.col("units") - F.col("shared")))
         .where("before < need")
     )
-    return chosen.select("digest", F.explode("looked").alias("key")).distinct()
+    same = ["digest", "band", "which", "worth"]
+    return keys.select(*same, "key").join(chosen.select(*same), same).select("digest", "key").distinct()
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links across components among the rows (key, i, j, digest, part, block, looks, shingles, bits) of each (key, i, j), side by side."""
+    """Links across components among the rows (key, i, j, digest, part, block, shingles, bits) of each (key, i, j), side by side."""
     held: list[tuple] = []
     now = None
 
     def found() -> list[tuple[int, int]]:
         i, j = now[1:]
-        digests, parts, blocks, looks = (np.array(x) for x in list(zip(*held, strict=True))[:4])
-        sets = [np.frombuffer(x[4], np.uint64) for x in held]
+        digests, parts, blocks = (np.array(x) for x in list(zip(*held, strict=True))[:3])
+        sets = [np.frombuffer(x[3], np.uint64) for x in held]
         sizes = np.array([len(s) for s in sets])
-        bits = np.frombuffer(b"".join(x[5] for x in held), np.uint64).reshape(len(held), -1)
+        bits = [np.frombuffer(x[4], np.uint64) for x in held]
+        width = min(len(x) for x in bits)
+        bits = np.stack([folded(x, width) for x in bits])
         out, joined = [], {p: p for p in set(parts.tolist())}
         for a in range(len(held) - 1):
             b = np.arange(a + 1, len(held))
-            b = b[(parts[b] != parts[a]) & (looks[a] | looks[b]) & ((blocks[b] != blocks[a]) if i != j else True)]
+            b = b[(parts[b] != parts[a]) & ((blocks[b] != blocks[a]) if i != j else True)]
             b = b[np.minimum(sizes[b], sizes[a]) * 100 >= SIMILAR * np.maximum(sizes[b], sizes[a])]
             apart = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1, dtype=np.int64)
             for k in b[apart * (100 + SIMILAR) <= (100 - SIMILAR) * (sizes[b] + sizes[a])].tolist():
@@ -398,7 +478,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(found())
 
 
-def _residual(keys: DataFrame, parts: DataFrame, known: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def _residual(keys: DataFrame, parts: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links between components, or None if no key has sets of two."""
     named = keys.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("part", F.coalesce("component", "digest"))
     named = stored(named.select("key", "digest", "band", "unit", "size", "part"))
@@ -407,25 +487,24 @@ def _residual(keys: DataFrame, parts: DataFrame, known: DataFrame, sets: Callabl
     looked = stored(_looked_into(open_, known))
     if looked.isEmpty():
         return None
-    members = (
-        open_.select("key", "digest", "part")
-        .distinct()
-        .join(looked.select("key").distinct(), "key")
-        .join(looked.withColumn("looks", F.lit(True)), ["key", "digest"], "left")
-        .withColumn("looks", F.coalesce("looks", F.lit(False)))
-    )
-    members = stored(members)
+    members = stored(open_.join(looked.select("key").distinct(), "key").select("key", "digest", "part", "members").distinct())
+    looks = members.join(looked, ["key", "digest"]).where(F.col("members") <= PAIRED)
+    others = members.select("key", F.col("digest").alias("v"), F.col("part").alias("q"))
+    pairs = looks.join(others, "key").where("part <> q").select(F.least("digest", "v").alias("u"), F.greatest("digest", "v").alias("v"))
+    links = _verified(stored(pairs.distinct()), sets)
+    large = members.where(F.col("members") > PAIRED)
+    if large.isEmpty():
+        return links
     # Units often hold the same sets; such a key is searched once.
-    facts = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest", "looks")).alias("all"), F.min("digest").alias("least")]
-    once = members.groupBy("key").agg(*facts).groupBy("n", "all", "least").agg(F.min("key").alias("key"))
+    facts = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("all"), F.min("digest").alias("least")]
+    once = large.groupBy("key").agg(*facts).groupBy("n", "all", "least").agg(F.min("key").alias("key"))
     once = once.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    rows = members.join(once, "key").withColumn("block", block)
+    rows = large.join(once, "key").withColumn("block", block)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "part", "block", "looks")
-    dealt = rows.join(sets(members.select("digest").distinct()), "digest")
-    dealt = dealt.select("key", "i", "j", "digest", "part", "block", "looks", "shingles", "bits").repartition("key", "i", "j")
-    return dealt.sortWithinPartitions("key", "i", "j").mapInArrow(_across, "u bigint, v bigint")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "part", "block")
+    dealt = rows.join(sets, "digest").select("key", "i", "j", "digest", "part", "block", "shingles", "bits").repartition("key", "i", "j")
+    return links.unionByName(dealt.sortWithinPartitions("key", "i", "j").mapInArrow(_across, "u bigint, v bigint"))
 
 
 def linked_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -448,15 +527,14 @@ def linked_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     firsts = keys.where("digest <> first").groupBy("digest", "first").agg(F.count("*").alias("n"))
     pairs = stored(firsts.groupBy(F.col("digest").alias("u")).agg(F.max_by("first", F.struct("n", "first")).alias("v")))
 
-    def sets(digests: DataFrame) -> DataFrame:
-        return _sets(rows, documents, digests)
-
-    ends = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
-    found = components(_verified(pairs, stored(sets(ends))))
+    ends = keys.select("digest").unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
+    sets = stored(_sets(rows, documents, ends))
+    # Written first: the forests of the union-find would run a second Python worker beside each of these.
+    found = components(stored(_verified(pairs, sets)))
     more = _residual(keys.drop("first"), found, known, sets)
     if more is None:
         return documents, found
-    return documents, components(found.where("node <> component").toDF("u", "v").unionByName(more))
+    return documents, components(found.where("node <> component").toDF("u", "v").unionByName(stored(more)))
 
 
 def _arrow(plan: str) -> pa.Schema:

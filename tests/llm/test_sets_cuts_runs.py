@@ -92,7 +92,7 @@ def test_units_of_sets_that_differ_in_few_shingles():
         for _ in range(20):
             base = np.unique(draw.integers(0, 1 << 63, size, np.uint64))
             more = np.unique(np.append(base, draw.integers(0, 1 << 63, 1, np.uint64)))
-            keys = [{b: (k, u) for b, k, u in ngram_join.keys_of(s)} for s in (base, more)]
+            keys = [{b: (k, u) for _, b, k, u in ngram_join.keys_of(s, np.array([len(s)]))} for s in (base, more)]
             for band in set(keys[0]) & set(keys[1]):
                 (a, units), (b, others) = keys[0][band], keys[1][band]
                 shared = set(a.tolist()) & set(b.tolist())
@@ -104,6 +104,26 @@ def test_units_of_sets_that_differ_in_few_shingles():
                 assert (others[m:] > 0).all()
 
 
+def test_sets_of_many_texts(monkeypatch):
+    """Sets made together are those of each text alone, wherever stretches of bytes end."""
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("aA bB\té\n  zİ") for _ in range(draw.randrange(60))) for _ in range(300)]
+    texts += [None, "", " ", "x" * 3_000, "X" * 3_000 + " " + "x" * 2_999, "q r s t"]
+    for stretch in (1, 7, ngram_join.STRETCH):
+        monkeypatch.setattr(ngram_join, "STRETCH", stretch)
+        values, sizes = ngram_join.shingle_sets(texts)
+        digests = ngram_join.digests_of(values, sizes)
+        sets = sets_of(list(enumerate(texts)))
+        assert sizes.tolist() == [len(s) for s in sets]
+        by_set = {}
+        for digest, s in zip(digests.tolist(), sets, strict=True):
+            assert by_set.setdefault(frozenset(s), digest) == digest
+        assert len(set(by_set.values())) == len(by_set)
+        for i in (0, 17, 300, 304):
+            alone, _ = ngram_join.shingle_sets([texts[i]])
+            assert alone.tolist() == values[sizes[:i].sum() : sizes[: i + 1].sum()].tolist()
+
+
 @needs_tables
 def test_join_equals_all_pairs(spark, texts):
     rows = list(texts.items())
@@ -147,6 +167,7 @@ def test_join_of_hot_groups(spark, monkeypatch):
     # Small packs and blocks take the paths of large tables.
     monkeypatch.setattr(ngram_join, "PACKED", 500)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
     monkeypatch.setattr(ngram_join, "CHARS", 4_000)
     assert joined(df.repartition(3)) == want
 
