@@ -40,8 +40,8 @@ SHINGLE, SIMILAR = 5, 80
 GROWTH, MOST_DELETIONS = 1.5, 127
 #: Bytes of text whose sets are made at a time; shingles whose keys a task packs together; characters of text per task that gathers keys.
 BYTES, PACKED, CHARS = 4 << 20, 1 << 18, 10_000_000
-#: Most sets of a key that are paired off, sets of a block in a larger one; least bits that stand for a set.
-PAIRED, BLOCK, BITMAP = 64, 256, 2_048
+#: Most sets of a key that are paired off; sets, and shingles, of a block in a larger one; least bits that stand for a set.
+PAIRED, BLOCK, BLOCK_SHINGLES, BITMAP = 64, 2_048, 1 << 20, 2_048
 #: Bytes hashed at a time, and from which length words are hashed one by one.
 STRETCH, LONG = 1 << 18, 256
 
@@ -487,7 +487,7 @@ def _residual(keys: DataFrame, parts: DataFrame, known: DataFrame, sets: DataFra
     looked = stored(_looked_into(open_, known))
     if looked.isEmpty():
         return None
-    members = stored(open_.join(looked.select("key").distinct(), "key").select("key", "digest", "part", "members").distinct())
+    members = stored(open_.join(looked.select("key").distinct(), "key").select("key", "digest", "part", "members", "size").distinct())
     looks = members.join(looked, ["key", "digest"]).where(F.col("members") <= PAIRED)
     others = members.select("key", F.col("digest").alias("v"), F.col("part").alias("q"))
     pairs = looks.join(others, "key").where("part <> q").select(F.least("digest", "v").alias("u"), F.greatest("digest", "v").alias("v"))
@@ -496,9 +496,9 @@ def _residual(keys: DataFrame, parts: DataFrame, known: DataFrame, sets: DataFra
     if large.isEmpty():
         return links
     # Units often hold the same sets; such a key is searched once.
-    facts = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("all"), F.min("digest").alias("least")]
-    once = large.groupBy("key").agg(*facts).groupBy("n", "all", "least").agg(F.min("key").alias("key"))
-    once = once.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    facts = [blocks, F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("all"), F.min("digest").alias("least")]
+    once = large.groupBy("key").agg(*facts).groupBy("blocks", "n", "all", "least").agg(F.min("key").alias("key")).select("key", "blocks")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     rows = large.join(once, "key").withColumn("block", block)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
