@@ -35,7 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(toxicity.may_learn()))
     return toxicity.score(docs, model).select(
-        "doc_id", (~toxicity.may_learn()).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence"
+        "doc_id", F.coalesce(~toxicity.may_learn(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence"
     )
 
 

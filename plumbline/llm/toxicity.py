@@ -1,8 +1,9 @@
 """Toxicity scores from the nearest labelled examples by TF-IDF cosine, found with a block-max inverted index.
 
-Terms are runs of letters in lower case. Which terms tell the classes apart is learnt from the examples (chi-square), how rare
-they are from all documents; the cosine is over those terms alone, as over all terms the neighbours are alike in subject, not in
-tone. Where no term tells and the examples are few, all their terms are indexed. The examples are a sample of the labelled rows, at most ``EXAMPLES`` of them; what the tasks get
+Terms are runs of letters in lower case. Which terms tell the classes apart is learnt from the examples, how rare they are from
+all documents; the cosine is over those terms alone, as over all terms the neighbours are alike in subject, not in tone. A term
+tells by its evidence, the log-odds against a split as uneven as its own by chance: of the ``TERMS`` with the highest chi-square
+as many are taken as leave at most a share of ``FALSE`` to chance (Benjamini and Hochberg), by one rule for few examples and many. The examples are a sample of the labelled rows, at most ``EXAMPLES`` of them; what the tasks get
 is their index, whose size that number and ``TERMS`` bound. A search adds up each block's best possible cosine over the terms of
 the text, visits blocks from the best bound down, and stops when no block can beat the k-th cosine found: the neighbours are
 exact. Their votes, weighted by closeness and drawn towards the overall rate, are mapped to the toxic share of examples with
@@ -26,10 +27,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_rows
 
-#: Most labelled rows that become examples, most terms, least chi-square of a term, least ratio between the classes' shares.
-EXAMPLES, TERMS, CHI_SQUARE, RATIO = 20_000, 512, 40.0, 3.0
-#: Most examples of which all terms are indexed where none tells the classes apart.
-FEW = 400
+#: Most labelled rows that become examples, most terms, share of them that may tell by chance, least ratio between the classes' shares.
+EXAMPLES, TERMS, FALSE, RATIO = 20_000, 512, 0.05, 3.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Blocks visited at a time, the error allowed for in sums of weights, and the vectors whose scores a task keeps.
 AT_ONCE, EPS, CACHED = 4, 1e-9, 20_000
@@ -59,7 +58,10 @@ def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
 
 def telling_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
-    """The terms with the highest chi-square between the classes; all terms of few examples where none is high enough."""
+    """The terms that tell the classes apart, those with the highest chi-square first.
+
+    A term's evidence is n * KL(its own split, the split of the examples); by chance it is as high with odds of exp(-evidence) at most.
+    """
 
     def make():
         def step(batch: dict) -> dict:
@@ -76,18 +78,25 @@ def telling_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
     if not c or not t:
         return []
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    chi = (c + t) * F.pow(a * (c - b) - b * (t - a), 2) / (F.lit(float(c * t)) * (a + b) * F.greatest(c + t - a - b, F.lit(1.0)))
+
+    def part(x, rate: float):
+        return F.when(x > 0, x * F.log(x / (a + b) / F.lit(rate))).otherwise(F.lit(0.0))
+
     share, other = (a + 0.5) / (t + 1), (b + 0.5) / (c + 1)
     counted = map_rows(sample, make, "term string, clean bigint, toxic bigint").groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
     )
-    found = counted.withColumn("chi", chi).where(
-        (F.col("chi") >= CHI_SQUARE) & (F.greatest(share / other, other / share) >= RATIO)
-    )
-    telling = [r["term"] for r in found.orderBy(F.desc("chi"), "term").limit(most).select("term").collect()]
-    if telling or c + t > FEW:
-        return telling
-    return [r["term"] for r in counted.select("term").orderBy("term").collect()]
+    chi = F.pow(a * (c - b) - b * (t - a), 2) / ((a + b) * F.greatest(c + t - a - b, F.lit(1.0)))
+    counted = counted.withColumn("chi", chi).withColumn("evidence", part(a, t / (c + t)) + part(b, c / (c + t)))
+    # Terms so rare that no split of theirs could tell do not count among the tried ones.
+    tried = counted.where((a + b) * -math.log(min(c, t) / (c + t)) >= -math.log(FALSE)).count()
+    best = (
+        counted.where(F.greatest(share / other, other / share) >= RATIO)
+        .orderBy(F.desc("chi"), "term").limit(most).select("term", "evidence").collect()
+    )
+    needed = [math.log(max(1, tried) / (FALSE * n)) for n in range(1, len(best) + 1)]
+    least = min((x for x, y in zip(needed, sorted((r["evidence"] for r in best), reverse=True), strict=True) if y >= x), default=math.inf)
+    return [r["term"] for r in best if r["evidence"] >= least]
 
 
 def document_shares(docs: DataFrame, text: str, chosen: list[str]) -> dict[str, float]:

@@ -76,6 +76,45 @@ def test_few_examples_have_neighbours(spark):
     assert [e["toxic"] for i in (90, 91) for e in got[i]["evidence"]] == [1, 1, 1, 0, 0, 0] and not got[92]["evidence"]
 
 
+@pytest.mark.parametrize("n", [400, 401, 4_000])
+def test_rare_telling_words_at_any_number_of_examples(spark, n):
+    """Thirty of a hundred examples are toxic, each by one of 21 words: all of the words are learnt, whatever the number."""
+    rng = random.Random(3)
+    vocabulary = [f"w{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijkl"]
+    bad = [f"bad{c}" for c in "abcdefghijklmnopqrstu"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=12) + [bad[(i // 10 * 3 + i % 10) % 21]] * (i % 10 < 3))) for i in range(n)]
+    probes = [(10_000 + k, " ".join([*rng.choices(vocabulary, k=12), w])) for k, w in enumerate(bad)]
+    clean = [(20_000 + k, " ".join(rng.choices(vocabulary, k=12))) for k in range(300)]
+    docs = spark.createDataFrame(rows + probes + clean, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 < 3)) for i in range(n)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert sum(got[i] >= queries.REJECT for i, _ in probes) >= 0.9 * len(probes)
+    # A share of FALSE of the terms may tell by chance.
+    assert sum(got[i] >= queries.REJECT for i, _ in clean) <= toxicity.FALSE * len(clean)
+
+
+def test_pages_that_never_end():
+    """A megabyte of markup without an end takes time in proportion; what is hidden is told as a plain pattern tells it."""
+    import re
+    import time
+
+    for hard in ("<script>", "<!--", "<html ", "<", "<html lang", "</script ", "<style><script>"):
+        page = hard * (1_000_000 // len(hard))
+        began = time.perf_counter()
+        language.visible(page), language.declared_language(page)
+        assert time.perf_counter() - began < 2, hard
+    hidden = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.IGNORECASE | re.DOTALL)
+    stated = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
+    rng = random.Random(4)
+    parts = ["<script", "</script >", "<STYLE>", "</style>", "<!--", "-->", "<html ", " lang = 'de'", "lang=fr", ">", "<", "a", " ", "-"]
+    for _ in range(3_000):
+        page = "".join(rng.choices(parts, k=rng.randrange(14)))
+        assert language.shown(page) == hidden.sub(" ", page)
+        assert language.TAG.sub(" ", hidden.sub(" ", page)) == language.visible(page)
+        found = stated.search(page)
+        assert language.declared_language(page) == (found[1].lower() if found else "")
+
+
 @pytest.fixture(scope="module")
 def passages(spark):
     rng = random.Random(7)
