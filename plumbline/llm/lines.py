@@ -29,6 +29,10 @@ SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 10, 3
 #: Characters whose signatures are made at a time; lines of a block in a large
 #: bucket; bits that stand for a line's shingles; lines whose bits are made at a time.
 CHARS, BLOCK, BITMAP, AT_ONCE = 1 << 20, 400, 2_048, 1_024
+#: Words of a bitmap that are compared first.
+HEAD = 8
+#: Ids that a task remembers as signed; it forgets them all when there are more, and signs such a line once more.
+REMEMBERED = 1 << 18
 
 _random = np.random.default_rng(9)
 SHINGLE_FACTORS = _random.integers(1, 1 << 32, SHINGLE, np.uint32) | np.uint32(1)
@@ -127,10 +131,12 @@ def line_id(line: str) -> int:
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """A row for each line that is not blank: ``id``, ``_id``, ``_hash``, ``line``, and ``keys`` once for each id of a batch."""
+    """A row for each line that is not blank: ``id``, ``_id``, ``_hash``, ``line``, and ``keys`` once for each id that a task remembers."""
     kind = rows.schema["_id"].dataType.simpleString()
 
     def make():
+        signed: set[int] = set()
+
         def step(batch: dict) -> dict:
             out: dict[str, list] = {c: [] for c in ("id", "_id", "_hash", "line")}
             keys: list = []
@@ -151,7 +157,8 @@ def _occurrences(rows: DataFrame) -> DataFrame:
                     if not line or line.isspace():
                         continue
                     i = line_id(line)
-                    if i not in at:
+                    if i not in signed:
+                        signed.add(i)
                         at[i], new[i] = len(keys), line
                         size += len(line)
                     for c, v in zip(out.values(), (i, key, same, n), strict=True):
@@ -160,6 +167,8 @@ def _occurrences(rows: DataFrame) -> DataFrame:
                     if size >= CHARS:
                         sign()
             sign()
+            if len(signed) > REMEMBERED:
+                signed.clear()
             return out | {"keys": keys}
 
         return step
@@ -167,20 +176,15 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return map_rows(rows, make, f"id bigint, _id {kind}, _hash bigint, line int, keys array<bigint>")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, id) sorted by both: ``key``, ``id`` and the bucket's first id, for every other id of a bucket."""
-    last: tuple[int, int, int] | None = None  # key, id, first id
-    for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        begins = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
-        same = np.concatenate([[last is not None and (key[0], ids[0]) == last[:2]], (key[1:] == key[:-1]) & (ids[1:] == ids[:-1])])
-        first_at = np.maximum.accumulate(np.where(begins, np.arange(len(key)), -1))
-        first = np.where(first_at >= 0, ids[first_at], last[2] if last else 0)
-        use = ~same & (ids != first)
-        last = (int(key[-1]), int(ids[-1]), int(first[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, ids, first)], names=["key", "id", "first"])
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """From rows (key, id): ``key``, ``id`` and the bucket's first id, for every other id of a bucket.
+
+    Most keys have one id. The rows are shuffled once, for the keys with several ids and for their members.
+    """
+    # With the filters that the join asks for on both sides, they share one exchange.
+    dealt = keyed.where("key IS NOT NULL AND id IS NOT NULL").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    return dealt.join(shared.drop("last").hint("shuffle_hash"), "key").where("id <> first").dropDuplicates(["key", "id"])
 
 
 def _fetched(rows: DataFrame, occurrences: DataFrame, ids: DataFrame) -> DataFrame:
@@ -217,7 +221,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             a, b = batch["a"], batch["b"]
             lengths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
             may = may_be(apart_in(stacked(batch["c"]), stacked(batch["d"])), *lengths)
-            kept = [i for i in np.flatnonzero(may).tolist() if similar(shingles(a[i]), shingles(b[i]))]
+            kept, of, own = [], None, set()
+            for i in np.flatnonzero(may).tolist():
+                if b[i] != of:  # pairs with the same second line mostly lie together
+                    of, own = b[i], shingles(b[i])
+                if similar(shingles(a[i]), own):
+                    kept.append(i)
             return {"u": [batch["u"][i] for i in kept], "v": [batch["v"][i] for i in kept]}
 
         return step
@@ -234,6 +243,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = now[1:]
         ids, part, block, texts, bitmaps_ = zip(*held, strict=True)
         label, blocks, bits = np.unique(part, return_inverse=True)[1], np.array(block), stacked(bitmaps_)
+        head = np.ascontiguousarray(bits[:, :HEAD])
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         sets: dict[int, set[str]] = {}
 
@@ -245,6 +255,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for a in range(len(held) - 1):
             b = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & ((blocks[a + 1 :] != block[a]) if i != j else True))
+            # Too many differing bits in the first words already rule most lines out.
+            b = b[may_be(apart_in(head[b], head[a]), lengths[b], lengths[a])]
             for k in b[may_be(apart_in(bits[b], bits[a]), lengths[b], lengths[a])].tolist():
                 if label[k] != label[a] and similar(set_of(a), set_of(k)):
                     out.append((ids[a], ids[k]))
@@ -296,7 +308,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """``_id``, ``_hash`` and ``gone``, the numbers of the lines to remove, for ``docs`` (``_id``, ``_hash``, ``_text``)."""
     occurrences = stored(_occurrences(docs))
     keyed = occurrences.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "id")
-    buckets = stored(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets, "key bigint, id bigint, first bigint"))
+    buckets = stored(_buckets(keyed))
     pairs = stored(buckets.select(F.col("id").alias("u"), F.col("first").alias("v")).distinct())
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     texts = stored(_fetched(docs, occurrences, ids))
