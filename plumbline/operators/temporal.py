@@ -36,18 +36,37 @@ _DATES = (
 )
 _TIMES = (
     ("", ""),
+    (r"( |T)\d{6}", "HHmmss"),
     (r"( |T)\d{2}:\d{2}", "HH:mm"),
     (r"( |T)\d{2}:\d{2}:\d{2}", "HH:mm:ss"),
     (r"( |T)\d{2}:\d{2}:\d{2}\.\d{1,9}", "HH:mm:ss.SSSSSSSSS"),
     (r"( |T)\d{1,2}:\d{2} [AP]M", "h:mm a"),
     (r"( |T)\d{1,2}:\d{2}:\d{2} [AP]M", "h:mm:ss a"),
 )
+# A weekday may stand before a date with a month's name, in full or by its first three letters.
+_WEEKDAY = re.compile(rf"(?:({'|'.join(WEEKDAYS)})|(?:{'|'.join(d[:3] for d in WEEKDAYS)})), ", re.IGNORECASE)
 # What may follow a time of day.
 _ZONES = (("", ""), (r"(?:Z|[+-]\d{2}:\d{2})", "XXX"), (r"[+-]\d{4}", "xx"))
 
 
+# Begins the pattern of texts that have a weekday before the date.
+WEEKDAY_MARK = "weekday:"
+
+
+def named(value: str) -> str:
+    """The text with every word of three letters or more capitalised, as patterns want names of months."""
+    return re.sub(r"[A-Za-z]{3,}", lambda m: m[0].capitalize(), value)
+
+
 def guess_pattern(value: str) -> str | None:
-    """The datetime pattern a text follows, or None. Slashes and dashes put the month first unless it exceeds 12."""
+    """The datetime pattern a text follows, or None. Slashes and dashes put the month first unless it exceeds 12.
+
+    Names of months and weekdays count in any case. A weekday before a date is skipped, whether or not it is the date's own.
+    """
+    weekday = _WEEKDAY.match(value)
+    if weekday:
+        rest = guess_pattern(value[weekday.end() :])
+        return f"{WEEKDAY_MARK}{rest}" if rest and "MMM" in rest else None
     dates = list(_DATES)
     ambiguous = re.match(r"(\d{1,2})([/-])\d{1,2}[/-](\d{4}|\d{2})(?!\d)", value)
     if ambiguous:
@@ -59,7 +78,7 @@ def guess_pattern(value: str) -> str | None:
     for date_shape, date_pattern in dates:
         for time_shape, time_pattern in _TIMES:
             for zone_shape, zone_pattern in _ZONES if time_pattern else _ZONES[:1]:
-                found = re.fullmatch(date_shape + time_shape + zone_shape, value)
+                found = re.fullmatch(date_shape + time_shape + zone_shape, named(value))
                 if found:
                     joint = "" if not time_pattern else "'T'" if found.group(1) == "T" else " "
                     return date_pattern + joint + time_pattern + zone_pattern
@@ -95,7 +114,18 @@ class DatetimeColumn:
 
 
 def _read(c: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in patterns])
+    def one(pattern: str) -> Column:
+        text = c
+        if "MMM" in pattern:
+            if pattern.startswith(WEEKDAY_MARK):
+                # A text without a weekday, or with another word before the comma, does not follow such a pattern.
+                text = F.when(text.rlike(rf"(?i)^{_WEEKDAY.pattern}"), F.regexp_replace(text, r"^[A-Za-z]+, ", ""))
+            # The only words are the month, a joining T, AM or PM, and Z: lower letters but the first of each run.
+            month = F.regexp_extract(text, r"[A-Za-z]{3,}", 0)
+            text = F.when(month == "", text).otherwise(F.replace(text, month, F.initcap(month)))
+        return F.try_to_timestamp(text, F.lit(pattern.removeprefix(WEEKDAY_MARK)))
+
+    return F.coalesce(*[one(p) for p in patterns])
 
 
 def _first_values(p: Profile) -> dict[str, list[str]]:

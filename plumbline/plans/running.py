@@ -10,11 +10,13 @@ WINDOW_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the session's ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which executors share too."""
+    """Use the session's ``spark.checkpoint.dir``; executors must share it, so none is made up where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        if not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared)
 
 
 def running_total(

@@ -96,7 +96,8 @@ FORMATS = [
     ("%Y-%m-%dT%H:%M:%SZ", "2020-03-15 10:20:30"), ("%Y-%m-%dT%H:%M:%S+02:00", "2020-03-15 08:20:30"), ("%d.%m.%Y", "2020-03-15 00:00:00"),
     ("%B %d, %Y", "2020-03-15 00:00:00"), ("%Y-%m-%d %I:%M %p", "2020-03-15 10:20:00"), ("%d-%b-%Y", "2020-03-15 00:00:00"),
     ("%m/%d/%y", "2020-03-15 00:00:00"), ("%Y-%m", "2020-03-01 00:00:00"), ("%d %B %Y", "2020-03-15 00:00:00"),
-    ("%Y-%m-%d %H:%M:%S.%f+0000", "2020-03-15 10:20:30"),
+    ("%Y-%m-%d %H:%M:%S.%f+0000", "2020-03-15 10:20:30"), ("%a, %d %b %Y", "2020-03-15 00:00:00"),
+    ("%A, %B %d, %Y", "2020-03-15 00:00:00"), ("%Y%m%dT%H%M%S", "2020-03-15 10:20:30"),
 ]
 
 
@@ -110,6 +111,19 @@ def test_text_dates_are_found(spark, shape, first):
     assert df.select(F.date_format(F.min(column.parsed), "yyyy-MM-dd HH:mm:ss")).first()[0] == first
 
 
+@pytest.mark.parametrize("written", ["15-jan-2020", "JAN 15, 2020", "wednesday, january 15, 2020 10:00 AM", "15 Jan 2020T10:00:00Z"])
+def test_text_dates_in_any_case(spark, written):
+    df = spark.createDataFrame([(written,)] * 3, "t string")
+    p = Profile(df)
+    assert temporal.detect_datetime(p).first()["parse_success"] == 100.0
+    assert str(df.select(F.to_date(temporal._detected(p)[0][0].parsed)).first()[0]) == "2020-01-15"
+
+
+def test_other_words_before_a_date_are_no_weekday(spark):
+    df = spark.createDataFrame([("Due, 15 Jan 2020",)] * 3, "t string")
+    assert not temporal.detect_datetime(Profile(df)).first()["detected"]
+
+
 def test_csv_as_it_is_written(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text('a,b\n1,"two\nlines"\n2,"say ""x"""\n3\n')
