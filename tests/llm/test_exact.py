@@ -4,7 +4,9 @@ import base64
 import collections
 import hashlib
 import os
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,8 +111,6 @@ def test_secrets_of_very_long_texts():
 
 def test_secrets_behind_the_first_characters():
     """A secret after more than 256 known characters is found, and strings without one stay unreported."""
-    import random
-
     novelty = secrets.Novelty(secrets.IDENTIFIER_DICTIONARY + secrets.CODE_DICTIONARY)
     key = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=200))
     for known in ("x" * 300, "=" * 600, "/public/static" * 40):
@@ -120,6 +120,44 @@ def test_secrets_behind_the_first_characters():
     assert secrets.novel_spans("token" * 100_000 + key, [], novelty)
 
 
+CONTEXTS = [
+    "use the bearer header ", "please use the bearer header ", "The password for this account is ", "credential for the machine: ",
+    "Authorization: Bearer ", "set your api-key to ", "client secret here ", "const pwd = cfg.get('x') || '", "passphrase ",
+    "In a long paragraph about how the service was put together last year by people who since left, the signing key was ",
+]
+
+
+@pytest.mark.parametrize("alphabet", [string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase])
+@pytest.mark.parametrize("length", [16, 20, 28, 40])
+def test_random_keys_are_found_whatever_stands_before_them(alphabet, length):
+    """In each context at least nine of ten keys, with and without words of a corpus in the dictionary."""
+    draw = random.Random(length)
+    words = ["".join(draw.choices(string.ascii_lowercase, k=draw.randint(6, 14))) for _ in range(3_000)]
+    corpus = secrets.common_strings([" ".join(draw.sample(words, len(words))) for _ in range(4)])
+    for known in ("", corpus):
+        novelty = secrets.Novelty(known + secrets.IDENTIFIER_DICTIONARY + secrets.CODE_DICTIONARY)
+        for before in CONTEXTS:
+            keys = ["".join(draw.choices(alphabet, k=length)) for _ in range(40)]
+            found = [secrets.novel_spans(f"{before}{k} now", [], novelty) for k in keys]
+            assert sum(f == [("novel", len(before), len(before) + length)] for f in found) >= 36, before
+
+
+def test_words_of_the_corpus_are_learnt_and_its_keys_are_not(spark):
+    """A string after three different words is known; one that copies repeat after the same word stays a secret."""
+    word, key = "Verwaltungsgericht", "Zx81kQpL0vTt93WmNb2"
+    texts = [f"{i} now {w} {word} then more {i}" for i, w in enumerate(["the", "some", "each", "no"])]
+    texts += [f"{i} use the bearer header {key} of the token {word} here" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = secrets.corpus_dictionary(docs)
+    assert word in known.split() and key not in known
+    spans = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
+    assert all(spans[i] == ([key] if i >= 4 else []) for i in range(len(texts)))
+    strange = {r["doc_id"]: len(r["spans"]) for r in secrets.find_secrets(docs, corpus="").collect()}
+    assert strange[10] == 2  # without the corpus the word is as new as the key
+    assert secrets.corpus_dictionary(docs.where("false")) == ""
+    assert secrets.corpus_dictionary(docs.selectExpr("doc_id", "CAST(NULL AS STRING) AS text")).strip() == ""
+
+
 def test_spans_of_awkward_rows(spark, awkward):
     """One row of spans for each row, base spans as the patterns give them, and none for null, empty or blank texts."""
     rows = sorted(((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in awkward.select("doc_id", "text").collect()), key=str)
@@ -228,8 +266,6 @@ def test_one_of_near_copies_stays(spark, texts, awkward):
 
 
 def test_gray_index_finds_every_link(spark, monkeypatch):
-    import random
-
     rng = random.Random(1)
     seeds = [rng.getrandbits(64) for _ in range(40)]
     prints = {s ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for s in seeds for _ in range(20)}
@@ -323,8 +359,6 @@ def test_lines_of_a_very_long_text(spark):
 
 def test_lines_are_compared_across_components(spark, monkeypatch):
     # c is near b only, b is near a only through c: the first line of the bucket alone would miss the link.
-    import random
-
     text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz ", k=400))
     a, b, c = text, text[:330] + "#" * 70, text[:365] + "#" * 35
     data = [(n, k, t) for n, (k, t) in enumerate([(1, a), (2, b), (3, c)])]
@@ -393,8 +427,6 @@ def test_fingerprint_votes(spark):
 
 
 def test_block_tables_find_every_near_fingerprint(spark):
-    import random
-
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(30)]
     prints = base + [b ^ sum({1 << rng.randrange(64) for _ in range(k)}) for b in base for k in (1, 2, 3, 4, 5)]
@@ -407,8 +439,6 @@ def test_block_tables_find_every_near_fingerprint(spark):
 
 
 def test_bitmaps_never_rule_out_similar_lines():
-    import random
-
     rng = random.Random(4)
     for _ in range(300):
         a = "".join(rng.choices("abcdefgh ", k=rng.randrange(1, 400)))
@@ -422,8 +452,6 @@ def test_bitmaps_never_rule_out_similar_lines():
 
 def test_bands_find_lines_at_the_least_similarity():
     """Lines of 79 characters that differ in one stay at 0.8; fewer than 0.15 % of such pairs share no band."""
-    import random
-
     rng = random.Random(17)
     one = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=79)) for _ in range(10_000)]
     other = [x[:40] + "#" + x[41:] for x in one]
