@@ -55,6 +55,25 @@ def one_hot(spark, sf_dir):
     return prepare.one_hot(ORDERS.frame(spark, sf_dir).select("o_orderkey", "o_orderpriority"), "o_orderpriority")
 
 
+_USERS = "CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END"
+
+
+@query(
+    "one_hot_sparse",
+    f"WITH src AS (SELECT event_id, {_USERS} AS u FROM events), codes AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS place"
+    " FROM src WHERE u IS NOT NULL GROUP BY u) SELECT event_id, (SELECT count(*) FROM codes) AS size, place,"
+    " CAST(place IS NOT NULL AS DOUBLE) AS ones FROM src LEFT JOIN codes USING (u)",
+)
+def one_hot_sparse(spark, sf_dir):
+    """One place for each user, without a limit on their number."""
+    df = EVENTS.frame(spark, sf_dir).selectExpr("event_id", f"{_USERS} AS u")
+    v = F.col("u_one_hot")
+    ones = F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x)
+    return prepare.one_hot_sparse(df, "u").select(
+        "event_id", v["size"].alias("size"), F.get(v["indices"], F.lit(0)).alias("place"), ones.alias("ones")
+    )
+
+
 @query(
     "frequency_encode",
     f"SELECT o_orderkey, o_custkey, {r('count(*) OVER (PARTITION BY o_custkey) / CAST(count(*) OVER () AS DOUBLE)', 8)} AS o_custkey_freq FROM orders",

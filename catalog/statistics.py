@@ -242,6 +242,43 @@ def scatter3d_sample(spark, sf_dir):
     return charts.scatter3d_sample(ORDERS.profile(spark, sf_dir))
 
 
+def _cells_sql(src: str, columns: list[str], halvings: int, most: int = 100) -> str:
+    """Adaptive cells of complete, finite columns, level by level."""
+    axes = range(len(columns))
+    facts = ", ".join(f"min({c}) AS mn{i}, CAST(max({c}) - min({c}) AS DOUBLE) AS sp{i}" for i, c in enumerate(columns))
+    fine = ", ".join(
+        f"least(CAST(floor(({c} - mn{i}) / (sp{i} / {1 << halvings})) AS BIGINT), {(1 << halvings) - 1}) AS a{i}" for i, c in enumerate(columns)
+    )
+    keys = ", ".join(f"a{i}" for i in axes)
+    up = ", ".join(f"a{i} >> ({halvings} - level) AS a{i}" for i in axes)
+    parent = " AND ".join(f"c.a{i} >> 1 = s.a{i}" for i in axes)
+    bounds = ", ".join(
+        f"{r(f'mn{i} + c.a{i} * (sp{i} / pow(2.0, c.level))')} AS low_{i}, {r(f'mn{i} + (c.a{i} + 1) * (sp{i} / pow(2.0, c.level))')} AS high_{i}"
+        for i in axes
+    )
+    titles = ", ".join(f"'{c}' AS column_{i}" for i, c in enumerate(columns))
+    return (
+        f"WITH src AS {src}, box AS (SELECT {facts} FROM src), fine AS (SELECT {fine}, count(*) AS n FROM src, box GROUP BY ALL),"
+        f" lev AS (SELECT level, {up}, CAST(sum(n) AS BIGINT) AS n FROM fine, range({halvings + 1}) t(level) GROUP BY ALL)"
+        f" SELECT {titles}, CAST(c.level AS INTEGER) AS level, {bounds}, c.n AS count FROM box, lev c"
+        f" LEFT JOIN lev s ON s.level = c.level - 1 AND {parent}"
+        f" WHERE (c.n <= {most} OR c.level = {halvings}) AND (c.level = 0 OR s.n > {most})"
+    )
+
+
+@query("scatter_cells", _cells_sql(PRICES.sql, ["l_extendedprice", "owed"], 8))
+def scatter_cells(spark, sf_dir):
+    return charts.scatter_cells(PRICES.profile(spark, sf_dir))
+
+
+_NUMBERS_3D = Source("lineitem", "l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("scatter3d_cells", _cells_sql(_NUMBERS_3D.sql, list(_NUMBERS_3D.columns), 5))
+def scatter3d_cells(spark, sf_dir):
+    return charts.scatter3d_cells(_NUMBERS_3D.frame(spark, sf_dir))
+
+
 @query(
     "numeric_profile_infinite",
     f"WITH src AS {INFINITE.sql}, b AS (SELECT CASE WHEN isinf(value) THEN NULL ELSE value END AS v, value FROM src)"

@@ -20,6 +20,8 @@ from plumbline.plans.small import local, pinned
 from plumbline.profile import Profile, as_profile
 
 MOST_BINS = 200
+# How often the sides of a scatter cell are halved at most, by the number of dimensions; 65,536 and 32,768 of the finest cells.
+HALVINGS = {1: 12, 2: 8, 3: 5}
 
 
 def _bin_count(n: int, low: float, high: float, iqr: float) -> int:
@@ -190,6 +192,73 @@ def scatter3d_sample(table: DataFrame | Profile, n: int | None = None) -> DataFr
     return _points(p, [c.name for c in p.numeric[:3]], n)
 
 
+def _finest_cells(p: Profile, names: list[str], halvings: int) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """``(at_0, at_1, ..., n)`` of the complete cases in a regular grid, places null beside an infinity, and each axis' start and range."""
+    finite, places, axes = _finite_facts(p), [], []
+    for i, name in enumerate(names):
+        facts = p.count_rows[name]
+        _, low, high, _ = finite.get(name, (0, facts["min_num"], facts["max_num"], None))
+        low, high = (0.0, 1.0) if low is None else (low, high if high > low else low + 1.0)
+        x, last = p.column(name).number(), (1 << halvings) - 1
+        at = F.least(F.floor((x - F.lit(low)) / F.lit((high - low) / (1 << halvings))).cast("int"), F.lit(last))
+        places.append(F.when(F.abs(x) < float("inf"), at).alias(f"at_{i}"))
+        axes.append((low, high - low))
+    points = complete_cases(p, names).select(*places)
+    beside = F.greatest(*[F.col(f"at_{i}").isNull().cast("int") for i in range(len(names))], F.lit(0)) == 1
+    inside = [F.when(~beside, F.col(f"at_{i}")).alias(f"at_{i}") for i in range(len(names))]
+    return points.select(*inside).groupBy(*[f"at_{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("n")), axes
+
+
+def cells(table: DataFrame | Profile, columns: list[str], most: int = 100, halvings: int | None = None) -> DataFrame:
+    """Complete cases of one to three numeric columns counted in cells that are smaller where there are more points.
+
+    The box of all finite values is one cell; a cell of more than ``most`` points is halved along every axis, at most
+    ``halvings`` times. Every complete case is in one cell, so the counts add up to them; those with an infinite value
+    are counted in a row without ``level`` and bounds. One scan counts the finest cells, map-side first; the coarser ones
+    are sums of these. An empty table has no rows.
+    """
+    p = as_profile(table)
+    axes_n = len(columns)
+    halvings = HALVINGS[axes_n] if halvings is None else halvings
+    finest, axes = _finest_cells(p, columns, halvings)
+    names = [f"at_{i}" for i in range(axes_n)]
+    finest = pinned(finest)  # no more rows than the finest cells
+    inside = finest.where("at_0 IS NOT NULL").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(halvings))))
+    coarse = [F.expr(f"shiftright({c}, {halvings} - level)").alias(c) for c in names]
+    levels = inside.select("level", *coarse, "n").groupBy("level", *names).agg(F.sum("n").alias("n"))
+    split = levels.where((F.col("n") > most) & (F.col("level") < halvings))
+    below = split.select((F.col("level") + 1).alias("level"), *[F.col(c).alias(f"_{c}") for c in names])
+    on = [F.col("c.level") == F.col("s.level"), *[F.expr(f"shiftright(c.{c}, 1) = s._{c}") for c in names]]
+    ends = levels.where((F.col("n") <= most) | (F.col("level") == halvings)).alias("c")
+    kept = ends.where("level = 0").unionByName(ends.where("level > 0").join(below.alias("s"), on, "left_semi"))
+    bounds = []
+    for i, (low, span) in enumerate(axes):
+        side = f"({span!r}D / power(2.0D, level))"
+        bounds += [
+            rnd(f"{low!r}D + {names[i]} * {side}", 4).alias(f"low_{i}"),
+            rnd(f"{low!r}D + ({names[i]} + 1) * {side}", 4).alias(f"high_{i}"),
+        ]
+    titles = [F.lit(c).alias(f"column_{i}") for i, c in enumerate(columns)]
+    unplaced = finest.where("at_0 IS NULL").withColumn("level", F.lit(None).cast("int"))
+    return kept.unionByName(unplaced.select(*kept.columns)).select(*titles, "level", *bounds, F.col("n").alias("count"))
+
+
+def scatter_cells(table: DataFrame | Profile, most: int = 100) -> DataFrame:
+    """The points of the strongest pair, counted in cells; no row without a strong pair."""
+    p = as_profile(table)
+    top = rank_pairs(p).where("strong_rank = 1").first()
+    if top is None:
+        schema = "column_0 string, column_1 string, level int, low_0 double, high_0 double, low_1 double, high_1 double, count bigint"
+        return local(p.spark, [], schema)
+    return cells(p, [top["column_a"], top["column_b"]], most)
+
+
+def scatter3d_cells(table: DataFrame | Profile, most: int = 100) -> DataFrame:
+    """Complete cases of the first three numeric columns, counted in cells."""
+    p = as_profile(table)
+    return cells(p, [c.name for c in p.numeric[:3]], most)
+
+
 def datetime_bars(table: DataFrame | Profile) -> DataFrame:
     """Rows per year, month and weekday of the first datetime column."""
     p = as_profile(table)

@@ -11,6 +11,7 @@ from plumbline.operators.cardinality import constant_columns
 from plumbline.operators.numeric import skewness_kurtosis
 from plumbline.operators.semantics import ignored_columns
 from plumbline.plans.lookup import lookup
+from plumbline.plans.running import running_total
 from plumbline.profile import Profile, as_profile
 
 # Most indicator columns one column may turn into.
@@ -60,19 +61,47 @@ def impute_mode(table: DataFrame | Profile, columns: list[str] | None = None) ->
 def one_hot(table: DataFrame | Profile, column: str, limit: int = ONE_HOT_LIMIT) -> DataFrame:
     """The column replaced by one 0/1 column per value, named ``<column>_<value>`` in value order.
 
-    Raises an error for more than ``limit`` values; use frequency or target encoding there.
+    Raises an error for more than ``limit`` values; ``one_hot_sparse`` takes any number of them.
     """
     p = as_profile(table)
     c = p.column(column)
     values = p.df.select(c.value().alias("v")).where("v IS NOT NULL").distinct().limit(limit + 1).collect()
     if len(values) > limit:
-        raise ValueError(f"{column} has more than {limit} values; encode it by frequency or target instead")
+        raise ValueError(f"{column} has more than {limit} values; use one_hot_sparse instead")
     flags = {
         f"{column}_{v}": F.coalesce((c.value() == F.lit(v)).cast("int"), F.lit(0)) for v in sorted(r["v"] for r in values)
     }
     return p.df.withColumns(flags).drop(column)
 
 
+def value_codes(table: DataFrame | Profile, column: str) -> DataFrame:
+    """``(<column>, n, code)``: each value of the column, the rows that hold it, and its number from 0 in value order."""
+    p = as_profile(table)
+    value = p.column(column).value()
+    counted = p.df.select(value.alias(column)).where(F.col(quoted(column)).isNotNull()).groupBy(quoted(column))
+    counted = counted.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1).cast("bigint"))
+    numbered = running_total(counted, [F.asc(quoted(column))], "_one", "_number")
+    return numbered.select(quoted(column), "n", (F.col("_number") - 1).alias("code"))
+
+
+def one_hot_sparse(table: DataFrame | Profile, column: str) -> DataFrame:
+    """The column replaced by ``<column>_one_hot``, a sparse vector: its size, the place of the 1 and the 1 itself.
+
+    Places follow the values' order, as the columns of ``one_hot`` do. A missing value gives a vector of zeros. The values
+    are numbered by range partitions and joined to the rows, so there may be any number of them.
+    """
+    p = as_profile(table)
+    codes = value_codes(p, column)
+    size = codes.agg(F.count(F.lit(1)).alias("c")).first()["c"]
+    df, out = p.df, f"{column}_one_hot"
+    joined = lookup(df.withColumn(column, p.column(column).value()), [column], codes.withColumnRenamed("code", out))
+    place = F.col(quoted(out))
+    ones = F.when(place.isNotNull(), F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))
+    places = F.when(place.isNotNull(), F.array(place)).otherwise(F.array().cast("array<bigint>"))
+    vector = F.struct(F.lit(size).cast("bigint").alias("size"), places.alias("indices"), ones.alias("values"))
+    return joined.withColumn(out, vector).select(*[quoted(c) for c in df.columns if c != column], quoted(out))
+
+
 def frequency_encode(table: DataFrame | Profile, column: str) -> DataFrame:
     """Add ``<column>_freq``: the share of the rows that hold the row's value; null for a missing value."""
     p = as_profile(table)

@@ -21,7 +21,7 @@ SAMPLE = [
     "datetime_summary_text", "seasonality", "target_encode_folds", "frequency_encode_hot", "pair_ratio", "recommendations",
     "prep_plan", "pareto_text", "dedupe_rows_gaps", "distinct_profile_large", "id_sequential", "id_sequential_large",
     "scatter3d_sample", "frequency_encode", "distinct_profile", "row_diff", "detect_string_datetime",
-    "preview_sample", "scatter_sample", "frequency_tables", "numeric_quantiles",
+    "preview_sample", "scatter_sample", "scatter_cells", "scatter3d_cells", "one_hot_sparse", "frequency_tables", "numeric_quantiles",
 ]
 
 

@@ -60,6 +60,57 @@ def test_an_infinity_leaves_the_histogram_of_the_others(spark):
     assert sum(r["count"] for r in bins) == 20 and min(r["bin_start"] for r in bins) == 0.0
 
 
+@pytest.mark.parametrize("columns", [["x"], ["x", "y"], ["x", "y", "z"]])
+def test_scatter_cells_hold_every_complete_case(spark, columns):
+    """Counts add up; only cells at the last level hold more than the limit; each holds the points within its bounds."""
+    inf = float("inf")
+    points = [((i * 37 % 101) / 7.0, (i % 10) ** 3 * 1.0, 5.0) for i in range(900)] + [(0.5, 0.5, 5.0)] * 300
+    odd = [(inf, 1.0, 5.0), (1.0, -inf, 5.0), (None, 1.0, 5.0), (1.0, None, 5.0)]
+    df = spark.createDataFrame(points + odd, "x double, y double, z double")
+    found = charts.cells(df, columns, most=40, halvings=6).collect()
+    complete = [p for p in points + odd if None not in p[: len(columns)]]
+    assert sum(r["count"] for r in found) == len(complete)
+    apart = [r["count"] for r in found if r["level"] is None]
+    finite = [p for p in complete if all(abs(v) < inf for v in p[: len(columns)])]
+    assert sum(apart) == len(complete) - len(finite)
+    placed = [r for r in found if r["level"] is not None]
+    assert all(r["count"] <= 40 or r["level"] == 6 for r in placed) and len({r["level"] for r in placed}) > 1
+    tops = [max(r[f"high_{i}"] for r in placed) for i in range(len(columns))]
+    for r in placed:
+        if any(abs(r[f"{end}_{i}"] - p[i]) < 1e-3 for end in ("low", "high") for i in range(len(columns)) for p in finite):
+            continue  # bounds are rounded, so points on them may be on either side
+        inside = [
+            p for p in finite
+            if all(r[f"low_{i}"] <= p[i] and (p[i] < r[f"high_{i}"] or r[f"high_{i}"] == tops[i]) for i in range(len(columns)))
+        ]
+        assert len(inside) == r["count"]
+
+
+def test_scatter_cells_without_rows_and_of_one_value(spark):
+    empty = spark.createDataFrame([], "x double, y double")
+    assert charts.cells(empty, ["x", "y"]).count() == 0 and charts.scatter_cells(empty).count() == 0
+    same = spark.createDataFrame([(3.0, 4.0)] * 500, "x double, y double")
+    assert [(r["level"], r["count"]) for r in charts.cells(same, ["x", "y"], most=10).collect()] == [(8, 500)]
+
+
+@pytest.mark.parametrize("window_rows", [200_000, 5])
+def test_sparse_one_hot_of_any_number_of_values(spark, monkeypatch, window_rows):
+    """More values than the dense form takes, a name that needs quotes, and the plan for many values."""
+    from plumbline.plans import running
+
+    monkeypatch.setattr(running.running_total, "__defaults__", (window_rows,))
+    rows = [(i, None if i % 50 == 0 else f"v{i * 7 % 600:03d}") for i in range(1_500)]
+    df = spark.createDataFrame(rows, "id long, `a.b` string").repartition(4)
+    values = sorted({v for _, v in rows if v is not None})
+    got = {r["id"]: r["a.b_one_hot"] for r in prepare.one_hot_sparse(df, "a.b").collect()}
+    assert len(got) == len(rows) and len(values) > prepare.ONE_HOT_LIMIT
+    for i, v in rows:
+        assert got[i]["size"] == len(values)
+        assert (got[i]["indices"], got[i]["values"]) == (([], []) if v is None else ([values.index(v)], [1.0]))
+    assert prepare.one_hot_sparse(df, "a.b").columns == ["id", "a.b_one_hot"]
+    assert prepare.one_hot_sparse(df.where("false"), "a.b").count() == 0
+
+
 def test_scatter_points_are_all_points(spark):
     df = spark.range(6_000).select("id", (F.col("id") * 2).alias("twice"), (F.col("id") % 7).alias("z"))
     assert charts.scatter3d_sample(Profile(df, order_by="id")).count() == 6_000
