@@ -3,7 +3,7 @@
 A mask says which tokens of a stretch are hashed and which are ignored, so a seed still hits where an ignored token was
 replaced. Seeds of the benchmark meet seeds of the documents in a join; each hit lays the passage along the document, and
 counts equal tokens: an overlap is reported where ``SHARE`` of some ``OVERLAP`` adjacent tokens (of all, in a shorter
-passage) are equal. Passages shorter than a mask are hashed whole.
+passage) are equal. Passages shorter than the longest mask are hashed whole and reported where all their tokens are equal.
 
 Tokens are runs of letters and digits in lower case. Null and empty texts and passages never match; texts are searched whole;
 repeated rows give repeated results and repeated passages add none; only the named columns are read.
@@ -51,31 +51,33 @@ def seeded(rows: DataFrame, words: str, masks: list[str], short: list[int]) -> D
 
 
 def laid(hits: DataFrame) -> DataFrame:
-    """Each passage laid along a text, once for all hits that lay it so: ``_part`` of the text beside ``_own`` of the passage."""
+    """Each hit's passage laid along its text: ``_part`` of the text beside ``_own`` of the passage."""
     begin = F.col("_at") - F.col("_item_at")
     skip = F.greatest(-begin, F.lit(0))
     common = F.least(F.size("_passage"), F.size("_words") - begin) - skip
-    parts = hits.select(
+    return hits.select(
         "_id", "_hash", "_item", "_number", begin.alias("_begin"), F.least(F.lit(OVERLAP), F.size("_passage")).alias("_width"),
         F.slice("_words", begin + skip + 1, common).alias("_part"), F.slice("_passage", skip + 1, common).alias("_own"),
     )
-    # An item, and a null one, may have several passages: each is laid on its own.
-    same = parts.groupBy("_id", "_hash", "_item", "_number", "_begin", "_width")
-    return same.agg(F.first("_part").alias("_part"), F.first("_own").alias("_own"))
 
 
 def verified(hits: DataFrame) -> DataFrame:
-    """``_equal`` and ``_compared`` tokens of each laid passage that holds a long enough overlap."""
+    """``_equal`` and ``_compared`` tokens of each laid passage that holds a long enough overlap.
+
+    Hits are verified where they are found, and only then made distinct, so a phrase that many texts share costs no shuffle.
+    """
     same = laid(hits).withColumn("_same", F.zip_with("_part", "_own", lambda x, y: (x == y).cast("int")))
     equal, compared, width = F.size(F.filter("_same", lambda x: x == 1)), F.size("_same"), F.col("_width")
     best = F.exists(
         F.sequence(F.lit(1), F.greatest(compared - width + 1, F.lit(1))),
         lambda i: F.aggregate(F.slice("_same", i, width), F.lit(0), lambda a, x: a + x) >= SHARE * width,
     )
-    enough = (compared >= width) & ((equal >= SHARE * compared) | ((equal >= SHARE * width) & best))
-    return same.withColumn("_equal", equal).withColumn("_compared", compared).where(enough).withColumn(
-        "_begin", F.greatest("_begin", F.lit(0))
+    enough = F.when(width < max(map(len, MASKS)), equal == width).otherwise(
+        (compared >= width) & ((equal >= SHARE * compared) | ((equal >= SHARE * width) & best))
     )
+    kept = same.where(enough).select("_id", "_hash", "_item", "_number", "_begin", equal.alias("_equal"), compared.alias("_compared"))
+    # An item, and a null one, may have several passages: each is laid on its own.
+    return kept.distinct().withColumn("_begin", F.greatest("_begin", F.lit(0)))
 
 
 def leaks(

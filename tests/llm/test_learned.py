@@ -177,6 +177,48 @@ def test_masks_hit_replaced_words():
             assert any(not s & set(gone) for s in seeds), (length, gone)
 
 
+@pytest.mark.parametrize("sent", [decontaminate.SENT, 0])
+def test_every_offset_by_brute_force(spark, monkeypatch, sent):
+    """Passages of 3 to 40 words with none to four words replaced: the rule tried at each offset of each text.
+
+    Where a fifth of some 15 words at most is replaced all are found, as are unchanged shorter ones; nothing else ever is.
+    """
+    monkeypatch.setattr(decontaminate, "SENT", sent)
+    draw, least, width = random.Random(5), max(map(len, decontaminate.MASKS)), decontaminate.OVERLAP
+    passages = {i: [f"p{i}x{j}" for j in range(n)] for i, n in enumerate([3, 6, 7, 8, 9, 10, 12, 15, 20, 40])}
+    docs = {}
+    for i, words in passages.items():
+        for changed in range(5):
+            for _ in range(4):
+                copy = list(words)
+                for at in draw.sample(range(len(copy)), min(changed, len(copy))):
+                    copy[at] = f"other{draw.random()}"[:12].replace(".", "")
+                before = [f"f{draw.randint(0, 9)}" for _ in range(draw.randint(0, 6))]
+                docs[len(docs)] = before + copy[: draw.choice([len(copy), max(1, len(copy) - 3)])] + ["end", "of", "it"]
+
+    def rule(text, words):
+        n = min(width, len(words))
+        for begin in range(-len(words) + 1, len(text)):
+            same = [text[begin + j] == w for j, w in enumerate(words) if 0 <= begin + j < len(text)]
+            if len(words) < least:
+                if len(same) == n and all(same):
+                    return True
+            elif len(same) >= n and (
+                sum(same) >= 0.8 * len(same) or any(sum(same[k : k + n]) >= 0.8 * n for k in range(len(same) - n + 1))
+            ):
+                return True
+        return False
+
+    want = {(d, i) for d, text in docs.items() for i, words in passages.items() if rule(text, words)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in passages.items()], "item_id int, text string")
+    found = decontaminate.leaks(df, bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and len(want) > 60
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    if sent:
+        assert not [line for line in plan.splitlines() if "Aggregate [" in line and ("_words" in line or "_part" in line)]
+
+
 def test_passages_of_ten_words(spark):
     words = [f"w{i}" for i in range(10)]
     docs = [(i, " ".join("x" if k in gone else w for k, w in enumerate(words))) for i, gone in enumerate([(1, 6), (4, 5), (4, 8), (0, 4, 8)])]
