@@ -10,9 +10,8 @@ written. Prose, code words and repetitions of the surroundings add next to nothi
 reported if one of them is new. Candidates that overlap a span of the fixed patterns are not reported again. Text after a
 candidate does not count, or a key that a text states twice would be hidden both times.
 
-The corpus's words come from about ``SAMPLES`` different texts, picked by their hash, and there from ``SAMPLED`` characters at a
-place that the hash gives: strings that follow three different words or more, which a key repeated by copies does not. This
-sample only primes the compressor; candidates are searched in every whole text.
+The corpus's words are strings that follow three different words or more, counted over every whole text in Spark; a key repeated
+by copies does not. The dictionary holds ``LEARNT`` characters of those that follow most words.
 
 Null and empty texts have no spans, an empty table gives none; texts are searched whole and in time proportional to their
 length; repeated rows give repeated results; only the named columns are read. Spans are in code points, ``end`` exclusive, by
@@ -26,9 +25,13 @@ import re
 import string as letters
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import SPANS, map_rows
@@ -61,10 +64,13 @@ WEIGHED = 256
 ONE_KIND = 16
 KIND = re.compile(rf"[a-z]{{{ONE_KIND},}}|[A-Z]{{{ONE_KIND},}}")
 ALPHABETS = (letters.ascii_lowercase, letters.ascii_uppercase, letters.digits)
-#: Texts whose words prime the compressor, characters read in each, different words before a string that make it one of the
-#: corpus, and most characters of the dictionary that these make.
-SAMPLES, SAMPLED, CONTEXTS, LEARNT = 1_000, 2_000, 3, 100_000
-WORD = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: Different words before a string that make it one of the corpus, and most characters of the dictionary that these make.
+CONTEXTS, LEARNT = 3, 100_000
+#: Characters of a string of the corpus, at least.
+SHORTEST = 6
+WORD = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Pairs of a string and the word before it that a task gathers before it hands them on.
+GATHERED = 1 << 19
 
 CODE_DICTIONARY = (
     "import from return class function static public private protected void const let var def self this null None true false "
@@ -182,12 +188,17 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty)
     return found
 
 
+def word_pairs(text: str) -> set[tuple[str, str]]:
+    """The different pairs of neighbouring words of which the second may hold a string."""
+    words = text.split()
+    return {pair for pair in zip(words, words[1:]) if len(pair[1]) >= SHORTEST}
+
+
 def common_strings(pieces: list[str]) -> str:
     """Strings that follow ``CONTEXTS`` different words in the pieces, those of most contexts last, where matches are cheapest."""
     before: dict[str, set[str]] = defaultdict(set)
     for piece in pieces:
-        words = piece.split()[1:-1]  # the first and the last may be cut
-        for last, word in zip(words, words[1:]):
+        for last, word in word_pairs(piece):
             for string in WORD.findall(word):
                 before[string].add(last)
     known = sorted((w for w in before if len(before[w]) >= CONTEXTS), key=lambda w: (-len(before[w]), w))
@@ -200,18 +211,57 @@ def common_strings(pieces: list[str]) -> str:
     return " ".join(reversed(taken)) + " "
 
 
+class Hashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of a task's texts with hashes of the different words before each, ``GATHERED`` pairs at a time."""
+    before: dict[str, set[int]] = defaultdict(set)
+    hashes, size = Hashes(), 0
+
+    def table() -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, before.values())], dtype=np.int32)
+        words = np.fromiter(chain.from_iterable(before.values()), np.uint64, ends[-1]).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(words))
+        return pa.RecordBatch.from_arrays([pa.array(list(before), pa.string()), lists], names=["string", "before"])
+
+    for batch in batches:
+        for x in batch.column(0):
+            pairs = word_pairs(x.as_py())
+            for last, word in pairs:
+                for string in WORD.findall(word):
+                    before[string].add(hashes[last])
+            size += len(pairs)
+            if size >= GATHERED:
+                yield table()
+                before.clear()
+                hashes.clear()
+                size = 0
+    yield table()
+
+
 def corpus_dictionary(docs: DataFrame, text: str = "text") -> str:
-    """The corpus's own words, from about ``SAMPLES`` different texts; two passes, of which a Parquet table needs one."""
-    n = docs.count()
-    if not n:
-        return ""
-    part = min(1.0, SAMPLES / n)
-    h = F.xxhash64(text)
-    at = F.pmod(h, F.greatest(F.length(text) - SAMPLED, F.lit(0)) + 1).cast("int") + 1
-    # Hashes are spread over 64 bits, signed; 2**53 steps of them are exact in a double.
-    picked = docs.where(F.col(text).isNotNull() & (F.pmod(h, F.lit(1 << 53)) < F.lit(int(part * (1 << 53)))))
-    pieces = picked.select(h.alias("h"), F.substring(F.col(text), at, F.lit(SAMPLED)).alias("piece")).dropDuplicates(["h"])
-    return common_strings([r["piece"] for r in pieces.orderBy("h").limit(4 * SAMPLES).collect()])
+    """The corpus's own words, as ``common_strings`` of all whole texts; words before a string are told apart by 64-bit hashes.
+
+    Every text is read once. At most ``LEARNT`` characters reach the driver.
+    """
+    gathered = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(_contexts, "string string, before array<bigint>")
+    # A string's rows meet in one task, each with the words of many texts; there the pairs are made distinct and counted.
+    pairs = gathered.repartition("string").select("string", F.explode("before").alias("before")).distinct()
+    known = pairs.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CONTEXTS)
+    order = [F.desc("n"), F.asc("string")]
+    # No more strings than these have room in the dictionary, so one task can add up their lengths.
+    best = known.orderBy(*order).limit(LEARNT // (SHORTEST + 1))
+    size = F.sum(F.length("string") + 1).over(Window.orderBy(*order))
+    taken = [r["string"] for r in best.withColumn("size", size).where(F.col("size") <= LEARNT).orderBy(*order).collect()]
+    return " ".join(reversed(taken)) + " " if taken else ""
 
 
 def find_secrets(

@@ -158,6 +158,17 @@ def test_words_of_the_corpus_are_learnt_and_its_keys_are_not(spark):
     assert secrets.corpus_dictionary(docs.selectExpr("doc_id", "CAST(NULL AS STRING) AS text")).strip() == ""
 
 
+def test_words_of_the_corpus_are_counted_in_whole_texts(spark):
+    """A string counts wherever it stands, in any text, as the plain count over the same texts has it."""
+    draw = random.Random(8)
+    words = ["".join(draw.choices(string.ascii_lowercase, k=draw.randint(2, 12))) for _ in range(200)]
+    texts = [" ".join(draw.choices(words, k=2_000)) for _ in range(6)]
+    texts[0] = " ".join(f"{w} Verwaltungsgericht {texts[i]}" for i, w in enumerate(["the", "some", "each"]))
+    known = secrets.corpus_dictionary(spark.createDataFrame([(t,) for t in [*texts, texts[0], None, ""]], "text string").repartition(3))
+    assert "Verwaltungsgericht" in known.split()
+    assert known == secrets.common_strings(texts)
+
+
 def test_spans_of_awkward_rows(spark, awkward):
     """One row of spans for each row, base spans as the patterns give them, and none for null, empty or blank texts."""
     rows = sorted(((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in awkward.select("doc_id", "text").collect()), key=str)
