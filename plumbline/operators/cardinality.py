@@ -163,7 +163,7 @@ def pareto(table: DataFrame | Profile, column: str) -> DataFrame:
     p = as_profile(table)
     counted = _value_counts(p, p.column(column)).select(F.lit(column).alias("column_name"), "key", "n")
     total = F.lit(p.count_rows[column]["non_null"]).cast("bigint")
-    summed = running_total(counted, [F.desc("n"), F.asc("key")], "n", "running").withColumn("total", total)
+    summed = running_total(counted, [F.desc("n"), F.asc("key")], "n", "running", text="key").withColumn("total", total)
     return summed.select(
         "column_name",
         F.col("key").alias("value"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.types import quoted
+from plumbline.functions.types import STRING, quoted
 from plumbline.operators.association import rank_pairs
 from plumbline.operators.cardinality import constant_columns
 from plumbline.operators.numeric import skewness_kurtosis
@@ -80,7 +80,8 @@ def value_codes(table: DataFrame | Profile, column: str) -> DataFrame:
     value = p.column(column).value()
     counted = p.df.select(value.alias(column)).where(F.col(quoted(column)).isNotNull()).groupBy(quoted(column))
     counted = counted.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1).cast("bigint"))
-    numbered = running_total(counted, [F.asc(quoted(column))], "_one", "_number")
+    text = column if p.column(column).family == STRING else None
+    numbered = running_total(counted, [F.asc(quoted(column))], "_one", "_number", text=text)
     return numbered.select(quoted(column), "n", (F.col("_number") - 1).alias("code"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import BOOLEAN_TOKENS, ID_NAME, TARGET_KEYWORDS
 from plumbline.functions.rounding import rnd
-from plumbline.functions.types import FLOAT, INT, quoted
+from plumbline.functions.types import FLOAT, INT, STRING, quoted
 from plumbline.operators.cardinality import class_distribution
 from plumbline.plans.running import previous_value
 from plumbline.plans.small import local, pinned
@@ -88,7 +88,8 @@ def row_diff(table: DataFrame | Profile, column: str) -> DataFrame:
     p = as_profile(table)
     keys = [quoted(c) for c in p.order_by]
     rows = p.df.select(*keys, p.column(column).number().alias("value"))
-    stepped = previous_value(rows, [F.asc(k) for k in keys], "value", "before")
+    text = p.order_by[-1] if keys and p.column(p.order_by[-1]).family == STRING else None
+    stepped = previous_value(rows, [F.asc(k) for k in keys], "value", "before", text=text)
     return stepped.select(*keys, "value", (F.col("value") - F.col("before")).alias("difference"))
 
 

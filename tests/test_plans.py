@@ -137,6 +137,29 @@ def test_running_total_and_previous_value(spark, window_rows):
     assert [r["before"] for r in lagged.orderBy("k").collect()] == [None] + [v for _, v in rows[:-1]]
 
 
+def test_range_partitions_of_long_texts(spark, monkeypatch):
+    """Long texts with long beginnings in common are dealt by bins, none of which the driver gets whole, and add up in order."""
+    rng = random.Random(6)
+    texts = ["x" * 3_000 + "".join(rng.choices("abé\U0001f600", k=40)) * 50 for _ in range(200)] + [c * 4_000 for c in "acdy"]
+    rows = [(t, rng.randint(1, 3)) for t in texts]
+    df = spark.createDataFrame(rows, "`k.` string, v int").repartition(5)
+    ranges, dealt = [], type(df).repartitionByRange
+
+    def noted(self, *by):
+        got = dealt(self, *by)
+        ranges.append((self.agg(F.countDistinct("_bin")).first()[0] if "_bin" in self.columns else 0, [str(c) for c in by]))
+        return got
+
+    monkeypatch.setattr(type(df), "repartitionByRange", noted)
+    total = running_total(df, [F.desc("v"), F.asc("`k.`")], "v", "total", 0, text="k.").collect()
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0].encode()))
+    assert {(r["k."], r["total"]) for r in total} == {(k, int(t)) for (k, _), t in zip(ordered, np.cumsum([v for _, v in ordered]), strict=True)}
+    lagged = previous_value(df, [F.asc("`k.`")], "v", "before", 0, text="k.").collect()
+    by_text = sorted(rows, key=lambda r: r[0].encode())
+    assert {(r["k."], r["before"]) for r in lagged} == {(k, b) for (k, _), b in zip(by_text, [None] + [v for _, v in by_text[:-1]], strict=True)}
+    assert [n > 100 for n, _ in ranges] == [True, True] and not any("k." in c for _, by in ranges for c in by)
+
+
 def test_lookup_with_hot_keys(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 40}" if i % 7 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "i int, k string")
