@@ -29,8 +29,10 @@ SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 10, 3
 #: Characters whose signatures are made at a time; lines of a block in a large
 #: bucket; bits that stand for a line's shingles; lines whose bits are made at a time.
 CHARS, BLOCK, BITMAP, AT_ONCE = 1 << 20, 400, 2_048, 1_024
-#: Words of a bitmap that are compared first.
-HEAD = 8
+#: Words of a bitmap that are compared first, and pairs of lines that are compared by bitmaps at a time.
+HEAD, PAIRS = 8, 1 << 14
+#: Characters of lines whose shingle sets a task remembers; it forgets them all when there are more.
+KEPT = 1 << 20
 #: Ids that a task remembers as signed; it forgets them all when there are more, and signs such a line once more.
 REMEMBERED = 1 << 18
 
@@ -123,6 +125,45 @@ def similar(a: set[str], b: set[str]) -> bool:
     return common >= SIMILAR * (len(a) + len(b) - common)
 
 
+def numbered_shingles(line: str) -> np.ndarray | None:
+    """The shingles as sorted 64-bit numbers, one for each string of ``SHINGLE`` = 8 Latin-1 characters; None if they don't fit."""
+    try:
+        data = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if len(data) < SHINGLE:
+        return None
+    numbers = np.sort(np.ndarray(len(data) - SHINGLE + 1, np.uint64, data, strides=(1,)))
+    return np.concatenate((numbers[:1], numbers[1:][numbers[1:] != numbers[:-1]]))
+
+
+class ShingleSets:
+    """Compares lines by their exact shingle sets, as numbers where both lines have them, which are made once for lines met again."""
+
+    def __init__(self):
+        self.numbers: dict[str, np.ndarray | None] = {}
+        self.size = 0
+
+    def of(self, line: str) -> np.ndarray | None:
+        if line not in self.numbers:
+            if self.size > KEPT:
+                self.numbers.clear()
+                self.size = 0
+            self.numbers[line] = numbered_shingles(line)
+            self.size += len(line)
+        return self.numbers[line]
+
+    def similar(self, a: str, b: str) -> bool:
+        x, y = self.of(a), self.of(b)
+        if x is None or y is None:
+            return similar(shingles(a), shingles(b))
+        if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+            return False
+        both = np.sort(np.concatenate((x, y)))
+        common = np.count_nonzero(both[1:] == both[:-1])
+        return common >= SIMILAR * (len(x) + len(y) - common)
+
+
 def line_id(line: str) -> int:
     import xxhash
 
@@ -217,16 +258,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     b = texts.select(F.col("id").alias("v"), F.col("text").alias("b"), F.col("bits").alias("d"))
 
     def make():
+        sets = ShingleSets()
+
         def step(batch: dict) -> dict:
             a, b = batch["a"], batch["b"]
             lengths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
             may = may_be(apart_in(stacked(batch["c"]), stacked(batch["d"])), *lengths)
-            kept, of, own = [], None, set()
-            for i in np.flatnonzero(may).tolist():
-                if b[i] != of:  # pairs with the same second line mostly lie together
-                    of, own = b[i], shingles(b[i])
-                if similar(shingles(a[i]), own):
-                    kept.append(i)
+            kept = [i for i in np.flatnonzero(may).tolist() if sets.similar(a[i], b[i])]
             return {"u": [batch["u"][i] for i in kept], "v": [batch["v"][i] for i in kept]}
 
         return step
@@ -238,29 +276,35 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links across components among the rows (key, i, j, id, part, block, text, bits) of each (key, i, j), side by side."""
     held: list[tuple] = []
     now = None
+    sets = ShingleSets()
 
     def found() -> list[tuple[int, int]]:
         i, j = now[1:]
         ids, part, block, texts, bitmaps_ = zip(*held, strict=True)
-        label, blocks, bits = np.unique(part, return_inverse=True)[1], np.array(block), stacked(bitmaps_)
+        numbers: dict[int, int] = {}
+        label = np.array([numbers.setdefault(x, len(numbers)) for x in part])
+        if len(numbers) == 1:
+            return []
+        blocks, bits = np.array(block), stacked(bitmaps_)
         head = np.ascontiguousarray(bits[:, :HEAD])
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        sets: dict[int, set[str]] = {}
-
-        def set_of(k: int) -> set[str]:
-            if k not in sets:
-                sets[k] = shingles(texts[k])
-            return sets[k]
-
-        out = []
-        for a in range(len(held) - 1):
-            b = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & ((blocks[a + 1 :] != block[a]) if i != j else True))
+        out, n = [], len(held)
+        step = max(1, PAIRS // n)
+        for at in range(0, n - 1, step):
+            mine = np.arange(at, min(at + step, n - 1))
+            open_ = (mine[:, None] < np.arange(n)) & (label[mine][:, None] != label)
+            if i != j:
+                open_ &= blocks[mine][:, None] != blocks
+            a, b = np.nonzero(open_)
+            a += at
             # Too many differing bits in the first words already rule most lines out.
-            b = b[may_be(apart_in(head[b], head[a]), lengths[b], lengths[a])]
-            for k in b[may_be(apart_in(bits[b], bits[a]), lengths[b], lengths[a])].tolist():
-                if label[k] != label[a] and similar(set_of(a), set_of(k)):
-                    out.append((ids[a], ids[k]))
-                    label[label == label[k]] = label[a]
+            for words in (head, bits):
+                may = may_be(apart_in(words[a], words[b]), lengths[a], lengths[b])
+                a, b = a[may], b[may]
+            for m, k in zip(a.tolist(), b.tolist()):
+                if label[k] != label[m] and sets.similar(texts[m], texts[k]):
+                    out.append((ids[m], ids[k]))
+                    label[label == label[k]] = label[m]
         return out
 
     def table(links: list[tuple[int, int]]) -> pa.RecordBatch:
