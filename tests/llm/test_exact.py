@@ -8,6 +8,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,41 @@ def test_words_of_the_corpus_are_learnt_and_its_keys_are_not(spark):
     assert secrets.corpus_dictionary(docs.selectExpr("doc_id", "CAST(NULL AS STRING) AS text")).strip() == ""
 
 
+def test_lines_compared_by_numbers_agree_with_their_shingles():
+    """For lines of any characters and lengths, zero characters and repeated shingles included, however few are remembered."""
+    draw = random.Random(4)
+    lines_ = ["", "a", "abc", "abc\0\0\0\0\0", "abcdefg", "abcdefgh", "ab" * 40, "ab" * 41, "ÿ" * 90, "ÿ" * 89 + "Ā", "Ā" * 40]
+    for alphabet in ("ab", "abcdefghé\0", "abĀ\U0001f600"):
+        line = "".join(draw.choices(alphabet, k=150))
+        lines_ += [line] + [line[:i] + draw.choice(alphabet) * draw.randint(0, 3) + line[i:] for i in range(0, 150, 7)]
+    for kept in (lines.KEPT, 300):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lines, "KEPT", kept)
+            sets = lines.ShingleSets()
+            for a in lines_:
+                for b in lines_:
+                    assert sets.similar(a, b) == lines.similar(lines.shingles(a), lines.shingles(b)), (a, b)
+            assert sets.size <= kept + 200
+
+
+def test_pre_tokens_forgotten_are_encoded_alike(monkeypatch):
+    """However few pre-tokens a task keeps, the ids stay; it never holds more than its share."""
+    from plumbline.llm.queries import tokenizer
+
+    tokens = bpe.read_ranks(tokenizer()[0])
+    model = bpe.serialise(tokens)
+    draw = random.Random(2)
+    words = [" " + "".join(draw.choices("abcdeé\U0001f600", k=draw.randint(1, 9))) for _ in range(300)]
+    asked = draw.choices(words, k=3_000)
+    want = bpe.PreTokens(tokens, model)
+    monkeypatch.setattr(bpe, "CACHED", 40)
+    few = bpe.PreTokens(tokens, model)
+    for word in asked:
+        assert few[word] == want[word] == np.array(want.encode(bpe.as_letters(word.encode())), "<u4").tobytes()
+        assert len(few) + len(few.older) <= 40
+    assert bpe.as_letters(bytes(range(256))) == "".join(chr(bpe.FIRST + b) for b in range(256))
+
+
 def test_words_of_the_corpus_are_counted_in_whole_texts(spark):
     """A string counts wherever it stands, in any text, as the plain count over the same texts has it."""
     draw = random.Random(8)
