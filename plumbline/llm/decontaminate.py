@@ -23,6 +23,8 @@ MASK_FOR_TEN = "1100111"
 OVERLAP, SHARE = 15, 0.8
 #: Most bytes of seeds and passages that are sent to every task, and bytes reckoned for a seed; beyond it they are joined by shuffle.
 SENT, SEED_BYTES = 64 << 20, 100
+#: Places of a text whose hits are held at once: so many, or this share of a longer text.
+PLACES, STRETCHES = 256, 64
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -43,30 +45,52 @@ def whole(words: str, at: Column, length: int) -> Column:
 
 
 def seeded(rows: DataFrame, words: str, masks: list[str], short: list[int]) -> DataFrame:
-    """A row for each seed: all columns of ``rows``, ``_at`` and ``_seed``."""
-    at = F.col("_at")
+    """A row for each seed: all columns of ``rows``, ``_at``, ``_seed`` and ``_mask``, its number."""
+    at, last = F.col("_at"), F.size(words) - 1
     hashes = [seed(words, at, m, i) for i, m in enumerate(masks)] + [whole(words, at, n) for n in short]
-    placed = rows.select("*", F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("_at"))
-    return placed.select("*", F.explode(F.array(*hashes)).alias("_seed")).where("_seed IS NOT NULL")
+    # Generated code holds what it makes of a row until that row is done. Spark runs transform() outside of it, a row at a time,
+    # so only the hits of a stretch are held, not those of a whole text.
+    long = F.greatest(F.lit(PLACES), F.expr(f"size({words}) div {STRETCHES}").cast("int"))
+    cut = rows.select("*", long.alias("_long"))
+    stretches = F.sequence(F.lit(0), F.expr(f"(size({words}) - 1) div _long").cast("int"))
+    cut = cut.select("*", F.explode(F.transform(stretches, lambda k: k * F.col("_long"))).alias("_first"))
+    placed = cut.select("*", F.explode(F.sequence("_first", F.least(F.col("_first") + F.col("_long") - 1, last))).alias("_at"))
+    return placed.select("*", F.posexplode(F.array(*hashes)).alias("_mask", "_seed")).where("_seed IS NOT NULL").drop("_long", "_first")
+
+
+def preceding(masks: list[str], short: list[int]) -> list[Column]:
+    """``_span`` of a passage's seed, and ``_before``, the hash of as many tokens from one place before it; null at the first."""
+    span = F.get(F.array(*[F.lit(n) for n in [*map(len, masks), *short]]), F.col("_mask"))
+    return [span.alias("_span"), F.when(F.col("_at") > 0, F.xxhash64(F.slice("_passage", F.col("_at"), span))).alias("_before")]
+
+
+def leads(words: str) -> Column:
+    """Whether a hit is the first of its run: where all tokens of the place before are equal, that place's hit lays the passage alike."""
+    before = F.when(F.col("_at") > 0, F.xxhash64(F.slice(words, F.col("_at"), F.col("_span"))))
+    return F.col("_before").isNull() | before.isNull() | (before != F.col("_before"))
 
 
 def laid(hits: DataFrame) -> DataFrame:
-    """Each hit's passage laid along its text: ``_part`` of the text beside ``_own`` of the passage."""
+    """Each hit with ``_part`` of the text, along which the passage is laid from ``_skip`` on, in place of the text's ``_words``.
+
+    The rows of one text are many, so they leave its words before they are joined to the passages.
+    """
     begin = F.col("_at") - F.col("_item_at")
     skip = F.greatest(-begin, F.lit(0))
-    common = F.least(F.size("_passage"), F.size("_words") - begin) - skip
+    common = F.least(F.col("_length"), F.size("_words") - begin) - skip
     return hits.select(
-        "_id", "_hash", "_item", "_number", begin.alias("_begin"), F.least(F.lit(OVERLAP), F.size("_passage")).alias("_width"),
-        F.slice("_words", begin + skip + 1, common).alias("_part"), F.slice("_passage", skip + 1, common).alias("_own"),
-    )
+        "_id", "_hash", "_number", begin.alias("_begin"), skip.alias("_skip"), F.slice("_words", begin + skip + 1, common).alias("_part")
+    )
 
 
-def verified(hits: DataFrame) -> DataFrame:
+def verified(hits: DataFrame, passages: DataFrame) -> DataFrame:
     """``_equal`` and ``_compared`` tokens of each laid passage that holds a long enough overlap.
 
     Hits are verified where they are found, and only then made distinct, so a phrase that many texts share costs no shuffle.
     """
-    same = laid(hits).withColumn("_same", F.zip_with("_part", "_own", lambda x, y: (x == y).cast("int")))
+    beside = laid(hits).join(passages, "_number").withColumn("_width", F.least(F.lit(OVERLAP), F.size("_passage")))
+    own = F.slice("_passage", F.col("_skip") + 1, F.size("_part"))
+    same = beside.withColumn("_same", F.zip_with("_part", own, lambda x, y: (x == y).cast("int")))
     equal, compared, width = F.size(F.filter("_same", lambda x: x == 1)), F.size("_same"), F.col("_width")
     best = F.exists(
         F.sequence(F.lit(1), F.greatest(compared - width + 1, F.lit(1))),
@@ -104,20 +128,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str,
     short = sorted(n for n in lengths if n < least)
     masks = [*MASKS, *[MASK_FOR_TEN for n in lengths if n == 10]]
     # A whole-passage seed counts for passages of that length only; other seeds of short passages would do no harm.
-    seeds = seeded(passages, "_passage", masks, short).select("_seed", "_number", F.col("_at").alias("_item_at"))
+    item_at = F.col("_at").alias("_item_at")
+    seeds = seeded(passages, "_passage", masks, short).select("_seed", "_number", item_at, size.alias("_length"), *preceding(masks, short))
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_hash"), tokens(F.col(text)).alias("_words"))
     weight = size * (SEED_BYTES * (len(masks) + len(short)) + 16) + F.octet_length(F.array_join("_passage", ""))
     if (passages.agg(F.sum(weight.cast("long"))).first()[0] or 0) <= SENT:
-        met = seeded(rows, "_words", masks, short).join(F.broadcast(seeds), "_seed").join(F.broadcast(passages), "_number")
-        return verified(met).select("_id", "_hash", "_item", "_equal", "_compared", "_begin")
+        met = seeded(rows, "_words", masks, short).drop("_mask").join(F.broadcast(seeds), "_seed").where(leads("_words"))
+        return verified(met, F.broadcast(passages)).select("_id", "_hash", "_item", "_equal", "_compared", "_begin")
     places = seeded(rows, "_words", masks, short).select("_id", "_hash", "_at", "_seed")
     met = places.join(seeds, "_seed")
-    met = met.select("_id", "_hash", "_number", (F.col("_at") - F.col("_item_at")).alias("_shift")).distinct()
-    found = met.join(passages, "_number").alias("m")
+    met = met.select("_id", "_hash", "_number", "_length", (F.col("_at") - F.col("_item_at")).alias("_shift")).distinct().alias("m")
     texts = rows.dropDuplicates(["_id", "_hash"]).alias("t")
     on = F.col("m._id").eqNullSafe(F.col("t._id")) & (F.col("m._hash") == F.col("t._hash"))
-    found = found.join(texts, on).select("m._id", "m._hash", "_item", "_number", "_passage", "_words", F.col("_shift").alias("_at"), F.lit(0).alias("_item_at"))
-    return verified(found).select("_id", "_hash", "_item", "_equal", "_compared", "_begin")
+    found = met.join(texts, on).select("m._id", "m._hash", "_number", "_length", "_words", F.col("_shift").alias("_at"), F.lit(0).alias("_item_at"))
+    return verified(found, passages).select("_id", "_hash", "_item", "_equal", "_compared", "_begin")
 
 
 def keep_clean(

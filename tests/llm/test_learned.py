@@ -239,6 +239,70 @@ def test_passages_of_one_item_that_begin_alike(spark, monkeypatch, sent):
     assert decontaminate.keep_clean(docs, bench).count() == 0
 
 
+@pytest.mark.parametrize("sent", [decontaminate.SENT, 0])
+def test_a_long_text_with_a_passage_of_many_items(spark, monkeypatch, sent):
+    """Each hit used to carry all words of its text: 60,000 words, 115 hits and 60 items of one passage are 10 GB of them."""
+    monkeypatch.setattr(decontaminate, "SENT", sent)
+    draw = random.Random(11)
+    words = [f"w{draw.randrange(9**7)}" for _ in range(60_000)]
+    passage = words[31_000:31_040]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:9_000]))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(passage)) for i in range(60)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_equal"], r["n_compared"], r["start"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, i, 40, 40, 31_000) for i in range(60)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [2]
+
+
+@pytest.mark.parametrize("places", [1, 3, 256])
+def test_texts_cut_into_stretches_by_brute_force(spark, monkeypatch, places):
+    """Texts and passages of few words, so that hits form runs and cross from stretch to stretch; the best of all places that share a seed."""
+    monkeypatch.setattr(decontaminate, "PLACES", places)
+    draw, masks, least, width = random.Random(12), decontaminate.MASKS, max(map(len, decontaminate.MASKS)), decontaminate.OVERLAP
+    items = {i: draw.choices("aab", k=n) for i, n in enumerate([2, 5, 8, 9, 10, 14, 15, 22, 35])} | {20: ["a"] * 30, 21: [*"abcdefghijklmno"] * 2}
+    docs = {}
+    for d in range(40):
+        words = draw.choices("aabc" if d % 2 else "abcdefgh", k=draw.randrange(0, 50))
+        piece = list(items[draw.choice(list(items))])
+        for at in draw.sample(range(len(piece)), draw.choice([0, 0, 1, 2])):
+            piece[at] = "z"
+        docs[d] = words + piece[draw.choice([0, 0, 3]) :] + draw.choices("abcdef", k=draw.randrange(9))
+
+    def best(text, words):
+        marked = masks + [decontaminate.MASK_FOR_TEN] + ["1" * len(words)] * (len(words) < least)
+        found = []
+        for begin in range(-len(words) + 1, len(text)):
+            same = [text[begin + j] == w for j, w in enumerate(words) if 0 <= begin + j < len(text)]
+            if not any(all(same[k + i] for i, bit in enumerate(m) if bit == "1") for m in marked for k in range(len(same) - len(m) + 1)):
+                continue
+            n = min(width, len(words))
+            runs = [sum(same[k : k + n]) for k in range(len(same) - n + 1)]
+            if runs and (sum(same) == n if n < least else sum(same) >= 0.8 * len(same) or max(runs) >= 0.8 * n):
+                found.append((sum(same), -len(same), -max(begin, 0)))
+        return max(found, default=None)
+
+    want = {(d, i, m[0], -m[1], -m[2]) for d, text in docs.items() for i, words in items.items() if (m := best(text, words))}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    for sent in (decontaminate.SENT, 0):
+        monkeypatch.setattr(decontaminate, "SENT", sent)
+        found = decontaminate.leaks(df, bench)
+        assert {tuple(r) for r in found.collect()} == want and len(want) > 60
+
+
+def test_hits_of_a_text_are_not_held_at_once(spark):
+    """The words of a text go no further than the join that finds hits, and generated code gets a text in stretches."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
+    found = decontaminate.leaks(docs, bench)
+    assert found.count() == 0
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    joins = [line for line in plan if "BroadcastHashJoin" in line and "_number" in line]
+    assert joins and not [line for line in joins if "_words" in line]
+    stretches = [line for line in plan if "Generate explode(transform" in line and "_words" in line]
+    assert stretches and "*(" not in stretches[0]
+
+
 @needs_tables
 def test_languages_of_held_out_texts(spark):
     docs = table(spark, SF_DIR, "documents")
