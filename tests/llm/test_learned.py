@@ -253,6 +253,16 @@ def test_a_long_text_with_a_passage_of_many_items(spark, monkeypatch, sent):
     assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [2]
 
 
+def test_pipeline_drops_a_long_leaked_text(spark, tmp_path):
+    """The pipeline's stage held all hits of a text, each with all its words: 12 GB of them here."""
+    draw = random.Random(13)
+    words = [f"w{draw.randrange(9**7)}" for _ in range(60_000)]
+    bench = [(i, " ".join(words[k : k + 30])) for i, k in enumerate([100, 20_000, 59_970] * 25)]
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[200:9_000])), (3, None)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_leaked(spark, docs, str(tmp_path)).collect()} == {2, 3}
+
+
 @pytest.mark.parametrize("places", [1, 3, 256])
 def test_texts_cut_into_stretches_by_brute_force(spark, monkeypatch, places):
     """Texts and passages of few words, so that hits form runs and cross from stretch to stretch; the best of all places that share a seed."""
